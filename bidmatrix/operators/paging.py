@@ -32,6 +32,6 @@ def collect_pages(
 ) -> DataFrame:
     """keys, page, n_pages and ``items``: sorted arrays of at most about ``page`` entries."""
     paged = with_page(df, large_groups(df, keys, page), keys, by)
-    return paged.groupBy(*keys, "page", "n_pages").agg(
-        F.array_sort(F.collect_list(item)).alias("items")
+    return paged.groupBy(*keys, "page").agg(
+        F.max("n_pages").alias("n_pages"), F.array_sort(F.collect_list(item)).alias("items")
     )
