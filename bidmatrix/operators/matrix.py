@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from bidmatrix.functions.money import amount, mean_cents
 from bidmatrix.operators.cells import vendors
-from bidmatrix.operators.paging import collect_pages, large_groups, with_page
+from bidmatrix.operators.paging import collect, collect_pages, large_groups, with_page
 from bidmatrix.schemas import ROW
 
 # A row of the matrix lists at most about this many vendors; wider sessions use several blocks.
@@ -35,10 +35,10 @@ def matrix_blocks(cells: DataFrame, keys: list[str] = ROW, block: int = BLOCK) -
     """
     wide = large_groups(vendors(cells), ["session_id"], block)
     placed = with_page(cells, wide, ["session_id"], ["vendor"])
-    quoted = placed.groupBy(*keys, "page").agg(
-        F.collect_list(F.struct("vendor", "amount_cents")).alias("quoted")
-    )
-    session_vendors = placed.groupBy("session_id", "page").agg(F.collect_set("vendor").alias("vendors"))
+    entry = F.struct("vendor", "amount_cents")
+    quoted = collect(placed, [*keys, "page"], F.collect_list(entry).alias("quoted"))
+    labels = with_page(vendors(cells), wide, ["session_id"], ["vendor"])
+    session_vendors = collect(labels, ["session_id", "page"], F.collect_list("vendor").alias("vendors"))
     # bound: at most (number of vendor labels / block) rows
     rows = baseline(cells, keys).join(F.broadcast(wide), ["session_id"], "left")
     last_page = F.coalesce("n_pages", F.lit(1)) - 1

@@ -27,11 +27,18 @@ def with_page(df: DataFrame, large: DataFrame, keys: list[str], by: list[str]) -
     return joined.withColumn("n_pages", n_pages).withColumn("page", page)
 
 
+def collect(df: DataFrame, keys: list[str], *lists: Column) -> DataFrame:
+    """groupBy with collected arrays. Rows are sent to their group first: collecting before the
+    shuffle would not make them fewer."""
+    return df.repartition(*keys).groupBy(*keys).agg(*lists)
+
+
 def collect_pages(
     df: DataFrame, keys: list[str], item: Column, by: list[str], page: int = PAGE
 ) -> DataFrame:
     """keys, page, n_pages and ``items``: sorted arrays of at most about ``page`` entries."""
     paged = with_page(df, large_groups(df, keys, page), keys, by)
-    return paged.groupBy(*keys, "page").agg(
-        F.max("n_pages").alias("n_pages"), F.array_sort(F.collect_list(item)).alias("items")
+    return collect(
+        paged, [*keys, "page"],
+        F.max("n_pages").alias("n_pages"), F.array_sort(F.collect_list(item)).alias("items"),
     )

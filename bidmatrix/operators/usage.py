@@ -1,4 +1,8 @@
-"""What grounds a follow-up question: frequent sub-services, their mean rates and specifications."""
+"""What grounds a follow-up question: frequent sub-services, their mean rates and specifications.
+
+Everything here starts from ``service_lines``, one row per group of equal lines, so line items are
+read once; callers that need several results store it.
+"""
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,24 +14,26 @@ TOP = 20
 _SERVICE = ["session_id", "sub_service"]
 
 
-def _labelled(items: DataFrame) -> DataFrame:
+def service_lines(items: DataFrame, *detail: str) -> DataFrame:
+    """Line count and rate sum per session, sub-service and the ``detail`` columns
+    (any of vendor, description), whatever the category."""
     label = vendor_label(F.col("vendor_name"), F.col("source_filename"))
-    return items.where("session_id is not null and sub_service is not null").withColumn("vendor", label)
-
-
-def service_counts(items: DataFrame) -> DataFrame:
-    """Lines per sub-service, whatever the category."""
-    return _labelled(items).groupBy(*_SERVICE).agg(F.count(F.lit(1)).alias("n"))
+    labelled = items.where("session_id is not null and sub_service is not null").withColumn("vendor", label)
+    return labelled.groupBy(*_SERVICE, *detail).agg(
+        F.count(F.lit(1)).alias("n_lines"),
+        F.sum("rate_cents").alias("rate_sum"),
+        F.count("rate_cents").alias("n_rates"),
+    )
 
 
-def top_services(items: DataFrame, k: int = TOP) -> DataFrame:
+def top_services(lines: DataFrame, k: int = TOP) -> DataFrame:
     """The k most frequent sub-services of each session, ties by name.
 
     Every task keeps only its own first k before the shuffle, so session size does not matter.
     """
+    counts = lines.groupBy(*_SERVICE).agg(F.sum("n_lines").alias("n"))
     w = Window.partitionBy("session_id").orderBy(F.desc("n"), "sub_service")
-    ranked = service_counts(items).withColumn("place", F.row_number().over(w))
-    return ranked.where(F.col("place") <= k)
+    return counts.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
 def top_overall(items: DataFrame, k: int = TOP) -> DataFrame:
@@ -36,24 +42,26 @@ def top_overall(items: DataFrame, k: int = TOP) -> DataFrame:
     return counts.orderBy(F.desc("n"), "sub_service").limit(k)
 
 
-def rate_means(items: DataFrame, k: int = TOP) -> DataFrame:
+def rate_means(lines: DataFrame, k: int = TOP) -> DataFrame:
     """Mean line rate of the top sub-services per vendor, zeros in, nulls out.
 
-    Lines are summed before they meet the top list.
+    ``lines`` carry vendor. A vendor none of whose lines has a rate has a null mean.
     """
     rates = (
-        _labelled(items)
-        .where("vendor is not null")
+        lines.where("vendor is not null")
         .groupBy(*_SERVICE, "vendor")
-        .agg(F.sum("rate_cents").alias("total"), F.count("rate_cents").alias("n_rates"))
+        .agg(F.sum("rate_sum").alias("total"), F.sum("n_rates").alias("n_rates"))
     )
     mean = F.when(F.col("n_rates") > 0, mean_cents(F.col("total"), F.col("n_rates")))
-    return rates.join(top_services(items, k), _SERVICE, "left_semi").select(
+    return rates.join(top_services(lines, k), _SERVICE, "left_semi").select(
         *_SERVICE, "vendor", "n_rates", mean.alias("mean_rate_cents")
     )
 
 
-def item_specs(items: DataFrame, k: int = TOP) -> DataFrame:
-    """Distinct descriptions of the top sub-services per vendor, nulls kept."""
-    specs = _labelled(items).select(*_SERVICE, "vendor", "description").distinct()
-    return specs.join(top_services(items, k), _SERVICE, "left_semi")
+def item_specs(lines: DataFrame, k: int = TOP) -> DataFrame:
+    """Distinct descriptions of the top sub-services per vendor, nulls kept.
+
+    ``lines`` carry vendor and description.
+    """
+    specs = lines.select(*_SERVICE, "vendor", "description").distinct()
+    return specs.join(top_services(lines, k), _SERVICE, "left_semi")

@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -22,6 +22,18 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
 
 def work_folder(spark: SparkSession) -> str:
     """A new folder under the cluster's shared spark.checkpoint.dir, local only where it is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     root = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="bidmatrix-")
     return f"{root}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written once and read back.
+
+    For a result several steps share: the steps then scan the small table with only the columns
+    they need, instead of each repeating the work behind it, and a lost executor costs no more
+    than a re-read. Spark also knows the table's real size when it picks join strategies.
+    """
+    folder = work_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -10,7 +10,7 @@ from bidmatrix.functions.text import short_vendor
 from bidmatrix.operators import cells as c
 from bidmatrix.operators import conformance, deviation, matrix, scope, totals, usage
 from bidmatrix.plans import comparison, sessions
-from bidmatrix.session import work_folder
+from bidmatrix.session import stored, work_folder
 from bidmatrix.sources import extracted, files, landing, marketplace, quotetext
 from bidmatrix.sources.store import QuoteStore
 from bidmatrix.streaming import sync
@@ -29,12 +29,21 @@ def _cells(spark, sf):
     return c.cells(views.items(spark, sf))
 
 
+def _stored_cells(spark, sf):
+    """For queries that go over the cells more than once."""
+    return stored(_cells(spark, sf))
+
+
+def _lines(spark, sf, *detail):
+    return usage.service_lines(views.items(spark, sf), *detail)
+
+
 def _totals(spark, sf):
     return totals.vendor_totals(views.quotes(spark, sf), views.items(spark, sf))
 
 
 def _pairs(spark, sf):
-    return scope.extreme_pairs(_totals(spark, sf))
+    return stored(scope.extreme_pairs(_totals(spark, sf)))
 
 
 # cells and matrix
@@ -59,12 +68,12 @@ def q_joined_items(spark, sf):
 
 @query
 def q_comparison_matrix(spark, sf):
-    return matrix.comparison_matrix(_cells(spark, sf))
+    return matrix.comparison_matrix(_stored_cells(spark, sf))
 
 
 @query
 def q_matrix_map(spark, sf):
-    maps = matrix.matrix_maps(_cells(spark, sf))
+    maps = matrix.matrix_maps(_stored_cells(spark, sf))
     return maps.select(
         "session_id", "service_category", "sub_service", F.explode("amounts").alias("vendor", "amount")
     ).select("session_id", "service_category", "sub_service", "vendor", (F.col("amount") * 100).cast("bigint").alias("amount_cents"))
@@ -77,13 +86,13 @@ def q_baseline(spark, sf):
 
 @query
 def q_vendor_list(spark, sf):
-    listed = matrix.vendor_list(_cells(spark, sf))
+    listed = matrix.vendor_list(_stored_cells(spark, sf))
     return listed.select("session_id", F.array_join("vendors", "; ").alias("vendors"))
 
 
 @query
 def q_category_groups(spark, sf):
-    groups = matrix.category_groups(_cells(spark, sf))
+    groups = matrix.category_groups(_stored_cells(spark, sf))
     row = lambda r: F.concat(r["sub_service"], F.lit("="), r["baseline_cents"].cast("string"))
     return groups.select(
         "session_id", "service_category", F.array_join(F.transform("rows", row), "; ").alias("rows")
@@ -101,7 +110,7 @@ def q_group_order(spark, sf):
 
 @query
 def q_display_matrix(spark, sf):
-    long = matrix.comparison_matrix(_cells(spark, sf))
+    long = matrix.comparison_matrix(_stored_cells(spark, sf))
     return long.select(
         "session_id", F.upper("service_category").alias("heading"), "sub_service",
         rupees(F.col("baseline_cents")).alias("baseline"),
@@ -130,7 +139,7 @@ def q_display_totals(spark, sf):
 
 @query
 def q_vendor_rank(spark, sf):
-    return totals.vendor_rank(_totals(spark, sf))
+    return totals.vendor_rank(stored(_totals(spark, sf)))
 
 
 @query
@@ -282,12 +291,12 @@ def q_taxonomy_snap(spark, sf):
 
 @query
 def q_taxonomy_uncovered(spark, sf):
-    return conformance.uncovered(_cells(spark, sf), views.taxonomy(spark, sf))
+    return conformance.uncovered(_stored_cells(spark, sf), views.taxonomy(spark, sf))
 
 
 @query
 def q_taxonomy_coverage(spark, sf):
-    return conformance.coverage(_cells(spark, sf), views.taxonomy(spark, sf))
+    return conformance.coverage(_stored_cells(spark, sf), views.taxonomy(spark, sf))
 
 
 @query
@@ -304,12 +313,12 @@ def q_field_problems(spark, sf):
 
 @query
 def q_deviation(spark, sf):
-    return deviation.deviation(_cells(spark, sf))
+    return deviation.deviation(_stored_cells(spark, sf))
 
 
 @query
 def q_red_flags(spark, sf):
-    return deviation.red_flags(_cells(spark, sf), 50)
+    return deviation.red_flags(_stored_cells(spark, sf), 50)
 
 
 @query
@@ -319,12 +328,12 @@ def q_overlap_services(spark, sf):
 
 @query
 def q_common_scope(spark, sf):
-    return scope.common_scope(_cells(spark, sf))
+    return scope.common_scope(_stored_cells(spark, sf))
 
 
 @query
 def q_scope_gaps(spark, sf):
-    return scope.scope_gaps(_cells(spark, sf))
+    return scope.scope_gaps(_stored_cells(spark, sf))
 
 
 @query
@@ -334,27 +343,27 @@ def q_extra_scope(spark, sf):
 
 @query
 def q_like_for_like(spark, sf):
-    return scope.like_for_like(_cells(spark, sf))
+    return scope.like_for_like(_stored_cells(spark, sf))
 
 
 @query
 def q_gap_adjusted_total(spark, sf):
-    return scope.gap_adjusted_totals(_cells(spark, sf))
+    return scope.gap_adjusted_totals(_stored_cells(spark, sf))
 
 
 @query
 def q_missing_categories(spark, sf):
-    return scope.missing_categories(_cells(spark, sf))
+    return scope.missing_categories(_stored_cells(spark, sf))
 
 
 @query
 def q_scope_intersect(spark, sf):
-    return scope.scope_intersect(_cells(spark, sf), _pairs(spark, sf))
+    return scope.scope_intersect(_stored_cells(spark, sf), _pairs(spark, sf))
 
 
 @query
 def q_scope_except(spark, sf):
-    return scope.scope_except(_cells(spark, sf), _pairs(spark, sf))
+    return scope.scope_except(_stored_cells(spark, sf), _pairs(spark, sf))
 
 
 @query
@@ -374,7 +383,7 @@ def q_category_rollup(spark, sf):
 
 @query
 def q_category_heatmap(spark, sf):
-    return deviation.category_heatmap(_cells(spark, sf))
+    return deviation.category_heatmap(_stored_cells(spark, sf))
 
 
 @query
@@ -386,7 +395,7 @@ def q_category_columns(spark, sf):
 
 @query
 def q_service_share(spark, sf):
-    return deviation.service_share(_cells(spark, sf))
+    return deviation.service_share(_stored_cells(spark, sf))
 
 
 @query
@@ -398,7 +407,7 @@ def q_cheapest_vendor(spark, sf):
 
 @query
 def q_top_subservices(spark, sf):
-    return usage.top_services(views.items(spark, sf))
+    return usage.top_services(_lines(spark, sf))
 
 
 @query
@@ -408,18 +417,18 @@ def q_top_overall(spark, sf):
 
 @query
 def q_rate_means(spark, sf):
-    return usage.rate_means(views.items(spark, sf))
+    return usage.rate_means(stored(_lines(spark, sf, "vendor")))
 
 
 @query
 def q_item_specs(spark, sf):
-    return usage.item_specs(views.items(spark, sf))
+    return usage.item_specs(stored(_lines(spark, sf, "vendor", "description")))
 
 
 @query
 def q_chat_context(spark, sf):
-    items = views.items(spark, sf)
-    return comparison.chat_context(items, totals.raw_totals(views.quotes(spark, sf), items))
+    lines = stored(_lines(spark, sf, "vendor", "description"))
+    return comparison.chat_context(lines, stored(totals.raw_totals(views.quotes(spark, sf), views.items(spark, sf))))
 
 
 @query
@@ -429,14 +438,14 @@ def q_chat_prompts(spark, sf):
 
 @query
 def q_rule_summary(spark, sf):
-    return comparison.rule_summary(_cells(spark, sf), _totals(spark, sf))
+    return comparison.rule_summary(_stored_cells(spark, sf), _totals(spark, sf))
 
 
 @query
 def q_report_context(spark, sf):
-    return comparison.report_context(_cells(spark, sf), _totals(spark, sf))
+    return comparison.report_context(_stored_cells(spark, sf), stored(_totals(spark, sf)))
 
 
 @query
 def q_bundle(spark, sf):
-    return comparison.bundle(_cells(spark, sf), _totals(spark, sf))
+    return comparison.bundle(_stored_cells(spark, sf), stored(_totals(spark, sf)))

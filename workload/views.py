@@ -83,6 +83,7 @@ def _documents(spark: SparkSession, sf: str, item: Column, service) -> DataFrame
     quote = ["session_id", "quote_id", "vendor_name", "source_filename"]
     per_service = (
         items(spark, sf)
+        .repartition(*quote)
         .groupBy(*quote, "service_category")
         .agg(F.collect_list(item).alias("lines"), F.sum("gross_cents").alias("gross"),
              F.min("o_orderdate").alias("first_day"))
@@ -175,7 +176,7 @@ def quote_texts(spark: SparkSession, sf: str) -> DataFrame:
         F.col("quantity").cast("string"), F.lit(" | "), money("rate_cents"), F.lit(" | "), "pricing_method", F.lit(" | "),
         F.when(F.col("quantity") == 1, F.lit("")).otherwise(money("amount_cents")),
     )
-    lines = items(spark, sf).groupBy("quote_id").agg(F.collect_list(line).alias("lines"))
+    lines = items(spark, sf).repartition("quote_id").groupBy("quote_id").agg(F.collect_list(line).alias("lines"))
     text = F.concat(
         F.lit("Scope of Work: supply and fit | all rooms\n"), F.array_join("lines", "\n"),
         F.lit("\nTerms & Conditions: 50 % advance | balance on completion"),
