@@ -29,25 +29,28 @@ def baseline(cells: DataFrame, keys: list[str] = ROW) -> DataFrame:
 def matrix_blocks(cells: DataFrame, keys: list[str] = ROW, block: int = BLOCK) -> DataFrame:
     """Every row of the matrix with every vendor of its session, as arrays.
 
-    keys, page, n_providers, baseline_cents, ``quoted`` (vendor, amount_cents) entries and
+    keys, page, n_pages, n_providers, baseline_cents, ``quoted`` (vendor, amount_cents) entries and
     ``absent`` vendors. Rows and vendors meet as arrays inside a row, so the filled-in matrix is
     never shuffled. A session has one block (page 0) up to ``block`` vendors, several beyond.
     """
     wide = large_groups(vendors(cells), ["session_id"], block)
     placed = with_page(cells, wide, ["session_id"], ["vendor"])
     entry = F.struct("vendor", "amount_cents")
-    quoted = collect(placed, [*keys, "page"], F.collect_list(entry).alias("quoted"))
+    quoted = collect(placed.drop("n_pages"), [*keys, "page"], F.collect_list(entry).alias("quoted"))
     labels = with_page(vendors(cells), wide, ["session_id"], ["vendor"])
     session_vendors = collect(labels, ["session_id", "page"], F.collect_list("vendor").alias("vendors"))
     # bound: at most (number of vendor labels / block) rows
     rows = baseline(cells, keys).join(F.broadcast(wide), ["session_id"], "left")
     last_page = F.coalesce("n_pages", F.lit(1)) - 1
-    grid = rows.withColumn("page", F.explode(F.sequence(F.lit(0), last_page))).drop("n_pages")
+    grid = rows.withColumn("page", F.explode(F.sequence(F.lit(0), last_page)))
     filled = grid.join(quoted, [*keys, "page"], "left").join(session_vendors, ["session_id", "page"])
     no_entries = F.array().cast("array<struct<vendor:string,amount_cents:bigint>>")
     filled = filled.withColumn("quoted", F.coalesce("quoted", no_entries))
     absent = F.array_except("vendors", F.transform("quoted", lambda q: q["vendor"]))
-    return filled.withColumn("absent", absent).drop("vendors")
+    return filled.select(
+        *keys, "page", F.coalesce("n_pages", F.lit(1)).alias("n_pages"), "n_providers", "baseline_cents",
+        "quoted", absent.alias("absent"),
+    )
 
 
 def _entries() -> Column:
@@ -79,7 +82,7 @@ def matrix_maps(cells: DataFrame, block: int = BLOCK) -> DataFrame:
         F.array_sort(_entries()), lambda e: F.struct(e["vendor"], amount(e["amount_cents"]))
     )
     return blocks.select(
-        *ROW, "page", amount(F.col("baseline_cents")).alias("market_average"),
+        *ROW, "page", "n_pages", amount(F.col("baseline_cents")).alias("market_average"),
         F.map_from_entries(entry).alias("amounts"),
     )
 

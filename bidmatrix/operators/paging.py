@@ -34,10 +34,14 @@ def collect(df: DataFrame, keys: list[str], *lists: Column) -> DataFrame:
 
 
 def collect_pages(
-    df: DataFrame, keys: list[str], item: Column, by: list[str], page: int = PAGE
+    df: DataFrame, keys: list[str], item: Column, by: list[str], page: int = PAGE,
+    large: DataFrame | None = None,
 ) -> DataFrame:
-    """keys, page, n_pages and ``items``: sorted arrays of at most about ``page`` entries."""
-    paged = with_page(df, large_groups(df, keys, page), keys, by)
+    """keys, page, n_pages and ``items``: sorted arrays of at most about ``page`` entries.
+
+    ``large`` may come from a cheaper relation that has at least as many rows per group.
+    """
+    paged = with_page(df, large_groups(df, keys, page) if large is None else large, keys, by)
     return collect(
         paged, [*keys, "page"],
         F.max("n_pages").alias("n_pages"), F.array_sort(F.collect_list(item)).alias("items"),

@@ -101,11 +101,7 @@ def q_category_groups(spark, sf):
 
 @query
 def q_group_order(spark, sf):
-    positioned = views._base(spark, sf).select(
-        views._session().alias("session_id"), F.col("p_type").alias("service_category"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"),
-    )
-    return matrix.group_order(positioned)
+    return matrix.group_order(views.positions(spark, sf))
 
 
 @query
@@ -448,4 +444,5 @@ def q_report_context(spark, sf):
 
 @query
 def q_bundle(spark, sf):
-    return comparison.bundle(_stored_cells(spark, sf), stored(_totals(spark, sf)))
+    cells, chart = _stored_cells(spark, sf), stored(_totals(spark, sf))
+    return comparison.bundle(cells, chart, stored(comparison.rule_summary(cells, chart)))

@@ -15,23 +15,41 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _base(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items with their order, customer, part and supplier.
+
+    Texts that depend on one part or supplier are put together once per part or supplier.
+    """
     t = lambda name: table(spark, sf, name)
-    return (
+    text = lambda name: F.col(name).cast("string")
+    part = t("part").select(
+        "p_partkey",
+        F.col("p_type").alias("service_category"),
+        F.concat("p_type", F.lit(" S"), (F.col("p_size") % 4).cast("string")).alias("sub_service"),
+        F.col("p_name").alias("work_title"),
+        F.concat("p_name", F.lit("&nbsp;size "), text("p_size")).alias("description"),
+        F.when(F.col("p_size") % 2 == 0, "Square Feet").otherwise("Unit").alias("pricing_method"),
+    )
+    block = F.col("s_suppkey") - F.col("s_suppkey") % 5
+    supplier = t("supplier").select(
+        "s_suppkey",
+        F.col("s_name").alias("vendor_name"),
+        F.concat(F.lit("S"), text("s_suppkey"), F.lit(".pdf")).alias("source_filename"),
+        F.concat(F.lit("_"), block.cast("string")).alias("block"),
+        F.concat(F.lit("_"), text("s_suppkey")).alias("supplier"),
+    )
+    joined = (
         t("lineitem")
         .join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
-        .join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(part, F.col("l_partkey") == F.col("p_partkey"))
+        .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    )
+    return joined.select(
+        "*",
+        F.concat(F.lit("session_"), text("c_nationkey"), "block").alias("session_id"),
+        F.concat(F.lit("q"), text("c_nationkey"), "supplier").alias("quote_id"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"),
     )
-
-
-def _session() -> Column:
-    block = F.col("l_suppkey") - F.col("l_suppkey") % 5
-    return F.concat(F.lit("session_"), F.col("c_nationkey").cast("string"), F.lit("_"), block.cast("string"))
-
-
-def _file() -> Column:
-    return F.concat(F.lit("S"), F.col("l_suppkey").cast("string"), F.lit(".pdf"))
 
 
 def items(spark: SparkSession, sf: str) -> DataFrame:
@@ -39,18 +57,11 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
     price = F.col("l_extendedprice") * 100
     cents = lambda c: F.round(c).cast("bigint")
     gross = price * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
-    supp = F.col("l_suppkey").cast("string")
     return _base(spark, sf).select(
-        _session().alias("session_id"),
-        F.concat(F.lit("q"), F.col("c_nationkey").cast("string"), F.lit("_"), supp).alias("quote_id"),
-        F.col("s_name").alias("vendor_name"),
-        _file().alias("source_filename"),
-        F.col("p_type").alias("service_category"),
-        F.concat("p_type", F.lit(" S"), (F.col("p_size") % 4).cast("string")).alias("sub_service"),
-        F.col("p_name").alias("work_title"),
-        F.concat("p_name", F.lit("&nbsp;size "), F.col("p_size").cast("string")).alias("description"),
+        "session_id", "quote_id", "vendor_name", "source_filename", "service_category", "sub_service",
+        "work_title", "description",
         F.col("l_quantity").alias("quantity"),
-        F.when(F.col("p_size") % 2 == 0, "Square Feet").otherwise("Unit").alias("pricing_method"),
+        "pricing_method",
         cents(price / F.col("l_quantity")).alias("rate_cents"),
         cents(price).alias("amount_cents"),
         cents(gross).alias("gross_cents"),
@@ -193,11 +204,16 @@ def taxonomy(spark: SparkSession, sf: str) -> DataFrame:
     return used.unionByName(extra)
 
 
+def positions(spark: SparkSession, sf: str) -> DataFrame:
+    """Where each category turns up in its session's list of lines."""
+    return _base(spark, sf).select("session_id", "service_category", "pos")
+
+
 def files(spark: SparkSession, sf: str, status: str) -> DataFrame:
     """File selections with many repeats: one per line item of the given line status."""
     return _base(spark, sf).where(F.col("l_linestatus") == status).select(
-        _session().alias("session_id"),
-        _file().alias("name"),
+        "session_id",
+        F.col("source_filename").alias("name"),
         F.col("l_quantity").cast("bigint").alias("size"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"),
+        "pos",
     )
