@@ -1,0 +1,157 @@
+"""Both intake lanes, stored tables, streaming."""
+
+import json
+
+from pyspark.sql import functions as F
+
+from bidmatrix.operators import cells as c
+from bidmatrix.sources import extracted, landing, marketplace
+from bidmatrix.sources.store import QuoteStore, export
+from bidmatrix.streaming import sync
+from conftest import rows
+
+PAYLOAD = "session_id string, payload string"
+
+
+def quote(number="Q1", company="A", total="12.345", items=None):
+    works = items if items is not None else [{
+        "workTitle": "t", "description": "a&nbsp;b", "subService": {"name": "S"}, "pricingMethod": {"name": "Sq"},
+        "pricingInput": [{"quantity": "2", "rate": 5.5, "grandTotal": 11}, {"quantity": 9}],
+    }]
+    return {
+        "quoteNumber": number, "vendorDetail": {"companyName": company},
+        "pricingSummary": [{"label": "Total", "value": 1}, {"label": "Grand total", "value": 3},
+                           {"label": "GRAND TOTAL (GST)", "value": total}, {"label": None, "value": 4}],
+        "workSummary": [{"services": [{"serviceId": {"name": "Cat"}, "workItems": works}]}, {}],
+    }
+
+
+def landed(spark, *payloads, **options):
+    data = [(f"s{i}", p if isinstance(p, str) else json.dumps(p)) for i, p in enumerate(payloads)]
+    return marketplace.sync(spark.createDataFrame(data, PAYLOAD), **options)
+
+
+LINE = ["service_category", "sub_service", "work_title", "description", "quantity", "pricing_method", "rate_cents", "amount_cents"]
+
+
+def test_three_envelopes(spark):
+    got = landed(spark, quote(), [quote(), quote("Q2")], {"quotes": [quote()]}, [])
+    assert rows(got.quotes, "session_id", "source_filename", "vendor_name", "grand_total_cents", "source_type") == [
+        (s, q, "A", 1235, "mongodb_integrated") for s, q in (("s0", "Q1"), ("s1", "Q1"), ("s1", "Q2"), ("s2", "Q1"))]
+    assert set(rows(got.quote_items, *LINE)) == {("Cat", "S", "t", "a b", 2.0, "Sq", 550, 1100)}
+    assert got.quote_items.count() == 4 and got.quarantine.count() == 0
+    assert got.quotes.select("quote_id").distinct().count() == 4
+    assert c.join_quotes(got.quote_items, got.quotes).count() == 4
+
+
+def test_absent_keys_take_defaults(spark):
+    got = landed(spark, {}, {"workSummary": [{"services": [{"workItems": [{}]}]}]}, {"pricingSummary": [{"label": "Total", "value": 5}]})
+    assert set(rows(got.quotes, "vendor_name", "source_filename", "grand_total_cents")) == {("Unknown Vendor", "DIRECT_SYNC", 0)}
+    assert rows(got.quote_items, *LINE) == [("General", "General Service", "", "", 0.0, "Unit", 0, 0)]
+
+
+def test_explicit_nulls(spark):
+    got = landed(
+        spark,
+        {"vendorDetail": {"companyName": None}, "pricingSummary": [{"label": "grand total", "value": None}]},
+        [quote(items=[{"subService": {"name": None}, "workTitle": None, "pricingInput": [{"rate": None}]}, {"pricingInput": []}])],
+    )
+    assert rows(got.quotes, "vendor_name", "grand_total_cents") == [("A", 1235), (None, None)]
+    assert rows(got.quote_items, "sub_service", "work_title", "rate_cents", "amount_cents") == [
+        ("General Service", "", 0, 0), (None, None, None, 0)]
+
+
+def test_bad_quotes_are_set_aside_and_good_ones_land(spark):
+    bad_item = lambda **k: quote("bad", items=[{**k}])
+    got = landed(
+        spark, [quote("good"), {"vendorDetail": None}], "not json", '{"a":', "[1, 2]",
+        bad_item(description=None), bad_item(subService=5), bad_item(pricingMethod=None),
+        bad_item(pricingInput=[{"rate": "abc"}]), quote(total="x"),
+    )
+    assert rows(got.quotes, "source_filename") == [("good",)]
+    assert rows(got.quarantine.withColumn("d", F.array_join("defects", ",")), "session_id", "d") == [
+        ("s0", "bad_vendor"), ("s1", "unreadable"), ("s2", "unreadable"), ("s3", "unreadable"), ("s4", "bad_item"),
+        ("s5", "bad_item"), ("s6", "bad_item"), ("s7", "bad_number"), ("s8", "bad_total")]
+
+
+def test_repeated_request_in_one_batch(spark):
+    text = json.dumps([quote(), quote()])
+    data = spark.createDataFrame([("s", text)] * 3, PAYLOAD)
+    got = marketplace.sync(data, drop_repeats=True)
+    assert got.quotes.count() == 2 and got.quotes.select("quote_id").distinct().count() == 2
+
+
+def test_document_lane(spark):
+    doc = {"vendor_name": "A", "client_name": None, "grand_total": "100", "services": [
+        {"service_category": "C", "items": [{"sub_service": "s", "rate": 1.005, "amount": None}, {}]}, {"items": [{"amount": 2}]}, {}]}
+    data = [("r1", None, "/a/b.pdf", json.dumps(doc)), ("r2", "s", "c.pdf", "{bad"), ("r3", "s", "d.pdf", "[1]"),
+            ("r4", "s", "e.pdf", "{}"), ("r5", "s", "f.pdf", json.dumps({"services": [{"items": [{"quantity": "x"}]}]}))]
+    got = extracted.extract(spark.createDataFrame(data, "request_id string, session_id string, path string, json string"))
+    columns = ["session_id", "vendor_name", "client_name", "quote_date", "grand_total_cents", "source_filename"]
+    assert rows(got.quotes, *columns) == [("s", "Unknown", "Unknown", "", 0, "e.pdf"), ("session_82f3e9c6", "A", None, "", 10000, "b.pdf")]
+    assert rows(got.quote_items, "service_category", "sub_service", "rate_cents", "amount_cents") == [
+        ("C", "Unknown", 0, 0), ("C", "s", 101, None), ("General", "Unknown", 0, 200)]
+    assert rows(got.quarantine.withColumn("d", F.array_join("defects", ",")), "source_filename", "d") == [
+        ("c.pdf", "unreadable"), ("d.pdf", "unreadable"), ("f.pdf", "bad_number")]
+    assert rows(landing.ingest_counts(got), "session_id", "n_quotes", "n_items", "n_quarantined") == [
+        ("s", 1, 0, 3), ("session_82f3e9c6", 1, 3, 0)]
+
+
+def test_lane_union_fills_missing_columns(spark):
+    a = spark.createDataFrame([("1", "x")], "quote_id string, source_type string")
+    b = spark.createDataFrame([("2", "d")], "quote_id string, quote_date string")
+    assert rows(landing.lane_union(a, b), "quote_id", "source_type", "quote_date") == [("1", "x", None), ("2", None, "d")]
+
+
+def test_store_replay_resend_and_session_filter(spark, tmp_path):
+    store = QuoteStore(spark, str(tmp_path / "store"), buckets=4)
+    first = landed(spark, quote("Q1"), quote("Q2"))
+    store.append(first, "1")
+    store.append(first, "1")
+    assert store.quotes().count() == 2 and store.line_items().count() == 2
+    store.append(landed(spark, quote("Q1")), "2")          # the same request again
+    assert store.quotes().count() == 2 and store.line_items().count() == 2
+    doubled = c.cells(store.line_items(latest_only=False))
+    assert rows(doubled, "session_id", "amount_cents") == [("s0", 2200), ("s1", 1100)]
+    store.append(landed(spark, quote("Q3", company="B")), "3")  # a new quote of the same session
+    assert rows(store.line_items("s0"), "session_id", "source_filename") == [("s0", "Q1"), ("s0", "Q3")]
+    plan = store.quote_items("s0")._jdf.queryExecution().executedPlan().toString()
+    scan = plan[plan.index("PartitionFilters"):]
+    assert "session_bucket" in scan.split("PushedFilters")[0] and "EqualTo(session_id,s0)" in scan
+
+
+def test_export(spark, tmp_path):
+    df = spark.createDataFrame([("s", 1)], "session_id string, n int")
+    for form in ("parquet", "json", "csv"):
+        export(df, str(tmp_path / form), form)
+        back = spark.read.option("header", "true").format(form).load(str(tmp_path / form))
+        assert [(r.session_id, int(r.n)) for r in back.collect()] == [("s", 1)]
+
+
+def test_stream_lands_once_and_recomputes_touched_sessions(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    store = QuoteStore(spark, str(tmp_path / "store"), buckets=2)
+
+    def arrive(name, *records):
+        (folder / name).write_text("\n".join(json.dumps({"session_id": s, "payload": json.dumps(p)}) for s, p in records))
+
+    def run():
+        query = sync.start(sync.read_payloads(spark, str(folder)), store, str(tmp_path / "checkpoint"))
+        query.awaitTermination()
+
+    arrive("1.json", ("s", quote("Q1")), ("s", quote("Q1")), ("t", quote("Q1")), ("t", "broken"))
+    run()
+    run()
+    assert rows(store.cells(), "session_id", "vendor", "amount_cents") == [("s", "A (Q1)", 1100), ("t", "A (Q1)", 1100)]
+    arrive("2.json", ("s", quote("Q2", company="B")))
+    run()
+    assert rows(store.cells("s"), "vendor", "amount_cents") == [("A (Q1)", 1100), ("B (Q2)", 1100)]
+    versions = store.read("cells", "session_id string")
+    assert rows(versions.where("ingest_batch > '000000000000'"), "session_id") == [("s",), ("s",)]
+    batch = spark.read.schema(sync.PAYLOADS).json(str(folder))
+    plain = marketplace.sync(batch, drop_repeats=True)
+    assert rows(store.line_items(), "session_id", "quote_id", "amount_cents") == rows(
+        c.join_quotes(plain.quote_items, plain.quotes), "session_id", "quote_id", "amount_cents")
+    sync.land_batch(store, batch.where("session_id = 't'"), 0)  # a replayed batch replaces its own rows
+    assert store.quotes("t").count() == 1
