@@ -48,7 +48,8 @@ def uncovered(cells: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """
     entry = F.struct(*SERVICE)
     quoted = (
-        cells.join(taxonomy.select(*SERVICE), SERVICE, "left_semi")
+        cells.select("session_id", *SERVICE).distinct()
+        .join(taxonomy.select(*SERVICE), SERVICE, "left_semi")
         .groupBy("session_id").agg(F.collect_set(entry).alias("quoted"))
     )
     sessions = cells.select("session_id").distinct().join(quoted, "session_id", "left")

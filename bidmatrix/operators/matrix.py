@@ -39,8 +39,7 @@ def matrix_blocks(cells: DataFrame, keys: list[str] = ROW, block: int = BLOCK) -
     quoted = collect(placed.drop("n_pages"), [*keys, "page"], F.collect_list(entry).alias("quoted"))
     labels = with_page(vendors(cells), wide, ["session_id"], ["vendor"])
     session_vendors = collect(labels, ["session_id", "page"], F.collect_list("vendor").alias("vendors"))
-    # bound: at most (number of vendor labels / block) rows
-    rows = baseline(cells, keys).join(F.broadcast(wide), ["session_id"], "left")
+    rows = baseline(cells, keys).join(wide, ["session_id"], "left")
     last_page = F.coalesce("n_pages", F.lit(1)) - 1
     grid = rows.withColumn("page", F.explode(F.sequence(F.lit(0), last_page)))
     filled = grid.join(quoted, [*keys, "page"], "left").join(session_vendors, ["session_id", "page"])

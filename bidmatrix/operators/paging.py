@@ -2,26 +2,28 @@
 
 One session may hold a third of all rows, so no group is ever collected whole. A group larger
 than a page is split over several pages by hash of the collected value; a smaller one is page 0.
-Which groups are larger is itself a small relation: at most (rows / page size) keys, so it is
-broadcast, and the rows being collected move once.
+Which groups are larger is itself a small relation, at most (rows / page size) keys. It is written
+down once, so Spark knows its real size: below the broadcast threshold it is broadcast, above it
+the join shuffles, and the rows move on to their page in either case.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bidmatrix.session import stored
+
 PAGE = 10_000
 
 
 def large_groups(df: DataFrame, keys: list[str], page: int = PAGE) -> DataFrame:
     """keys and n_pages of every group of more than ``page`` rows."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > page)
-    return sizes.select(*keys, F.ceil(F.col("n") / page).cast("int").alias("n_pages"))
+    return stored(sizes.select(*keys, F.ceil(F.col("n") / page).cast("int").alias("n_pages")))
 
 
 def with_page(df: DataFrame, large: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     """df with n_pages and page, from a ``large_groups`` relation."""
-    # bound: at most count(df) / PAGE rows
-    joined = df.join(F.broadcast(large), keys, "left")
+    joined = df.join(large, keys, "left")
     n_pages = F.coalesce("n_pages", F.lit(1))
     page = F.pmod(F.xxhash64(*by), n_pages.cast("bigint")).cast("int")
     return joined.withColumn("n_pages", n_pages).withColumn("page", page)

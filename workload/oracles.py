@@ -261,6 +261,10 @@ ORACLES: dict[str, str] = {
          null::varchar as client_name, null::varchar as quote_date from quotes
         union all
         select sent_session, vendor_name, grand_total_cents, source_filename, null, session_id, quote_date from sent""",
+    "q_quarantine": _with(*_Q) + """
+        select session_id, case grand_total_cents % 4 when 0 then 'bad_vendor' when 1 then 'bad_number'
+          else 'unreadable' end as defects, count(*) as n
+        from quotes where grand_total_cents % 4 < 3 group by all""",
     "q_ingest_counts": _with(_ITEMS) + """
         select session_id, count(distinct quote_id) as n_quotes, count(*) as n_items,
          cast(0 as bigint) as n_quarantined from items group by all""",

@@ -221,7 +221,7 @@ def q_lane_union(spark, sf):
 
 @query
 def q_quarantine(spark, sf):
-    landed = marketplace.sync(views.damaged_payloads(spark, sf).drop("damage"))
+    landed = marketplace.sync(views.damaged_payloads(spark, sf))
     return landed.quarantine.groupBy("session_id", F.array_join("defects", ",").alias("defects")).agg(
         F.count(F.lit(1)).alias("n")
     )
@@ -241,7 +241,7 @@ def q_text_rows(spark, sf):
 def q_stream_ingest(spark, sf):
     folder = work_folder(spark)
     views.payloads(spark, sf).write.json(f"{folder}/in")
-    store = QuoteStore(spark, f"{folder}/store")
+    store = QuoteStore(spark, f"{folder}/store", buckets=8)
     stream = sync.start(sync.read_payloads(spark, f"{folder}/in"), store, f"{folder}/checkpoint")
     stream.awaitTermination()
     return store.line_items().select("vendor_name", "source_filename", *_ITEM)
@@ -251,7 +251,7 @@ def q_stream_ingest(spark, sf):
 def q_stream_cells(spark, sf):
     folder = work_folder(spark)
     views.payloads(spark, sf).write.json(f"{folder}/in")
-    store = QuoteStore(spark, f"{folder}/store")
+    store = QuoteStore(spark, f"{folder}/store", buckets=8)
     stream = sync.start(sync.read_payloads(spark, f"{folder}/in", 2), store, f"{folder}/checkpoint")
     stream.awaitTermination()
     return store.cells()

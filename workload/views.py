@@ -107,6 +107,10 @@ def _documents(spark: SparkSession, sf: str, item: Column, service) -> DataFrame
 
 
 def payloads(spark: SparkSession, sf: str) -> DataFrame:
+    return _payloads(spark, sf).select("session_id", "payload")
+
+
+def _payloads(spark: SparkSession, sf: str) -> DataFrame:
     """Structured pushes, a third of the quotes in each of the three envelopes.
 
     Rates travel as numbers, amounts and quantities as text.
@@ -141,7 +145,7 @@ def payloads(spark: SparkSession, sf: str) -> DataFrame:
         .when(envelope == 1, F.concat(F.lit("["), body, F.lit("]")))
         .otherwise(F.concat(F.lit('{"quotes":['), body, F.lit("]}")))
     )
-    return docs.select("session_id", payload.alias("payload"))
+    return docs.select("session_id", "total_cents", payload.alias("payload"))
 
 
 def extracted(spark: SparkSession, sf: str) -> DataFrame:
@@ -165,16 +169,14 @@ def extracted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def damaged_payloads(spark: SparkSession, sf: str) -> DataFrame:
-    """The pushes with faults: a null vendor, an unreadable number, or a cut document."""
-    damage = F.crc32("payload") % 4
-    good = payloads(spark, sf)
-    return good.select(
+    """The pushes with faults, by the quote's total: a null vendor, an unreadable rate, a broken document."""
+    damage = F.col("total_cents") % 4
+    return _payloads(spark, sf).select(
         "session_id",
         F.when(damage == 0, F.regexp_replace("payload", r'"vendorDetail":\{[^}]*\}', '"vendorDetail":null'))
         .when(damage == 1, F.regexp_replace("payload", r'"rate":[0-9.]+', '"rate":"n/a"'))
         .when(damage == 2, F.concat(F.lit("{"), "payload"))
         .otherwise(F.col("payload")).alias("payload"),
-        damage.alias("damage"),
     )
 
 
