@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from bidmatrix.operators import cells as c
+from bidmatrix.plans import comparison
 from bidmatrix.sources import extracted, landing, marketplace
 from bidmatrix.sources.store import QuoteStore, export
 from bidmatrix.streaming import sync
@@ -128,7 +129,23 @@ def test_export(spark, tmp_path):
         assert [(r.session_id, int(r.n)) for r in back.collect()] == [("s", 1)]
 
 
-def test_stream_lands_once_and_recomputes_touched_sessions(spark, tmp_path):
+def test_stored_cells_equal_cells_of_stored_lines(spark, tmp_path):
+    """Over batches that repeat requests, replay, and add quotes to a session already there."""
+    store = QuoteStore(spark, str(tmp_path / "store"), buckets=2)
+    batches = [
+        [("s", quote("Q1")), ("t", quote("Q1"))],
+        [("s", quote("Q1")), ("s", [quote("Q2"), quote("Q2")]), ("u", {"vendorDetail": None})],
+        [("t", quote("Q1")), ("u", quote("Q9", items=[]))],
+    ]
+    for number, batch in enumerate(batches + batches[-1:]):
+        data = spark.createDataFrame([(s, json.dumps(p)) for s, p in batch], PAYLOAD)
+        sync.land_batch(store, data, min(number, 2))
+        assert rows(store.cells(), *store.cells().columns) == rows(c.cells(store.line_items()), *store.cells().columns)
+    assert rows(store.cells(), "session_id", "vendor", "amount_cents") == [
+        ("s", "A (Q1)", 1100), ("s", "A (Q2)", 2200), ("t", "A (Q1)", 1100)]
+
+
+def test_stream_lands_once_and_updates_touched_sessions(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
     store = QuoteStore(spark, str(tmp_path / "store"), buckets=2)
@@ -147,11 +164,27 @@ def test_stream_lands_once_and_recomputes_touched_sessions(spark, tmp_path):
     arrive("2.json", ("s", quote("Q2", company="B")))
     run()
     assert rows(store.cells("s"), "vendor", "amount_cents") == [("A (Q1)", 1100), ("B (Q2)", 1100)]
-    versions = store.read("cells", "session_id string")
-    assert rows(versions.where("ingest_batch > '000000000000'"), "session_id") == [("s",), ("s",)]
+    added = store.read("cells", "session_id string, vendor string")
+    assert rows(added.where("ingest_batch > '000000000000'"), "session_id", "vendor") == [("s", "B (Q2)")]
     batch = spark.read.schema(sync.PAYLOADS).json(str(folder))
     plain = marketplace.sync(batch, drop_repeats=True)
     assert rows(store.line_items(), "session_id", "quote_id", "amount_cents") == rows(
         c.join_quotes(plain.quote_items, plain.quotes), "session_id", "quote_id", "amount_cents")
     sync.land_batch(store, batch.where("session_id = 't'"), 0)  # a replayed batch replaces its own rows
     assert store.quotes("t").count() == 1
+
+
+def test_documents_to_comparison(spark, tmp_path):
+    for name, amount in (("a", 100), ("b", 300)):
+        doc = {"vendor_name": name.upper(), "grand_total": amount * 2, "services": [
+            {"service_category": "C", "items": [{"sub_service": "x", "rate": 1, "amount": amount}]}]}
+        (tmp_path / f"{name}.json").write_text(json.dumps(doc, indent=1))
+    store = QuoteStore(spark, str(tmp_path / "store"), buckets=2)
+    store.append(extracted.extract(extracted.read_documents(spark, str(tmp_path / "*.json"), "s1")), "1")
+    store.append(extracted.extract(extracted.read_documents(spark, str(tmp_path / "a.json"))), "2")
+    got = comparison.compare(store.line_items("s1"), store.quotes("s1")).collect()
+    assert [r.session_id for r in got] == ["s1"]
+    bundle = json.loads(got[0].bundle)
+    assert bundle["chartData"] == [{"vendor": "A (a.json)", "total": 200.0}, {"vendor": "B (b.json)", "total": 600.0}]
+    assert bundle["tableData"] == [{"category": "C", "sub_service": "x", "market_average": 200.0, "A (a.json)": 100.0, "B (b.json)": 300.0}]
+    assert comparison.compare(store.line_items(), store.quotes()).count() == 2

@@ -252,7 +252,7 @@ def q_stream_cells(spark, sf):
     folder = work_folder(spark)
     views.payloads(spark, sf).write.json(f"{folder}/in")
     store = QuoteStore(spark, f"{folder}/store", buckets=8)
-    stream = sync.start(sync.read_payloads(spark, f"{folder}/in", 2), store, f"{folder}/checkpoint")
+    stream = sync.start(sync.read_payloads(spark, f"{folder}/in", 4), store, f"{folder}/checkpoint")
     stream.awaitTermination()
     return store.cells()
 
@@ -444,5 +444,4 @@ def q_report_context(spark, sf):
 
 @query
 def q_bundle(spark, sf):
-    cells, chart = _stored_cells(spark, sf), stored(_totals(spark, sf))
-    return comparison.bundle(cells, chart, stored(comparison.rule_summary(cells, chart)))
+    return comparison.compare(views.items(spark, sf), views.quotes(spark, sf))
