@@ -21,19 +21,34 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared spark.checkpoint.dir, local only where it is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    root = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="bidmatrix-")
-    return f"{root}/{uuid.uuid4().hex}"
+    """A new folder under the cluster's shared spark.checkpoint.dir.
+
+    Only a session whose executors live in the driver's own process may go without that setting:
+    it gets one of its own. On a cluster a driver-local folder would lose rows, so that raises.
+    """
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not shared:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="bidmatrix-")
+        context.setCheckpointDir(shared)
+    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
     """df written once and read back.
 
     For a result several steps share: the steps then scan the small table with only the columns
     they need, instead of each repeating the work behind it, and a lost executor costs no more
     than a re-read. Spark also knows the table's real size when it picks join strategies.
     """
-    folder = work_folder(df.sparkSession)
+    folder = folder or work_folder(df.sparkSession)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def release(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of stored() that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
