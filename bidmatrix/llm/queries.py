@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bidmatrix.llm import mixing
+from bidmatrix.llm import licenses, mixing, packing
 from bidmatrix.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,6 +16,16 @@ def query(fn):
     return fn
 
 
+@query
+def op2_scan_licenses(spark, sf):
+    return licenses.scan(table(spark, sf, "documents"))
+
+
+@query
+def op5_pack_sequences(spark, sf):
+    return packing.pack_documents(table(spark, sf, "documents"))
+
+
 @query
 def op6_mix_sources(spark, sf):
     return mixing.mix_documents(table(spark, sf, "documents").select("doc_id", "text", "source")).drop("text", "source")
