@@ -3,8 +3,9 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bidmatrix.llm import chat, licenses, mixing, packing, simhash, sketches, urls
+from bidmatrix.llm import chat, langid, licenses, mixing, packing, simhash, sketches, urls, vectors
 from bidmatrix.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,6 +17,13 @@ def query(fn):
     return fn
 
 
+@query
+def op1_identify_language(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    found = langid.identify(docs.select("doc_id", "text"), langid.fit(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op2_scan_licenses(spark, sf):
     return licenses.scan(table(spark, sf, "documents"))
@@ -26,6 +34,11 @@ def op3_simhash_dedup(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents"))
 
 
+@query
+def op4_embedding_dedup(spark, sf):
+    return vectors.near_duplicates(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+
+
 @query
 def op5_pack_sequences(spark, sf):
     return packing.pack_documents(table(spark, sf, "documents"))
