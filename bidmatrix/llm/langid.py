@@ -176,7 +176,7 @@ def held_out(doc_id: Column) -> Column:
 
 def sample(docs: DataFrame, setting: Training = Training()) -> tuple[np.ndarray, list[str]]:
     """Training windows and labels: bounded by the settings and the number of languages."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(setting.seed)), "doc_id")
     chosen = known.select("doc_id", "lang").withColumn("place", F.row_number().over(order))
     chosen = chosen.where(F.col("place") <= setting.rows).select(F.col("doc_id").alias("id"), F.col("lang").alias("label"))

@@ -57,9 +57,9 @@ def water_level(sources: DataFrame, wanted: float, max_epochs: int) -> float:
 def plan_sources(sized: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """source, source_size, n_docs, target: one row per source, from rows of source and size."""
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    ranked = global_rank(totals, "source_rank", F.col("source").isNull(), F.col("source"))
+    ranked = global_rank(totals, "mix_rank", F.col("source").isNull(), F.col("source"))
     cycle = F.array(*[F.lit(w) for w in mix.weights])
-    at = (F.col("source_rank") % len(mix.weights)).cast("int")
+    at = (F.col("mix_rank") % len(mix.weights)).cast("int")
     weighed = stored(ranked.withColumn("weight", F.get(cycle, at).cast("long")))
     words = weighed.agg(F.sum("source_size")).first()[0] or 0
     level = water_level(weighed, mix.share * words, mix.max_epochs)
@@ -81,7 +81,7 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
         .withColumn("mix_whole", F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(0))
         .withColumn("mix_rest", words - F.col("mix_whole") * F.col("source_size"))
         .withColumn("mix_buckets", F.ceil(F.col("n_docs") / mix.bucket_rows))
-        .select(F.col("source").alias("mix_source"), "source_rank", "source_size", "target", "mix_whole", "mix_rest", "mix_buckets")
+        .select(F.col("source").alias("mix_source"), "mix_rank", "source_size", "target", "mix_whole", "mix_rest", "mix_buckets")
     )
     plan = stored(plan)
     bucket = F.floor(low * F.col("mix_buckets") / F.lit(2**32)).cast("long")
@@ -94,18 +94,18 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
             .withColumn("mix_bucket", bucket)
         )
 
-    sums = dealt(sized.select("doc_id", "source", "size")).groupBy("source_rank", "mix_bucket", "mix_rest").agg(
+    sums = dealt(sized.select("doc_id", "source", "size")).groupBy("mix_rank", "mix_bucket", "mix_rest").agg(
         F.sum("size").alias("mix_sum")
     )
-    running = Window.partitionBy("source_rank").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    running = Window.partitionBy("mix_rank").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     border = (
         sums.withColumn("mix_before", F.coalesce(F.sum("mix_sum").over(running), F.lit(0)))
         .where((F.col("mix_before") < F.col("mix_rest")) & (F.col("mix_before") + F.col("mix_sum") >= F.col("mix_rest")))
-        .select("source_rank", F.col("mix_bucket").alias("mix_border"), "mix_before")
+        .select("mix_rank", F.col("mix_bucket").alias("mix_border"), "mix_before")
     )
-    plan = stored(plan.join(border, "source_rank", "left"))
+    plan = stored(plan.join(border, "mix_rank", "left"))
 
-    order = Window.partitionBy("source_rank", "mix_bucket").orderBy("mix_draw", "size")
+    order = Window.partitionBy("mix_rank", "mix_bucket").orderBy("mix_draw", "size")
     ahead = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     left = F.col("mix_rest") - F.col("mix_before") - ahead
     extra = (

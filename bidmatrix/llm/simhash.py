@@ -116,6 +116,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without near-duplicates: of each component the row with the smallest doc_id, with its columns."""
     kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return rows.withColumn("kept_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "kept_hash"]).drop("kept_hash")
+    kept = kept.select(F.col("doc_id").alias("simhash_kept")).distinct()
+    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("simhash_kept")), "left_semi")
+    return rows.withColumn("simhash_text", F.xxhash64("text")).dropDuplicates(["doc_id", "simhash_text"]).drop("simhash_text")

@@ -1,0 +1,36 @@
+"""Small inputs with the cases every operator must stand."""
+
+LONG = "lorem ipsum dolor " * 30_000
+
+#: Null and empty texts, blanks, ties, repeated rows, a null source, a very long text, a null id.
+ODD = [
+    (1, "one two three four five six", "en", "a", 27),
+    (2, None, None, None, None),
+    (3, "", "en", "a", 0),
+    (4, "  \t\n ", "en", None, 5),
+    (5, "one two three four five six", "en", "b", 27),
+    (5, "one two three four five six", "en", "b", 27),
+    (6, LONG, "fr", "c", len(LONG)),
+    (7, "été naïve 中文 😀", "fr", "c", 15),
+    (None, "nobody's text, three words", None, "b", 26),
+    (8, "12 34 -- !!", "de", "b", 11),
+]
+#: Columns an operator might use itself.
+CLASHING = (
+    "size", "target", "taken", "score", "n", "key", "t", "hash", "rank", "class", "component", "component_id", "weight",
+    "label", "n_found", "sequence_id", "offset", "length", "kept", "least", "words", "lang_pred", "fingerprint", "bucket",
+)
+
+
+def odd_docs(spark):
+    rows = [r + tuple(range(len(CLASHING))) for r in ODD]
+    extra = ", ".join(f"`{c}` int" for c in CLASHING)
+    return spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
+
+
+def no_docs(spark):
+    return odd_docs(spark).where("false")
+
+
+def given(spark, name, sf="sf0.001"):
+    return spark.read.parquet(f"/root/testdata/{sf}/{name}.parquet")
