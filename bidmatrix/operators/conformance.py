@@ -25,13 +25,14 @@ def conforming(items: DataFrame, taxonomy: DataFrame) -> DataFrame:
 def snap(items: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """The closest entry of the same category for every label in use (ties by name).
 
-    Only distinct labels are compared, and only with the entries of their own category.
+    Only distinct labels are compared, and only with the entries of their own category. A label of
+    a category without entries, or of none, keeps its row and snaps to null.
     """
     entries = taxonomy.select("service_category", F.col("sub_service").alias("entry"))
     distance = F.levenshtein(normalised(F.col("sub_service")), normalised(F.col("entry")))
     return (
         labels_in_use(items)
-        .join(entries, "service_category")
+        .join(entries, "service_category", "left")
         .withColumn("distance", distance)
         .groupBy(*SERVICE)
         .agg(

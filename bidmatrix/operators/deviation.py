@@ -72,11 +72,13 @@ def category_heatmap(cells: DataFrame) -> DataFrame:
     )
 
 
-def category_columns(cells: DataFrame, categories: list[str]) -> DataFrame:
-    """The heat map with one column per listed category, one row per session and vendor."""
-    pivoted = cells.groupBy("session_id", "vendor").pivot("service_category", categories).agg(F.sum("amount_cents"))
-    columns = [F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(c) for c in categories]
-    return pivoted.select("session_id", "vendor", *columns)
+def category_columns(cells: DataFrame, categories: list[str] | None = None) -> DataFrame:
+    """The heat map with one column per category of the data, one row per session and vendor.
+
+    Given ``categories`` are looked up nowhere; without them Spark finds the distinct ones first.
+    """
+    grouped = cells.groupBy("session_id", "vendor").pivot("service_category", categories)
+    return grouped.agg(F.sum("amount_cents")).na.fill(0)
 
 
 def amount_check(items: DataFrame, tolerance_cents: int = 0) -> DataFrame:
@@ -90,13 +92,14 @@ def amount_check(items: DataFrame, tolerance_cents: int = 0) -> DataFrame:
 
 
 def total_check(items: DataFrame, quotes: DataFrame) -> DataFrame:
-    """Stated grand total of each quote against the sum of its lines (the rest is tax)."""
+    """Stated grand total of each quote against the sum of its lines (the rest is tax); no lines sum to 0."""
     keys = ["session_id", "quote_id"]
     sums = items.groupBy(*keys).agg(
         F.coalesce(F.sum("amount_cents"), F.lit(0)).alias("items_cents"), F.count(F.lit(1)).alias("n_items")
     )
-    diff = F.col("grand_total_cents") - F.col("items_cents")
-    return quotes.select(*keys, "grand_total_cents").join(sums, keys).select(
-        *keys, "n_items", "items_cents", "grand_total_cents", diff.alias("diff_cents"),
-        percent(diff, F.col("items_cents")).alias("diff_pct"),
+    items_cents = F.coalesce("items_cents", F.lit(0))
+    diff = F.col("grand_total_cents") - items_cents
+    return quotes.select(*keys, "grand_total_cents").join(sums, keys, "left").select(
+        *keys, F.coalesce("n_items", F.lit(0)).alias("n_items"), items_cents.alias("items_cents"), "grand_total_cents",
+        diff.alias("diff_cents"), percent(diff, items_cents).alias("diff_pct"),
     )

@@ -3,13 +3,12 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidmatrix.functions.money import amount, mean_cents
+from bidmatrix.functions.money import mean_cents
 from bidmatrix.operators.cells import vendors
-from bidmatrix.operators.paging import collect, collect_pages, large_groups, with_page
 from bidmatrix.schemas import ROW
 
-# A row of the matrix lists at most about this many vendors; wider sessions use several blocks.
-BLOCK = 4_096
+# Every session's vendors are dealt over so many blocks, which fill in a row's gaps one by one.
+VENDOR_BLOCKS = 8
 
 
 def _provided() -> Column:
@@ -26,28 +25,29 @@ def baseline(cells: DataFrame, keys: list[str] = ROW) -> DataFrame:
     )
 
 
-def matrix_blocks(cells: DataFrame, keys: list[str] = ROW, block: int = BLOCK) -> DataFrame:
+def filled_rows(cells: DataFrame, keys: list[str] = ROW) -> DataFrame:
     """Every row of the matrix with every vendor of its session, as arrays.
 
-    keys, page, n_pages, n_providers, baseline_cents, ``quoted`` (vendor, amount_cents) entries and
-    ``absent`` vendors. Rows and vendors meet as arrays inside a row, so the filled-in matrix is
-    never shuffled. A session has one block (page 0) up to ``block`` vendors, several beyond.
+    keys, n_providers, baseline_cents, ``quoted`` (vendor, amount_cents) entries and ``absent``
+    vendors, for each block of vendors. A session's vendors always come in up to VENDOR_BLOCKS
+    blocks, by hash of the label, whatever their number. Rows and vendors meet as arrays inside a
+    row, so the filled-in matrix is never shuffled, and a row's entries arrive with its baseline
+    in one shuffle.
     """
-    wide = large_groups(vendors(cells), ["session_id"], block)
-    placed = with_page(cells, wide, ["session_id"], ["vendor"])
-    entry = F.struct("vendor", "amount_cents")
-    quoted = collect(placed.drop("n_pages"), [*keys, "page"], F.collect_list(entry).alias("quoted"))
-    labels = with_page(vendors(cells), wide, ["session_id"], ["vendor"])
-    session_vendors = collect(labels, ["session_id", "page"], F.collect_list("vendor").alias("vendors"))
-    rows = baseline(cells, keys).join(wide, ["session_id"], "left")
-    last_page = F.coalesce("n_pages", F.lit(1)) - 1
-    grid = rows.withColumn("page", F.explode(F.sequence(F.lit(0), last_page)))
-    filled = grid.join(quoted, [*keys, "page"], "left").join(session_vendors, ["session_id", "page"])
-    no_entries = F.array().cast("array<struct<vendor:string,amount_cents:bigint>>")
-    filled = filled.withColumn("quoted", F.coalesce("quoted", no_entries))
+    block = lambda vendor: F.pmod(F.hash(vendor), F.lit(VENDOR_BLOCKS))
+    priced = F.when(_provided(), F.col("amount_cents"))
+    rows = cells.groupBy(*keys).agg(
+        F.sum(priced).alias("total"), F.count(priced).alias("n_providers"),
+        F.collect_list(F.struct("vendor", "amount_cents")).alias("entries"),
+    )
+    labels = vendors(cells).withColumn("block", block(F.col("vendor")))
+    labels = labels.groupBy("session_id", "block").agg(F.collect_list("vendor").alias("vendors"))
+    filled = rows.join(labels, "session_id").withColumn(
+        "quoted", F.filter("entries", lambda e: block(e["vendor"]) == F.col("block"))
+    )
     absent = F.array_except("vendors", F.transform("quoted", lambda q: q["vendor"]))
     return filled.select(
-        *keys, "page", F.coalesce("n_pages", F.lit(1)).alias("n_pages"), "n_providers", "baseline_cents",
+        *keys, "n_providers", mean_cents(F.col("total"), F.col("n_providers")).alias("baseline_cents"),
         "quoted", absent.alias("absent"),
     )
 
@@ -64,28 +64,16 @@ def _entries() -> Column:
     return F.concat(quoted, absent)
 
 
-def comparison_matrix(cells: DataFrame, keys: list[str] = ROW, block: int = BLOCK) -> DataFrame:
+def comparison_matrix(cells: DataFrame, keys: list[str] = ROW) -> DataFrame:
     """The full matrix in long form: one row per service and vendor of the session.
 
     ``quoted`` tells an amount of 0 from a service the vendor does not list.
     """
-    blocks = matrix_blocks(cells, keys, block)
-    long = blocks.select(*keys, "n_providers", "baseline_cents", F.explode(_entries()).alias("e"))
+    filled = filled_rows(cells, keys)
+    long = filled.select(*keys, "n_providers", "baseline_cents", F.explode(_entries()).alias("e"))
     return long.select(*keys, "n_providers", "baseline_cents", "e.vendor", "e.amount_cents", "e.quoted")
 
 
-def matrix_maps(cells: DataFrame, block: int = BLOCK) -> DataFrame:
-    """One row per service (and vendor block) with a vendor -> amount map."""
-    blocks = matrix_blocks(cells, ROW, block)
-    entry = F.transform(
-        F.array_sort(_entries()), lambda e: F.struct(e["vendor"], amount(e["amount_cents"]))
-    )
-    return blocks.select(
-        *ROW, "page", "n_pages", amount(F.col("baseline_cents")).alias("market_average"),
-        F.map_from_entries(entry).alias("amounts"),
-    )
-
-
 def wide_matrix(cells: DataFrame, session_id: str, labels: list[str]) -> DataFrame:
     """One session's matrix with a column per vendor, rows and columns sorted.
 
@@ -104,17 +92,13 @@ def wide_matrix(cells: DataFrame, session_id: str, labels: list[str]) -> DataFra
 
 
 def vendor_list(cells: DataFrame) -> DataFrame:
-    """Sorted vendor labels of each session, in pages."""
-    return collect_pages(vendors(cells), ["session_id"], F.col("vendor"), ["vendor"]).withColumnRenamed(
-        "items", "vendors"
-    )
+    """The vendor labels of each session, a row each; the label is the sort key."""
+    return vendors(cells)
 
 
 def category_groups(cells: DataFrame) -> DataFrame:
-    """The matrix rows of each category as one sorted array (in pages)."""
-    row = F.struct("sub_service", "baseline_cents")
-    keys = ["session_id", "service_category"]
-    return collect_pages(baseline(cells), keys, row, ["sub_service"]).withColumnRenamed("items", "rows")
+    """The matrix rows of each category, a row each; the sub-service is the sort key."""
+    return baseline(cells).drop("n_providers")
 
 
 def group_order(positioned: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """The same results as plain SQL over the given tables, for an independent engine."""
 
+from bidmatrix.sources.taxonomy import OFFICIAL
+
 _ITEMS = """
 items as (
  select 'session_' || cast(c_nationkey as varchar) || '_' || cast(l_suppkey - l_suppkey % 5 as varchar) as session_id,
@@ -147,42 +149,40 @@ summary as (
 
 _SECTIONS = """
 table_rows as (
- select session_id, service_category, sub_service, '{"category":"' || service_category || '","sub_service":"' || sub_service
-  || '","market_average":' || """ + _amount("baseline_cents") + """ || ',' ||
-  string_agg('"' || vendor || '":' || """ + _amount("amount_cents") + """, ',' order by vendor) || '}' as j
- from dense group by session_id, service_category, sub_service, baseline_cents),
-table_data as (select session_id, '[' || string_agg(j, ',' order by service_category, sub_service) || ']' as table_json
- from table_rows group by all),
-chart_data as (select session_id, '[' || string_agg('{"vendor":"' || vendor || '","total":' || """ + _amount("total_cents") + """
-  || '}', ',' order by total_cents, vendor) || ']' as chart_json from totals group by all),
-vendor_data as (select session_id, '[' || string_agg('"' || vendor || '"', ',' order by vendor) || ']' as vendor_json
- from vendors group by all)"""
+ select session_id, null::bigint as sort_number, service_category || chr(31) || sub_service || chr(31) || vendor as sort_text,
+  '{"category":"' || service_category || '","sub_service":"' || sub_service || '","market_average":' || """ + _amount("baseline_cents") + """
+  || ',"vendor":"' || vendor || '","amount":' || """ + _amount("amount_cents") + """ || '}' as entry from dense),
+chart_rows as (
+ select session_id, total_cents as sort_number, vendor as sort_text,
+  '{"vendor":"' || vendor || '","total":' || """ + _amount("total_cents") + """ || '}' as entry from totals)"""
 
 _CHAT = """
-ctotals as (select session_id, '[' || string_agg('{"vendor":"' || vendor || '","grand_total":' || """ + _amount("total_cents") + """
-  || '}', ',' order by vendor, total_cents) || ']' as j from totals group by all),
 rates as (select session_id, sub_service, """ + _LABEL + """ as vendor,
   cast((2 * sum(rate_cents) + count(*)) // (2 * count(*)) as bigint) as r from items
   semi join top using (session_id, sub_service) group by all),
-crates as (select session_id, '[' || string_agg('{"sub_service":"' || sub_service || '","vendor":"' || vendor || '","rate":'
-  || """ + _amount("r") + """ || '}', ',' order by sub_service, vendor) || ']' as j from rates group by all),
 specs as (select distinct session_id, sub_service, """ + _LABEL + """ as vendor, description from items
   semi join top using (session_id, sub_service)),
-cspecs as (select session_id, '[' || string_agg('{"sub_service":"' || sub_service || '","vendor":"' || vendor
-  || '","description":"' || description || '"}', ',' order by sub_service, vendor, description) || ']' as j
-  from specs group by all),
-context as (select session_id, 0 as page, 1 as n_pages, '{"vendor_totals":' || t.j || ',"item_rates":' || r.j
-  || ',"item_specs":' || s.j || '}' as context
- from ctotals t join crates r using (session_id) join cspecs s using (session_id))"""
+context as (
+ select session_id, 'vendor_totals' as section, total_cents as sort_number, vendor as sort_text,
+  '{"vendor":"' || vendor || '","grand_total":' || """ + _amount("total_cents") + """ || '}' as entry from totals
+ union all select session_id, 'item_rates', null, sub_service || chr(31) || vendor,
+  '{"sub_service":"' || sub_service || '","vendor":"' || vendor || '","rate":' || """ + _amount("r") + """ || '}' from rates
+ union all select session_id, 'item_specs', null, sub_service || chr(31) || vendor || chr(31) || description,
+  '{"sub_service":"' || sub_service || '","vendor":"' || vendor || '","description":"' || description || '"}' from specs)"""
 
 _SENT = f"""
 sent as (select *, {_SENT_SESSION} as sent_session from quotes)"""
 
+_BARE = """
+bare as (select 'bare_' || cast(s_suppkey as varchar) as session_id, 'bare_q' || cast(s_suppkey as varchar) as quote_id,
+  s_name as vendor_name, cast(0 as bigint) as grand_total_cents from supplier),
+all_quotes as (select session_id, quote_id, vendor_name, grand_total_cents from quotes union all from bare)"""
+
 _STATUS = """
-lines as (select session_id, quote_id, count(*) as n from items where quantity >= 48 group by all),
+lines as (select session_id, quote_id, count(*) as n from items group by all),
 per as (select q.session_id, count(*) as n_quotes, coalesce(sum(l.n), 0) as n_items
- from quotes q left join lines l using (session_id, quote_id) group by all),
-asked as (select distinct session_id from quotes union all select 'empty_' || cast(n_nationkey as varchar) from nation)"""
+ from all_quotes q left join lines l using (session_id, quote_id) group by all),
+asked as (select distinct session_id from all_quotes union all select 'empty_' || cast(n_nationkey as varchar) from nation)"""
 
 _USED = "used as (select service_category, sub_service, count(*) as n_items from items group by all)"
 
@@ -201,12 +201,8 @@ ORACLES: dict[str, str] = {
     "q_comparison_matrix": _with(*_D) + "from dense",
     "q_matrix_map": _with(*_D) + f"select {_ROW}, vendor, amount_cents from dense",
     "q_baseline": _with(*_B) + "from base",
-    "q_vendor_list": _with(*_C, _VENDORS) + """
-        select session_id, string_agg(vendor, '; ' order by vendor) as vendors from vendors group by all""",
-    "q_category_groups": _with(*_B) + """
-        select session_id, service_category,
-         string_agg(sub_service || '=' || cast(baseline_cents as varchar), '; ' order by sub_service) as rows
-        from base group by all""",
+    "q_vendor_list": _with(*_C, _VENDORS) + "from vendors",
+    "q_category_groups": _with(*_B) + f"select {_ROW}, baseline_cents from base",
     "q_group_order": _with(_ITEMS) + "select session_id, service_category, min(pos) as first_pos from items group by all",
     "q_display_matrix": _with(*_D) + f"""
         select session_id, upper(service_category) as heading, sub_service, {_rupees('baseline_cents')} as baseline,
@@ -232,19 +228,17 @@ ORACLES: dict[str, str] = {
         from (select vendor_name, quote_date, count(*) as n_quotes,
           cast((2 * sum(grand_total_cents) + count(*)) // (2 * count(*)) as bigint) as mean_cents
          from quotes group by all)""",
-    "q_session_status": _with(*_Q, _STATUS) + """
+    "q_session_status": _with(*_Q, _BARE, _STATUS) + """
         select session_id, coalesce(n_quotes, 0) as n_quotes, cast(coalesce(n_items, 0) as bigint) as n_items,
          case when coalesce(n_quotes, 0) = 0 then 'no_quotes' when n_items = 0 then 'no_items' else 'ok' end as status
         from asked left join per using (session_id)""",
     "q_comparable_sessions": _with(*_Q) + """
         select session_id, count(distinct quote_id) as n_quotes from quotes group by all
         having count(distinct quote_id) >= 2""",
-    "q_orphan_quotes": _with(*_Q) + """
-        select session_id, quote_id, vendor_name, grand_total_cents from quotes q
-        where not exists (select 1 from items i where i.quote_id = q.quote_id and quantity >= 48)""",
-    "q_session_items": _with(*_Q) + """
-        select session_id, quote_id, sub_service, quantity, amount_cents from items i
-        where exists (select 1 from quotes q where q.quote_id = i.quote_id and grand_total_cents < 200000000)""",
+    "q_orphan_quotes": _with(*_Q, _BARE) + """
+        select session_id, quote_id, vendor_name, grand_total_cents from all_quotes q
+        where not exists (select 1 from items i where i.quote_id = q.quote_id)""",
+    "q_session_items": _with(_ITEMS) + "select session_id, quote_id, sub_service, quantity, amount_cents from items",
     "q_sync_quotes": _with(*_Q) + """
         select session_id, vendor_name, grand_total_cents, source_filename, 'mongodb_integrated' as source_type
         from quotes""",
@@ -280,13 +274,16 @@ ORACLES: dict[str, str] = {
         from items where l_linestatus in ('F', 'O') group by session_id, source_filename, quantity""",
     "q_taxonomy_violations": _with(_ITEMS, _TAXONOMY, _USED) + "from used anti join taxonomy using (service_category, sub_service)",
     "q_taxonomy_conforming": _with(_ITEMS, _TAXONOMY, _USED) + "from used semi join taxonomy using (service_category, sub_service)",
+    "q_taxonomy_official": _with(_ITEMS, _USED) + "select service_category, sub_service, ord, coalesce(n_items, 0) as n_items from (values "
+    + ", ".join(f"('{c}', '{n}', {i})" for i, (c, n) in enumerate(OFFICIAL)) + """) as official(service_category, sub_service, ord)
+        left join used using (service_category, sub_service)""",
     "q_taxonomy_snap": _with(_ITEMS, _TAXONOMY, _USED) + """
         select service_category, sub_service, snapped, distance from (
          select u.service_category, u.sub_service, t.sub_service as snapped,
           levenshtein(lower(u.sub_service), lower(t.sub_service)) as distance,
           row_number() over (partition by u.service_category, u.sub_service
            order by levenshtein(lower(u.sub_service), lower(t.sub_service)), t.sub_service) as r
-         from used u join taxonomy t using (service_category)) where r = 1""",
+         from used u left join (from taxonomy where service_category <> 'PROMO') t using (service_category)) where r = 1""",
     "q_taxonomy_uncovered": _with(*_C, _TAXONOMY, _UNCOVERED) + "from uncovered",
     "q_taxonomy_coverage": _with(*_C, _TAXONOMY, _UNCOVERED) + """
         select session_id, service_category, count(*) as n_uncovered from uncovered group by all""",
@@ -338,10 +335,12 @@ ORACLES: dict[str, str] = {
         select session_id, quote_id, service_category, sub_service, work_title, quantity, rate_cents, amount_cents,
          amount_cents - cast(round(quantity * rate_cents) as bigint) as diff_cents
         from items where abs(amount_cents - cast(round(quantity * rate_cents) as bigint)) > 10""",
-    "q_total_check": _with(*_Q) + """
-        select session_id, quote_id, n_items, items_cents, grand_total_cents, grand_total_cents - items_cents as diff_cents,
-         cast(grand_total_cents - items_cents as double) * 100.0::double / cast(items_cents as double) as diff_pct
-        from quotes join (select session_id, quote_id, count(*) as n_items, cast(sum(amount_cents) as bigint) as items_cents
+    "q_total_check": _with(*_Q, _BARE) + """
+        select session_id, quote_id, coalesce(n_items, 0) as n_items, coalesce(items_cents, 0) as items_cents, grand_total_cents,
+         grand_total_cents - coalesce(items_cents, 0) as diff_cents,
+         cast(grand_total_cents - coalesce(items_cents, 0) as double) * 100.0::double
+          / nullif(cast(coalesce(items_cents, 0) as double), 0) as diff_pct
+        from all_quotes left join (select session_id, quote_id, count(*) as n_items, cast(sum(amount_cents) as bigint) as items_cents
          from items group by all) using (session_id, quote_id)""",
     "q_category_rollup": _with(*_C) + """
         select session_id, service_category, vendor, cast(grouping(session_id, service_category, vendor) as bigint) as level,
@@ -378,18 +377,21 @@ ORACLES: dict[str, str] = {
         from items semi join top using (session_id, sub_service)""",
     "q_chat_context": _with(*_T, _COUNTS, _TOP, _CHAT) + "from context",
     "q_chat_prompts": _with(*_T, _COUNTS, _TOP, _CHAT) + """
-        select conv_id, turn, session_id, text as message, n_pages, context
-        from (select conv_id, turn, 'session_' || cast(conv_id % 25 as varchar) || '_0' as session_id, text
-         from conversations where role = 'user' and trim(text) <> '') join context using (session_id)""",
+        select conv_id, turn, session_id, text as message, coalesce(n, 0) as n_entries,
+         case when n is null then 'No quotes found for this session' end as error
+        from (select conv_id, turn, 'session_' || cast(conv_id % 25 as varchar) || '_'
+           || cast(conv_id // 25 % 250 * 5 as varchar) as session_id, text
+         from conversations where role = 'user' and trim(text) <> '')
+        left join (select session_id, count(*) as n from context group by all) using (session_id)""",
     "q_rule_summary": _with(*_T, _CELLS, _BASE, _VENDORS, _NV, _SCOPE, _SUMMARY) + "from summary",
     "q_report_context": _with(*_T, _CELLS, _BASE, _VENDORS, _DENSE, _SECTIONS) + """
-        select session_id, 0 as page, 1 as n_pages, '{"matrix":' || table_json || ',"totals":' || chart_json || '}' as context
-        from table_data join chart_data using (session_id)""",
+        select session_id, 'matrix' as section, sort_number, sort_text, entry from table_rows
+        union all select session_id, 'totals', sort_number, sort_text, entry from chart_rows""",
     "q_bundle": _with(*_T, _CELLS, _BASE, _VENDORS, _NV, _DENSE, _SCOPE, _SUMMARY, _SECTIONS) + """
-        select session_id, 0 as page, 1 as n_pages, '{"report":"' || replace(summary, chr(10), '\\n') || '","chartData":'
-         || chart_json || ',"tableData":' || table_json || ',"vendors":' || vendor_json || ',"session_id":"' || session_id
-         || '"}' as bundle
-        from table_data join chart_data using (session_id) join vendor_data using (session_id) join summary using (session_id)""",
+        select session_id, 'report' as section, null::bigint as sort_number, '' as sort_text, summary as entry from summary
+        union all select session_id, 'chartData', sort_number, sort_text, entry from chart_rows
+        union all select session_id, 'tableData', sort_number, sort_text, entry from table_rows
+        union all select session_id, 'vendors', null, vendor, vendor from vendors""",
 }
 ORACLES["q_red_flags"] = (
     "select * from (" + ORACLES["q_deviation"] + ") where n_providers >= 2 and abs(deviation_cents) * 100 >= baseline_cents * 50"

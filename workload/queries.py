@@ -10,9 +10,11 @@ from bidmatrix.functions.text import short_vendor
 from bidmatrix.operators import cells as c
 from bidmatrix.operators import conformance, deviation, matrix, scope, totals, usage
 from bidmatrix.plans import comparison, sessions
+from bidmatrix.schemas import ROW
 from bidmatrix.session import stored, work_folder
 from bidmatrix.sources import extracted, files, landing, marketplace, quotetext
 from bidmatrix.sources.store import QuoteStore
+from bidmatrix.sources.taxonomy import official
 from bidmatrix.streaming import sync
 from workload import views
 
@@ -43,7 +45,7 @@ def _totals(spark, sf):
 
 
 def _pairs(spark, sf):
-    return stored(scope.extreme_pairs(_totals(spark, sf)))
+    return scope.extreme_pairs(_totals(spark, sf))
 
 
 # cells and matrix
@@ -73,10 +75,7 @@ def q_comparison_matrix(spark, sf):
 
 @query
 def q_matrix_map(spark, sf):
-    maps = matrix.matrix_maps(_stored_cells(spark, sf))
-    return maps.select(
-        "session_id", "service_category", "sub_service", F.explode("amounts").alias("vendor", "amount")
-    ).select("session_id", "service_category", "sub_service", "vendor", (F.col("amount") * 100).cast("bigint").alias("amount_cents"))
+    return matrix.comparison_matrix(_stored_cells(spark, sf)).select(*ROW, "vendor", "amount_cents")
 
 
 @query
@@ -86,17 +85,12 @@ def q_baseline(spark, sf):
 
 @query
 def q_vendor_list(spark, sf):
-    listed = matrix.vendor_list(_stored_cells(spark, sf))
-    return listed.select("session_id", F.array_join("vendors", "; ").alias("vendors"))
+    return matrix.vendor_list(_cells(spark, sf))
 
 
 @query
 def q_category_groups(spark, sf):
-    groups = matrix.category_groups(_stored_cells(spark, sf))
-    row = lambda r: F.concat(r["sub_service"], F.lit("="), r["baseline_cents"].cast("string"))
-    return groups.select(
-        "session_id", "service_category", F.array_join(F.transform("rows", row), "; ").alias("rows")
-    )
+    return matrix.category_groups(_cells(spark, sf))
 
 
 @query
@@ -135,7 +129,7 @@ def q_display_totals(spark, sf):
 
 @query
 def q_vendor_rank(spark, sf):
-    return totals.vendor_rank(stored(_totals(spark, sf)))
+    return totals.vendor_rank(_totals(spark, sf))
 
 
 @query
@@ -152,17 +146,14 @@ def q_price_trend(spark, sf):
 
 @query
 def q_session_status(spark, sf):
-    """Asked sessions: those of the quotes, and one per nation that has no quotes at all."""
+    """Asked sessions: those of the quotes, one per nation without quotes, one per supplier with a quote without lines."""
     none = views.table(spark, sf, "nation").select(
         F.concat(F.lit("empty_"), F.col("n_nationkey").cast("string")).alias("session_id")
     )
-    quotes = views.quotes(spark, sf)
-    return sessions.session_status(quotes.select("session_id").unionByName(none), quotes, _priced(spark, sf))
-
-
-def _priced(spark, sf):
-    """Only the lines of large orders, so that some quotes and sessions are left without lines."""
-    return views.items(spark, sf).where("quantity >= 48")
+    quotes = views.quotes(spark, sf).select("session_id", "quote_id").unionByName(
+        views.bare_quotes(spark, sf).select("session_id", "quote_id")
+    )
+    return sessions.session_status(quotes.select("session_id").unionByName(none), quotes, views.items(spark, sf))
 
 
 @query
@@ -172,15 +163,16 @@ def q_comparable_sessions(spark, sf):
 
 @query
 def q_orphan_quotes(spark, sf):
-    orphans = sessions.orphan_quotes(views.quotes(spark, sf), _priced(spark, sf))
-    return orphans.select("session_id", "quote_id", "vendor_name", "grand_total_cents")
+    """All quotes and one without lines per supplier."""
+    columns = ["session_id", "quote_id", "vendor_name", "grand_total_cents"]
+    quotes = views.quotes(spark, sf).select(*columns).unionByName(views.bare_quotes(spark, sf).select(*columns))
+    return sessions.orphan_quotes(quotes, views.items(spark, sf))
 
 
 @query
 def q_session_items(spark, sf):
-    """Lines of the quotes that total less than two million."""
-    cheap = views.quotes(spark, sf).where("grand_total_cents < 200000000")
-    return sessions.session_items(views.items(spark, sf), cheap).select(
+    """Lines of all quotes."""
+    return sessions.session_items(views.items(spark, sf), views.quotes(spark, sf)).select(
         "session_id", "quote_id", "sub_service", "quantity", "amount_cents"
     )
 
@@ -262,11 +254,6 @@ def q_file_dedupe(spark, sf):
     return files.add_files(views.files(spark, sf, "F"), views.files(spark, sf, "O"))
 
 
-@query
-def q_file_inventory(spark, sf):
-    return files.inventory(spark, sf, "*.parquet").select("name", "length")
-
-
 # labels
 
 @query
@@ -280,9 +267,20 @@ def q_taxonomy_conforming(spark, sf):
     return kept.groupBy("service_category", "sub_service").agg(F.count(F.lit(1)).alias("n_items"))
 
 
+@query
+def q_taxonomy_official(spark, sf):
+    """The official word bank with the number of lines that use each entry."""
+    bank = official(spark)
+    used = conformance.labels_in_use(views.items(spark, sf))
+    counted = bank.join(used, ["service_category", "sub_service"], "left")
+    return counted.select("service_category", "sub_service", "ord", F.coalesce("n_items", F.lit(0)).alias("n_items"))
+
+
 @query
 def q_taxonomy_snap(spark, sf):
-    return conformance.snap(views.items(spark, sf), views.taxonomy(spark, sf))
+    """The word bank of all categories but one, whose labels snap to nothing."""
+    bank = views.taxonomy(spark, sf).where("service_category <> 'PROMO'")
+    return conformance.snap(views.items(spark, sf), bank)
 
 
 @query
@@ -369,7 +367,10 @@ def q_amount_check(spark, sf):
 
 @query
 def q_total_check(spark, sf):
-    return deviation.total_check(views.items(spark, sf), views.quotes(spark, sf))
+    """All quotes and one without lines per supplier."""
+    columns = ["session_id", "quote_id", "grand_total_cents"]
+    quotes = views.quotes(spark, sf).select(*columns).unionByName(views.bare_quotes(spark, sf).select(*columns))
+    return deviation.total_check(views.items(spark, sf), quotes)
 
 
 @query
@@ -384,9 +385,8 @@ def q_category_heatmap(spark, sf):
 
 @query
 def q_category_columns(spark, sf):
-    return deviation.category_columns(
-        _cells(spark, sf), ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
-    )
+    """One column per category found in the data."""
+    return deviation.category_columns(_stored_cells(spark, sf))
 
 
 @query
@@ -424,7 +424,7 @@ def q_item_specs(spark, sf):
 @query
 def q_chat_context(spark, sf):
     lines = stored(_lines(spark, sf, "vendor", "description"))
-    return comparison.chat_context(lines, stored(totals.raw_totals(views.quotes(spark, sf), views.items(spark, sf))))
+    return comparison.chat_context(lines, totals.raw_totals(views.quotes(spark, sf), views.items(spark, sf)))
 
 
 @query
@@ -439,7 +439,7 @@ def q_rule_summary(spark, sf):
 
 @query
 def q_report_context(spark, sf):
-    return comparison.report_context(_stored_cells(spark, sf), stored(_totals(spark, sf)))
+    return comparison.report_context(_stored_cells(spark, sf), _totals(spark, sf))
 
 
 @query

@@ -77,13 +77,24 @@ def quotes(spark: SparkSession, sf: str) -> DataFrame:
     return grouped
 
 
+def bare_quotes(spark: SparkSession, sf: str) -> DataFrame:
+    """A quote without any line for each supplier, in a session of its own."""
+    key = F.col("s_suppkey").cast("string")
+    return table(spark, sf, "supplier").select(
+        F.concat(F.lit("bare_"), key).alias("session_id"), F.concat(F.lit("bare_q"), key).alias("quote_id"),
+        F.col("s_name").alias("vendor_name"), F.lit(0).cast("bigint").alias("grand_total_cents"),
+    )
+
+
 def quote_items(spark: SparkSession, sf: str) -> DataFrame:
     """Line items without the attributes of their quote, as stored."""
     return items(spark, sf).drop("vendor_name", "source_filename", "gross_cents", "o_orderdate")
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
-    session = F.concat(F.lit("session_"), (F.col("conv_id") % 25).cast("string"), F.lit("_0"))
+    """Questions spread over the nations' blocks of suppliers; some ask for sessions that do not exist."""
+    block = F.expr("conv_id div 25 % 250 * 5").cast("string")
+    session = F.concat(F.lit("session_"), (F.col("conv_id") % 25).cast("string"), F.lit("_"), block)
     return table(spark, sf, "conversations").where("role = 'user'").select(
         "conv_id", "turn", session.alias("session_id"), "text"
     )
