@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 def to_cents(amount: Column) -> Column:
     """Text, decimal or double amount as cents, half up; null when NaN or unreadable."""
-    exact = amount.try_cast("decimal(20,4)")
+    exact = amount.try_cast("decimal(38,20)")  # finer than any amount, so the rounding below is the only one
     return (F.round(exact, 2) * 100).cast("bigint")
 
 

@@ -24,7 +24,7 @@ def is_blank(text: Column) -> Column:
 
 def session_or_new(session_id: Column, request_key: Column) -> Column:
     """The given session, or one derived from the request so that a replay gets the same id."""
-    fresh = F.concat(F.lit("session_"), F.left(F.sha2(request_key, 256), F.lit(8)))
+    fresh = F.concat(F.lit("session_"), F.sha2(request_key, 256))
     return F.coalesce(F.nullif(session_id, F.lit("")), fresh)
 
 

@@ -1,41 +1,83 @@
-"""Quote text to line items.
+"""Text lane: quote texts to line items.
 
 Line grammar: ``{sub_service} :: {work_title} :: SAC {code} | {qty} | {rate} | {pricing} | {amount}``.
 The three stacked description parts are set apart by `` :: `` because official labels contain
-`` / `` themselves. Lines of any other shape (scope, materials, terms) are not table rows.
+`` / `` themselves. A blank price is 0; numbers may have a sign and thousands commas. Lines of any
+other shape (scope, materials, terms) are not table rows; one that looks like a row but does not
+read as one is kept apart and sets its quote aside.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bidmatrix import schemas
 from bidmatrix.functions.money import to_cents
+from bidmatrix.sources.landing import Landed, checked, computed_once, defect, land, quote_key
 
-# Fixed value: the shape of a table row.
-ROW_PATTERN = r"^.+ :: .* :: SAC \d+ \| [0-9.]* \| [0-9.]* \| [^|]* \| [0-9.]*\r?$"
+# The shape of a table row, and what tells a damaged one from prose.
+_NUMBER = r"([+-]?(?:[0-9]+|[0-9]{1,3}(?:,[0-9]{2,3})+)(?:\.[0-9]*)?|[+-]?\.[0-9]+|)"
+ROW_PATTERN = rf"^(.+?) :: (.*) :: SAC ([0-9]+) \| {_NUMBER} \| {_NUMBER} \| ([^|]*) \| {_NUMBER}\r?$"
+ROW_LIKE = r" :: .* :: |(?:\|.*){4}"
+
+
+def _part(line: Column, n: int) -> Column:
+    return F.regexp_extract(line, ROW_PATTERN, n)
+
+
+def _plain(number: Column) -> Column:
+    return F.replace(number, F.lit(","), F.lit(""))
+
+
+def _item(line: Column) -> Column:
+    cents = lambda n: F.coalesce(to_cents(_plain(_part(line, n))), F.lit(0).cast("bigint"))
+    return F.struct(
+        F.lit(schemas.DOCUMENT_DEFAULTS["service_category"]).alias("service_category"),
+        _part(line, 1).alias("sub_service"), _part(line, 2).alias("work_title"),
+        F.concat(F.lit("SAC "), _part(line, 3)).alias("description"),
+        F.coalesce(_plain(_part(line, 4)).try_cast("double"), F.lit(0.0)).alias("quantity"),
+        _part(line, 6).alias("pricing_method"), cents(5).alias("rate_cents"), cents(7).alias("amount_cents"),
+    )
+
+
+def _lines(texts: DataFrame) -> DataFrame:
+    return texts.select("*", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
 def line_items(texts: DataFrame) -> DataFrame:
     """(quote_id, text) to one row per table line; a missing price is 0."""
-    lines = texts.select("quote_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    rows = lines.where(F.col("line").rlike(ROW_PATTERN))
-
-    def column(n):
-        return F.split_part("line", F.lit(" | "), F.lit(n))
-
-    def stacked(n):
-        return F.split_part(column(1), F.lit(" :: "), F.lit(n))
-
-    def cents(n):
-        return F.coalesce(to_cents(F.trim(column(n))), F.lit(0).cast("bigint"))
-
-    return rows.select(
-        "quote_id",
-        "line_no",
-        stacked(1).alias("sub_service"),
-        stacked(2).alias("work_title"),
-        F.replace(stacked(3), F.lit("SAC "), F.lit("")).alias("sac_code"),
-        F.coalesce(column(2).try_cast("double"), F.lit(0.0)).alias("quantity"),
-        cents(3).alias("rate_cents"),
-        column(4).alias("pricing_method"),
-        F.coalesce(to_cents(F.regexp_replace(column(5), "\r$", "")), F.lit(0).cast("bigint")).alias("amount_cents"),
+    rows = _lines(texts.select("quote_id", "text")).where(F.rlike("line", F.lit(ROW_PATTERN)))
+    items = rows.select("quote_id", "line_no", _part(F.col("line"), 3).alias("sac_code"), _item(F.col("line")).alias("i"))
+    return items.select(
+        "quote_id", "line_no", "i.sub_service", "i.work_title", "sac_code", "i.quantity", "i.rate_cents", "i.pricing_method",
+        "i.amount_cents",
     )
+
+
+def unparsed_lines(texts: DataFrame) -> DataFrame:
+    """Lines that look like table rows and do not read as one."""
+    lines = _lines(texts.select("quote_id", "text"))
+    return lines.where(F.rlike("line", F.lit(ROW_LIKE)) & ~F.rlike("line", F.lit(ROW_PATTERN))).drop("text")
+
+
+def documents(texts: DataFrame) -> DataFrame:
+    """One row per quote text (session_id, source_filename, vendor_name, text), as of the other lanes.
+
+    A text names no category and no total; its total is the sum of its lines.
+    """
+    lines = F.split("text", "\n")
+    rows = F.filter(lines, lambda x: F.rlike(x, F.lit(ROW_PATTERN)))
+    typed = computed_once(texts, "items", F.coalesce(F.transform(rows, _item), F.array()))
+    odd = F.exists(lines, lambda x: F.rlike(x, F.lit(ROW_LIKE)) & ~F.rlike(x, F.lit(ROW_PATTERN)))
+    shaped = typed.select(
+        quote_key(F.col("session_id"), F.col("source_filename"), F.sha2("text", 256)).alias("quote_id"),
+        "session_id", "vendor_name",
+        F.lit(None).cast("string").alias("client_name"), F.lit(None).cast("string").alias("quote_date"),
+        F.aggregate("items", F.lit(0).cast("bigint"), lambda acc, i: acc + i["amount_cents"]).alias("grand_total_cents"),
+        "source_filename", F.lit("text").alias("source_type"), "items", F.col("text").alias("document"),
+        F.coalesce(odd, F.lit(False)).alias("odd"),
+    )
+    return checked(shaped, defect(F.col("odd"), "unparsed_line"), defect(F.size("items") == 0, "no_lines")).drop("odd")
+
+
+def extract(texts: DataFrame) -> Landed:
+    return land(documents(texts))

@@ -118,7 +118,7 @@ _ITEM = (
     "quantity, pricing_method, rate_cents, amount_cents"
 )
 _SENT_SESSION = (
-    "case when grand_total_cents % 2 = 0 then 'session_' || left(sha256(quote_id), 8) else session_id end"
+    "case when grand_total_cents % 2 = 0 then 'session_' || sha256(quote_id) else session_id end"
 )
 _LABEL = "vendor_name || ' (' || source_filename || ')'"
 
@@ -256,15 +256,29 @@ ORACLES: dict[str, str] = {
         union all
         select sent_session, vendor_name, grand_total_cents, source_filename, null, session_id, quote_date from sent""",
     "q_quarantine": _with(*_Q) + """
-        select session_id, case grand_total_cents % 4 when 0 then 'bad_vendor' when 1 then 'bad_number'
-          else 'unreadable' end as defects, count(*) as n
-        from quotes where grand_total_cents % 4 < 3 group by all""",
-    "q_ingest_counts": _with(_ITEMS) + """
-        select session_id, count(distinct quote_id) as n_quotes, count(*) as n_items,
-         cast(0 as bigint) as n_quarantined from items group by all""",
+        select session_id, case grand_total_cents % 8 when 0 then 'bad_vendor' when 1 then 'bad_number' when 3 then 'bad_quote'
+          when 5 then 'bad_list' when 6 then 'bad_list' else 'unreadable' end as defects,
+         case grand_total_cents % 8 when 3 then '5' when 4 then '{"quotes":null}' end as document, count(*) as n
+        from quotes where grand_total_cents % 8 < 7 group by all""",
+    "q_ingest_counts": _with(*_Q) + """
+        select q.session_id, cast(sum(case when grand_total_cents % 8 = 3 then 2 else 1 end) as bigint) as n_received,
+         count(*) filter (where grand_total_cents % 8 in (3, 7)) as n_quotes,
+         cast(coalesce(sum(n) filter (where grand_total_cents % 8 in (3, 7)), 0) as bigint) as n_items,
+         count(*) filter (where grand_total_cents % 8 < 7) as n_quarantined
+        from quotes q join (select quote_id, count(*) as n from items group by all) using (quote_id) group by all""",
     "q_text_rows": _with(_ITEMS) + """
-        select quote_id, sub_service, work_title, cast(p_size as varchar) as sac_code, quantity, rate_cents,
-         pricing_method, case when quantity = 1 then 0 else amount_cents end as amount_cents from items""",
+        select quote_id, sub_service, work_title || case when quantity = 3 then ' | deluxe' else '' end as work_title,
+         cast(p_size as varchar) as sac_code, quantity, rate_cents,
+         pricing_method, case when quantity = 1 then 0 else amount_cents end as amount_cents from items where quantity <> 2""",
+    "q_damaged_items": _with(*_Q) + f"""
+        select {_ITEM} from (select items.*, grand_total_cents from items join quotes using (quote_id, session_id))
+        where grand_total_cents % 8 in (3, 7)""",
+    "q_text_unparsed": _with(_ITEMS) + "select quote_id, count(*) as n_lines from items where quantity = 2 group by all",
+    "q_text_quotes": _with(_ITEMS) + """
+        select session_id, source_filename, case when not bool_or(quantity = 2) then cast(sum(case when quantity = 1 then 0
+          else amount_cents end) as bigint) end as grand_total_cents,
+         case when bool_or(quantity = 2) then 'unparsed_line' else '' end as defects
+        from items group by session_id, quote_id, source_filename""",
     "q_stream_ingest": _with(_ITEMS) + f"select vendor_name, source_filename, {_ITEM} from items",
     "q_stream_cells": _with(*_C) + "from cells",
     "q_file_dedupe": _with(_ITEMS) + """

@@ -213,15 +213,23 @@ def q_lane_union(spark, sf):
 
 @query
 def q_quarantine(spark, sf):
+    """What is set aside by session and fault, with the documents as far as they are no whole quotes."""
     landed = marketplace.sync(views.damaged_payloads(spark, sf))
-    return landed.quarantine.groupBy("session_id", F.array_join("defects", ",").alias("defects")).agg(
+    short = F.when(F.length("document") < 20, F.col("document"))
+    return landed.quarantine.groupBy("session_id", F.array_join("defects", ",").alias("defects"), short.alias("document")).agg(
         F.count(F.lit(1)).alias("n")
     )
 
 
+@query
+def q_damaged_items(spark, sf):
+    """Lines of the quotes that land beside the damaged ones."""
+    return marketplace.sync(views.damaged_payloads(spark, sf)).quote_items.select(*_ITEM)
+
+
 @query
 def q_ingest_counts(spark, sf):
-    return landing.ingest_counts(marketplace.sync(views.payloads(spark, sf)))
+    return landing.ingest_counts(marketplace.documents(views.damaged_payloads(spark, sf)))
 
 
 @query
@@ -229,6 +237,21 @@ def q_text_rows(spark, sf):
     return quotetext.line_items(views.quote_texts(spark, sf)).drop("line_no")
 
 
+@query
+def q_text_unparsed(spark, sf):
+    return quotetext.unparsed_lines(views.quote_texts(spark, sf)).groupBy("quote_id").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+@query
+def q_text_quotes(spark, sf):
+    """Text quotes as table rows; those with a line that does not read are set aside whole."""
+    landed = quotetext.extract(views.quote_texts(spark, sf))
+    kept = landed.quotes.select("session_id", "source_filename", "grand_total_cents", F.lit("").alias("defects"))
+    return kept.unionByName(landed.quarantine.select(
+        "session_id", "source_filename", F.lit(None).cast("bigint").alias("grand_total_cents"), F.array_join("defects", ",").alias("defects")
+    ))
+
+
 @query
 def q_stream_ingest(spark, sf):
     folder = work_folder(spark)

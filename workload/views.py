@@ -156,7 +156,7 @@ def _payloads(spark: SparkSession, sf: str) -> DataFrame:
         .when(envelope == 1, F.concat(F.lit("["), body, F.lit("]")))
         .otherwise(F.concat(F.lit('{"quotes":['), body, F.lit("]}")))
     )
-    return docs.select("session_id", "total_cents", payload.alias("payload"))
+    return docs.select("session_id", "total_cents", body.alias("body"), payload.alias("payload"))
 
 
 def extracted(spark: SparkSession, sf: str) -> DataFrame:
@@ -180,11 +180,16 @@ def extracted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def damaged_payloads(spark: SparkSession, sf: str) -> DataFrame:
-    """The pushes with faults, by the quote's total: a null vendor, an unreadable rate, a broken document."""
-    damage = F.col("total_cents") % 4
+    """The pushes with faults, by the quote's total: a null vendor, an unreadable rate, a broken document,
+    a number beside a good quote, no list of quotes, an object for a list of prices, a text for a list of works."""
+    damage = F.col("total_cents") % 8
     return _payloads(spark, sf).select(
         "session_id",
-        F.when(damage == 0, F.regexp_replace("payload", r'"vendorDetail":\{[^}]*\}', '"vendorDetail":null'))
+        F.when(damage == 3, F.concat(F.lit('{"quotes":['), "body", F.lit(",5]}")))
+        .when(damage == 4, F.lit('{"quotes":null}'))
+        .when(damage == 5, F.regexp_replace("payload", r'"pricingInput":\[(\{[^}]*\})\]', '"pricingInput":$1'))
+        .when(damage == 6, F.regexp_replace("body", r'"workSummary":.*$', '"workSummary":"none"}'))
+        .when(damage == 0, F.regexp_replace("payload", r'"vendorDetail":\{[^}]*\}', '"vendorDetail":null'))
         .when(damage == 1, F.regexp_replace("payload", r'"rate":[0-9.]+', '"rate":"n/a"'))
         .when(damage == 2, F.concat(F.lit("{"), "payload"))
         .otherwise(F.col("payload")).alias("payload"),
@@ -192,20 +197,26 @@ def damaged_payloads(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def quote_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """Quotes as text: a prose line, one line per item, a terms line. Quantity 1 leaves the amount blank."""
+    """Quotes as text: a prose line, one line per item, a terms line.
+
+    Quantity 1 leaves the amount blank, 2 is written in a way that does not read, 3 has a bar in its title,
+    and from 40 on amounts have thousands commas.
+    """
     money = lambda c: amount(F.col(c)).cast("string")
     line = F.concat(
-        "sub_service", F.lit(" :: "), "work_title", F.lit(" :: SAC "),
+        "sub_service", F.lit(" :: "), "work_title", F.when(F.col("quantity") == 3, " | deluxe").otherwise(""), F.lit(" :: SAC "),
         F.regexp_extract("description", r"size (\d+)", 1), F.lit(" | "),
-        F.col("quantity").cast("string"), F.lit(" | "), money("rate_cents"), F.lit(" | "), "pricing_method", F.lit(" | "),
-        F.when(F.col("quantity") == 1, F.lit("")).otherwise(money("amount_cents")),
+        F.when(F.col("quantity") == 2, "1.5.2").otherwise(F.col("quantity").cast("string")), F.lit(" | "), money("rate_cents"), F.lit(" | "), "pricing_method", F.lit(" | "),
+        F.when(F.col("quantity") == 1, F.lit(""))
+        .when(F.col("quantity") >= 40, F.format_number(amount(F.col("amount_cents")), 2)).otherwise(money("amount_cents")),
     )
-    lines = items(spark, sf).repartition("quote_id").groupBy("quote_id").agg(F.collect_list(line).alias("lines"))
+    quote = ["session_id", "quote_id", "vendor_name", "source_filename"]
+    lines = items(spark, sf).repartition("quote_id").groupBy(*quote).agg(F.collect_list(line).alias("lines"))
     text = F.concat(
         F.lit("Scope of Work: supply and fit | all rooms\n"), F.array_join("lines", "\n"),
         F.lit("\nTerms & Conditions: 50 % advance | balance on completion"),
     )
-    return lines.select("quote_id", text.alias("text"))
+    return lines.select(*quote, text.alias("text"))
 
 
 def taxonomy(spark: SparkSession, sf: str) -> DataFrame:
