@@ -4,9 +4,11 @@ import json
 
 from pyspark.sql import functions as F
 
+from bidmatrix import schemas
 from bidmatrix.operators import cells as c
+from bidmatrix.operators import conformance
 from bidmatrix.plans import comparison
-from bidmatrix.sources import extracted, landing, marketplace
+from bidmatrix.sources import extracted, landing, marketplace, quotetext
 from bidmatrix.sources.store import QuoteStore, export
 from bidmatrix.streaming import sync
 from conftest import rows
@@ -71,7 +73,7 @@ def test_bad_quotes_are_set_aside_and_good_ones_land(spark):
     )
     assert rows(got.quotes, "source_filename") == [("good",)]
     assert rows(got.quarantine.withColumn("d", F.array_join("defects", ",")), "session_id", "d") == [
-        ("s0", "bad_vendor"), ("s1", "unreadable"), ("s2", "unreadable"), ("s3", "unreadable"), ("s4", "bad_item"),
+        ("s0", "bad_vendor"), ("s1", "unreadable"), ("s2", "unreadable"), ("s3", "bad_quote"), ("s3", "bad_quote"), ("s4", "bad_item"),
         ("s5", "bad_item"), ("s6", "bad_item"), ("s7", "bad_number"), ("s8", "bad_total")]
 
 
@@ -89,13 +91,14 @@ def test_document_lane(spark):
             ("r4", "s", "e.pdf", "{}"), ("r5", "s", "f.pdf", json.dumps({"services": [{"items": [{"quantity": "x"}]}]}))]
     got = extracted.extract(spark.createDataFrame(data, "request_id string, session_id string, path string, json string"))
     columns = ["session_id", "vendor_name", "client_name", "quote_date", "grand_total_cents", "source_filename"]
-    assert rows(got.quotes, *columns) == [("s", "Unknown", "Unknown", "", 0, "e.pdf"), ("session_82f3e9c6", "A", None, "", 10000, "b.pdf")]
+    assert rows(got.quotes, *columns) == [("s", "Unknown", "Unknown", "", 0, "e.pdf"), ("session_82f3e9c695dc6b8d1b11818d5701919e286de8d47f7c3eb3100c485f79e57828", "A", None, "", 10000, "b.pdf")]
     assert rows(got.quote_items, "service_category", "sub_service", "rate_cents", "amount_cents") == [
         ("C", "Unknown", 0, 0), ("C", "s", 101, None), ("General", "Unknown", 0, 200)]
     assert rows(got.quarantine.withColumn("d", F.array_join("defects", ",")), "source_filename", "d") == [
         ("c.pdf", "unreadable"), ("d.pdf", "unreadable"), ("f.pdf", "bad_number")]
-    assert rows(landing.ingest_counts(got), "session_id", "n_quotes", "n_items", "n_quarantined") == [
-        ("s", 1, 0, 3), ("session_82f3e9c6", 1, 3, 0)]
+    given = extracted.documents(spark.createDataFrame(data, "request_id string, session_id string, path string, json string"))
+    assert rows(landing.ingest_counts(given), "session_id", "n_received", "n_quotes", "n_items", "n_quarantined") == [
+        ("s", 4, 1, 0, 3), ("session_82f3e9c695dc6b8d1b11818d5701919e286de8d47f7c3eb3100c485f79e57828", 1, 1, 3, 0)]
 
 
 def test_lane_union_fills_missing_columns(spark):
@@ -139,7 +142,7 @@ def test_stored_cells_equal_cells_of_stored_lines(spark, tmp_path):
     ]
     for number, batch in enumerate(batches + batches[-1:]):
         data = spark.createDataFrame([(s, json.dumps(p)) for s, p in batch], PAYLOAD)
-        sync.land_batch(store, data, min(number, 2))
+        sync.land_batch(store, data, min(number, 2), "a")
         assert rows(store.cells(), *store.cells().columns) == rows(c.cells(store.line_items()), *store.cells().columns)
     assert rows(store.cells(), "session_id", "vendor", "amount_cents") == [
         ("s", "A (Q1)", 1100), ("s", "A (Q2)", 2200), ("t", "A (Q1)", 1100)]
@@ -154,7 +157,7 @@ def test_stream_lands_once_and_updates_touched_sessions(spark, tmp_path):
         (folder / name).write_text("\n".join(json.dumps({"session_id": s, "payload": json.dumps(p)}) for s, p in records))
 
     def run():
-        query = sync.start(sync.read_payloads(spark, str(folder)), store, str(tmp_path / "checkpoint"))
+        query = sync.start(sync.read_payloads(spark, str(folder)), store, str(tmp_path / "checkpoint"), feed="mine")
         query.awaitTermination()
 
     arrive("1.json", ("s", quote("Q1")), ("s", quote("Q1")), ("t", quote("Q1")), ("t", "broken"))
@@ -165,12 +168,12 @@ def test_stream_lands_once_and_updates_touched_sessions(spark, tmp_path):
     run()
     assert rows(store.cells("s"), "vendor", "amount_cents") == [("A (Q1)", 1100), ("B (Q2)", 1100)]
     added = store.read("cells", "session_id string, vendor string")
-    assert rows(added.where("ingest_batch > '000000000000'"), "session_id", "vendor") == [("s", "B (Q2)")]
+    assert rows(added.where("ingest_batch > '000000000001'"), "session_id", "vendor") == [("s", "B (Q2)")]
     batch = spark.read.schema(sync.PAYLOADS).json(str(folder))
     plain = marketplace.sync(batch, drop_repeats=True)
     assert rows(store.line_items(), "session_id", "quote_id", "amount_cents") == rows(
         c.join_quotes(plain.quote_items, plain.quotes), "session_id", "quote_id", "amount_cents")
-    sync.land_batch(store, batch.where("session_id = 't'"), 0)  # a replayed batch replaces its own rows
+    sync.land_batch(store, batch.where("session_id = 't'"), 0, "mine")  # a replayed batch replaces its own rows
     assert store.quotes("t").count() == 1
 
 
@@ -183,8 +186,74 @@ def test_documents_to_comparison(spark, tmp_path):
     store.append(extracted.extract(extracted.read_documents(spark, str(tmp_path / "*.json"), "s1")), "1")
     store.append(extracted.extract(extracted.read_documents(spark, str(tmp_path / "a.json"))), "2")
     got = comparison.compare(store.line_items("s1"), store.quotes("s1")).collect()
-    assert [r.session_id for r in got] == ["s1"]
-    bundle = json.loads(got[0].bundle)
-    assert bundle["chartData"] == [{"vendor": "A (a.json)", "total": 200.0}, {"vendor": "B (b.json)", "total": 600.0}]
-    assert bundle["tableData"] == [{"category": "C", "sub_service": "x", "market_average": 200.0, "A (a.json)": 100.0, "B (b.json)": 300.0}]
-    assert comparison.compare(store.line_items(), store.quotes()).count() == 2
+    assert {r.session_id for r in got} == {"s1"}
+    entries = {k: [json.loads(r.entry) for r in sorted(got, key=lambda r: (r.sort_number or 0, r.sort_text)) if r.section == k] for k in ("chartData", "tableData")}
+    assert entries["chartData"] == [{"vendor": "A (a.json)", "total": 200.0}, {"vendor": "B (b.json)", "total": 600.0}]
+    fixed = {"category": "C", "sub_service": "x", "market_average": 200.0}
+    assert entries["tableData"] == [{**fixed, "vendor": "A (a.json)", "amount": 100.0}, {**fixed, "vendor": "B (b.json)", "amount": 300.0}]
+    assert comparison.compare(store.line_items(), store.quotes()).select("session_id").distinct().count() == 2
+
+
+def test_same_named_documents_stay_apart(spark, tmp_path):
+    doc = lambda vendor, amount: json.dumps({"vendor_name": vendor, "services": [{"service_category": "C", "items": [{"sub_service": "x", "amount": amount}]}]})
+    data = [("r", "s", "/a/q.json", doc("A", 100)), ("r", "s", "/b/q.json", doc("B", 300)), ("r", "s", "/b/q.json", doc("B", 300))]
+    got = extracted.extract(spark.createDataFrame(data, "request_id string, session_id string, path string, json string"), drop_repeats=True)
+    assert rows(c.cells_of_tables(got.quote_items, got.quotes), "vendor", "amount_cents") == [("A (q.json)", 10000), ("B (q.json)", 30000)]
+
+
+def test_something_else_where_a_list_or_quote_must_be(spark):
+    got = landed(
+        spark, {"quotes": [quote("good"), 5]}, {"quotes": None}, {"quotes": {"a": 1}}, [quote("good"), None],
+        {**quote(), "workSummary": "text"}, quote(items=[{"pricingInput": {"rate": 1}}]), {**quote(), "pricingSummary": ["x"]}, 7,
+    )
+    assert rows(got.quotes, "session_id", "source_filename") == [("s0", "good"), ("s3", "good")]
+    assert rows(got.quarantine.withColumn("d", F.array_join("defects", ",")), "session_id", "d") == [
+        ("s0", "bad_quote"), ("s1", "unreadable"), ("s2", "unreadable"), ("s3", "bad_quote"), ("s4", "bad_list"), ("s5", "bad_list"),
+        ("s6", "bad_list"), ("s7", "unreadable")]
+
+
+def test_amounts_are_rounded_once_and_quantities_kept(spark):
+    item = {"pricingInput": [{"quantity": "0.123456", "rate": "1.00499999", "grandTotal": 2.675}]}
+    assert rows(landed(spark, quote(items=[item])).quote_items, "quantity", "rate_cents", "amount_cents") == [(0.123456, 100, 268)]
+
+
+def test_text_lines_with_bars_commas_and_signs(spark):
+    text = "\n".join([
+        "Walls :: Paint | two coats :: SAC 9954 | 1.5 | 1,200.00 | Sq | -1,800.00", "Floor :: Tiles :: SAC 1 | 2 |  | Unit | \r",
+        "Roof :: Felt :: SAC 2 | 1.5.2 | 3 | Unit | 4", "Scope of work: all rooms", "",
+    ])
+    texts = spark.createDataFrame([("q", "s", "V", "f.txt", text)], "quote_id string, session_id string, vendor_name string, source_filename string, text string")
+    assert rows(quotetext.line_items(texts), "sub_service", "work_title", "sac_code", "quantity", "rate_cents", "amount_cents") == [
+        ("Floor", "Tiles", "1", 2.0, 0, 0), ("Walls", "Paint | two coats", "9954", 1.5, 120000, -180000)]
+    assert rows(quotetext.unparsed_lines(texts), "line_no") == [(2,)]
+    assert quotetext.extract(texts).quarantine.count() == 1
+    fine = texts.withColumn("text", F.lit(text.replace("1.5.2", "1.5")))
+    got = quotetext.extract(fine)
+    assert rows(c.cells_of_tables(got.quote_items, got.quotes), "sub_service", "vendor") == [
+        ("Floor", "V (f.txt)"), ("Roof", "V (f.txt)"), ("Walls", "V (f.txt)")]
+
+
+def test_two_streams_and_a_hand_made_batch_keep_everything(spark, tmp_path):
+    store = QuoteStore(spark, str(tmp_path / "store"), buckets=2)
+    for name in ("one", "two"):
+        (tmp_path / name).mkdir()
+        record = {"session_id": "s", "payload": json.dumps(quote(f"Q-{name}"))}
+        (tmp_path / name / "1.json").write_text(json.dumps(record) + '\n{"session_id": "s", bro')
+        sync.start(sync.read_payloads(spark, str(tmp_path / name)), store, str(tmp_path / f"checkpoint-{name}")).awaitTermination()
+    hand = spark.createDataFrame([("s", json.dumps(quote("Q-hand"))), ("s", json.dumps(quote("Q-one")))], PAYLOAD)
+    sync.land_batch(store, hand, 0, "hand")
+    want = [("s", f"A (Q-{n})", 1100) for n in ("hand", "one", "two")]
+    assert rows(store.cells(), "session_id", "vendor", "amount_cents") == want
+    assert rows(store.quarantine(), "document") == [('{"session_id": "s", bro',)] * 2
+    store.compact("counted", "session_id string, quote_id string, brought_by string")
+    store.compact("cells", schemas.CELLS)
+    sync.land_batch(store, hand, 1, "hand")  # sent again in a later batch: nothing new
+    assert rows(store.cells(), "session_id", "vendor", "amount_cents") == want
+    assert store.line_items().count() == 3
+
+
+def test_labels_of_unknown_categories_keep_their_row(spark, frame):
+    bank = spark.createDataFrame([("C", "Paint"), ("C", "Tiles")], "service_category string, sub_service string")
+    items = frame([("s", "A", "C", "paint ", 1), ("s", "A", "Other", "x", 1), ("s", "A", None, "y", 1)])
+    assert rows(conformance.snap(items, bank), "service_category", "sub_service", "snapped") == [
+        ("C", "paint ", "Paint"), ("Other", "x", None), (None, "y", None)]

@@ -1,5 +1,6 @@
-"""Cells, baseline, matrix and paging on small frames."""
+"""Cells, baseline and matrix on small frames."""
 
+import json
 import statistics
 
 import pytest
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from bidmatrix.functions import display, money
 from bidmatrix.operators import cells as c
-from bidmatrix.operators import deviation, matrix, paging
+from bidmatrix.operators import deviation, matrix
+from bidmatrix.plans import comparison
 from conftest import rows
 
 CELL = ["service_category", "sub_service", "vendor", "amount_cents"]
@@ -71,11 +73,10 @@ def many(n_vendors, n_services, session="s"):
     ]
 
 
-@pytest.mark.parametrize("block", [4, 1000])
-def test_wide_sessions_use_blocks_and_lose_nothing(frame, block):
+def test_wide_sessions_lose_nothing(frame):
     items = frame(many(30, 12) + many(3, 4, "small"))
     cells = c.cells(items)
-    long = matrix.comparison_matrix(cells, block=block)
+    long = matrix.comparison_matrix(cells)
     got = {(r.session_id, r.sub_service, r.vendor): (r.amount_cents, r.quoted, r.baseline_cents) for r in long.collect()}
     want = {}
     for session, vendors, services in (("s", 30, 12), ("small", 3, 4)):
@@ -88,26 +89,38 @@ def test_wide_sessions_use_blocks_and_lose_nothing(frame, block):
                 want[(session, f"x{x:03d}", label)] = (100 + v + x if given_ else 0, given_, mean)
     assert got == want
     assert long.count() == len(want)
-    if block == 4:
-        blocks = matrix.matrix_blocks(cells, block=block)
-        assert blocks.where("session_id = 's'").select("page").distinct().count() > 1
-        assert blocks.where("session_id = 'small'").select("page").distinct().count() == 1
 
 
-def test_pages_are_bounded_and_whole(spark):
-    df = spark.range(2_000).select(F.when(F.col("id") < 1_900, "hot").otherwise("cold").alias("session_id"), F.col("id").cast("string").alias("v"))
-    pages = paging.collect_pages(df, ["session_id"], F.col("v"), ["v"], page=200)
-    got = pages.select("session_id", "page", "n_pages", F.size("items").alias("n"), F.explode("items").alias("v"))
-    assert got.count() == 2_000 and got.select("v").distinct().count() == 2_000
-    assert got.where("session_id = 'hot'").agg(F.max("n"), F.max("n_pages")).first()[1] == 10
-    assert got.agg(F.max("n")).first()[0] < 300
-    assert got.where("session_id = 'cold'").select("page").distinct().count() == 1
+def test_one_grain_whatever_the_size(spark):
+    """A session of 50,000 vendors and one of three: same columns, same rules, everything in order."""
+    one = spark.range(50_000).select(F.lit("wide").alias("session_id"), F.format_string("V%05d", F.col("id")).alias("vendor"),
+                                     (F.col("id") % 7).alias("amount_cents"))
+    other = spark.range(3).select(F.lit("small").alias("session_id"), F.format_string("V%05d", F.col("id")).alias("vendor"),
+                                  (F.col("id") + 1).alias("amount_cents"))
+    cells = one.unionByName(other).select(
+        "session_id", F.lit("c").alias("service_category"), F.lit("x").alias("sub_service"), "vendor", "amount_cents"
+    ).unionByName(spark.createDataFrame(
+        [("wide", "c", "y", "V00001", 5), ("small", "c", "y", "V00001", 5)],
+        "session_id string, service_category string, sub_service string, vendor string, amount_cents bigint"))
+    n = {"wide": 50_000, "small": 3}
+    bars = cells.groupBy("session_id", "vendor").agg(F.sum("amount_cents").alias("total_cents"))
+    entries = comparison.bundle(cells, bars, spark.createDataFrame([("wide", "r"), ("small", "r")], "session_id string, summary string"))
+    counts = {(r[0], r[1]): r[2] for r in entries.groupBy("session_id", "section").count().collect()}
+    for session, vendors in n.items():
+        assert counts[(session, "tableData")] == 2 * vendors and counts[(session, "report")] == 1
+        assert counts[(session, "chartData")] == counts[(session, "vendors")] == vendors
+    placed = entries.where("session_id = 'wide' and section = 'chartData'").orderBy("sort_number", "sort_text").select("entry").collect()
+    totals = [json.loads(r.entry) for r in placed]
+    assert [(b["total"], b["vendor"]) for b in totals] == sorted((b["total"], b["vendor"]) for b in totals)
+    assert rows(matrix.vendor_list(cells).groupBy("session_id").count(), "session_id", "count") == [("small", 3), ("wide", 50_000)]
+    assert rows(matrix.category_groups(cells), "session_id", "sub_service", "baseline_cents") == [
+        ("small", "x", 2), ("small", "y", 5), ("wide", "x", 3), ("wide", "y", 5)]
 
 
 def test_wide_matrix_of_one_session(frame):
     items = frame([("s", "A", "c", "x", 5), ("s", "B", "c", "y", 7), ("t", "A", "c", "z", 1)])
     cells = c.cells(items)
-    labels = matrix.vendor_list(cells.where("session_id = 's'")).first().vendors
+    labels = sorted(r.vendor for r in matrix.vendor_list(cells.where("session_id = 's'")).collect())
     assert labels == ["A (A.pdf)", "B (B.pdf)"]
     wide = matrix.wide_matrix(cells, "s", labels)
     assert wide.columns[3:] == labels

@@ -105,47 +105,35 @@ def test_bundle_keeps_texts_intact(spark, frame):
     bars = cells.groupBy("session_id", "vendor").agg(F.sum("amount_cents").alias("total_cents"))
     import json
 
-    got = json.loads(comparison.bundle(cells, bars, comparison.rule_summary(cells, bars)).first().bundle)
+    entries = comparison.bundle(cells, bars, comparison.rule_summary(cells, bars)).orderBy("section", "sort_number", "sort_text").collect()
+    got = {}
+    for r in entries:
+        got.setdefault(r.section, []).append(r.entry)
     label = 'Finance "N" (Finance "N".pdf)'
     assert got["vendors"] == ["B (B.pdf)", label]
-    assert got["chartData"] == [{"vendor": "B (B.pdf)", "total": 2.0}, {"vendor": label, "total": 10.5}]
-    assert got["tableData"][1] == {"category": "Plumbing Services", "sub_service": "Plumbing Maintenance",
-                                   "market_average": 10.5, "B (B.pdf)": 0.0, label: 10.5}
-    assert got["session_id"] == "s" and got["report"].startswith("Lowest total: B (B.pdf) at ₹2.")
+    assert [json.loads(e) for e in got["chartData"]] == [{"vendor": "B (B.pdf)", "total": 2.0}, {"vendor": label, "total": 10.5}]
+    fixed = {"category": "Plumbing Services", "sub_service": "Plumbing Maintenance", "market_average": 10.5}
+    assert [json.loads(e) for e in got["tableData"][2:]] == [{**fixed, "vendor": "B (B.pdf)", "amount": 0.0}, {**fixed, "vendor": label, "amount": 10.5}]
+    assert len(got["report"]) == 1 and got["report"][0].startswith("Lowest total: B (B.pdf) at ₹2.")
 
 
-def test_large_session_comes_in_pages(frame, monkeypatch):
-    import json
-
-    monkeypatch.setattr(comparison, "_ROWS", 5)
-    monkeypatch.setattr(comparison, "_BLOCK", 4)
-    monkeypatch.setattr(comparison, "_ENTRIES", 6)
-    data = [("hot", f"V{v}", "c", f"x{x}", 1 + v * 100 + x) for v in range(12) for x in range(20)] + [("cold", "A", "c", "x", 3)]
-    cells = c.cells(frame(data))
-    bars = cells.groupBy("session_id", "vendor").agg(F.sum("amount_cents").alias("total_cents"))
-    pages = comparison.bundle(cells, bars, comparison.rule_summary(cells, bars)).collect()
-    hot = [json.loads(p.bundle) for p in pages if p.session_id == "hot"]
-    assert len([p for p in pages if p.session_id == "cold"]) == 1 and len(hot) > 3
-    amounts = {(r["sub_service"], v): a for p in hot for r in p["tableData"] for v, a in r.items() if v.startswith("V")}
-    assert amounts == {(f"x{x}", f"V{v} (V{v}.pdf)"): (1 + v * 100 + x) / 100 for v in range(12) for x in range(20)}
-    assert sum(len(p["chartData"]) for p in hot) == 12
-    assert sorted(v for p in hot for v in p["vendors"]) == sorted(f"V{v} (V{v}.pdf)" for v in range(12))
-
-
-def test_chat_prompts_skip_blank_and_refer_to_pages(spark):
+def test_every_question_gets_an_answer(spark):
     questions = spark.createDataFrame(
         [(1, 0, "s", "why?"), (2, 0, "s", "  "), (3, 0, "", "x"), (4, 0, "big", "y"), (5, 0, "none", "z")],
         "conv_id bigint, turn bigint, session_id string, text string")
-    context = spark.createDataFrame([("s", 0, 1, "{}"), ("big", 0, 2, "a"), ("big", 1, 2, "b")],
-                                    "session_id string, page int, n_pages int, context string")
-    assert rows(comparison.chat_prompts(questions, context), "conv_id", "n_pages", "context") == [(1, 1, "{}"), (4, 2, None)]
+    context = spark.createDataFrame([("s", "{}"), ("big", "a"), ("big", "b")], "session_id string, entry string")
+    assert rows(comparison.chat_prompts(questions, context), "conv_id", "n_entries", "error") == [
+        (1, 1, None), (4, 2, None), (5, 0, comparison.NO_DATA)]
 
 
 def test_price_trend(spark):
     quotes = quotes_of(spark, [("s", "1", "A", "f", "2024-01-02", 10), ("t", "2", "A", "f", "2024-01-02", 15),
                                ("s", "3", "A", "f", "2024-02-01", 11), ("s", "4", "A", "f", "soon", 9), ("s", "5", "A", "f", None, 9)])
     assert rows(totals.price_trend(quotes), "quote_date", "n_quotes", "mean_cents", "change_cents") == [
-        ("2024-01-02", 2, 13, None), ("2024-02-01", 1, 11, -2)]
+        ("2024-01-02", 2, 13, None), ("2024-02-01", 1, 11, -2), (None, 2, 9, None)]
+    other = quotes_of(spark, [("s", str(i), "A", "f", d, 10) for i, d in enumerate(
+        ["2024-03-02", "02/03/2024", "02.03.2024", "02-03-2024", "2 Mar 2024", "Mar 2, 2024", "2 March 2024"])])
+    assert rows(totals.price_trend(other), "quote_date", "n_quotes") == [("2024-03-02", 7)]
 
 
 def test_official_word_bank(spark):
@@ -156,7 +144,7 @@ def test_official_word_bank(spark):
         "service_category string, sub_service string")
     assert rows(conformance.violations(used, bank), "sub_service") == [("Modular Kitchn",), ("Tiles",), ("interior  painting",)]
     assert rows(conformance.snap(used, bank), "sub_service", "snapped") == [
-        ("Modular Kitchn", "Modular Kitchen"), ("Texture Painting", "Texture Painting"), ("interior  painting", "Interior Painting")]
+        ("Modular Kitchn", "Modular Kitchen"), ("Texture Painting", "Texture Painting"), ("Tiles", None), ("interior  painting", "Interior Painting")]
     cells = used.withColumn("session_id", F.lit("s"))
     assert conformance.uncovered(cells, bank).count() == 136
 

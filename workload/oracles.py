@@ -223,9 +223,9 @@ ORACLES: dict[str, str] = {
          cast(sum(grand_total_cents) as bigint) as sum_cents, min(quote_date) as first_date, max(quote_date) as last_date
         from quotes group by all""",
     "q_price_trend": _with(*_Q) + """
-        select vendor_name, quote_date, n_quotes, mean_cents,
-         mean_cents - lag(mean_cents) over (partition by vendor_name order by quote_date) as change_cents
-        from (select vendor_name, quote_date, count(*) as n_quotes,
+        select vendor_name, quote_date, n_quotes, mean_cents, case when quote_date is not null then
+         mean_cents - lag(mean_cents) over (partition by vendor_name, quote_date is null order by quote_date) end as change_cents
+        from (select vendor_name, case when grand_total_cents % 4 <> 2 then quote_date end as quote_date, count(*) as n_quotes,
           cast((2 * sum(grand_total_cents) + count(*)) // (2 * count(*)) as bigint) as mean_cents
          from quotes group by all)""",
     "q_session_status": _with(*_Q, _BARE, _STATUS) + """

@@ -139,7 +139,8 @@ def q_session_history(spark, sf):
 
 @query
 def q_price_trend(spark, sf):
-    return totals.price_trend(views.quotes(spark, sf))
+    """Dates in several ways of writing, some of which do not read, by the quote's total."""
+    return totals.price_trend(views.dated_quotes(spark, sf))
 
 
 # sessions

@@ -77,6 +77,16 @@ def quotes(spark: SparkSession, sf: str) -> DataFrame:
     return grouped
 
 
+def dated_quotes(spark: SparkSession, sf: str) -> DataFrame:
+    """Quotes whose dates are written in one of four ways, one of them no date."""
+    day, way = F.col("quote_date").cast("date"), F.col("grand_total_cents") % 4
+    written = (
+        F.when(way == 0, F.date_format(day, "dd/MM/yyyy")).when(way == 1, F.date_format(day, "d MMM yyyy"))
+        .when(way == 2, F.lit("soon")).otherwise(F.col("quote_date"))
+    )
+    return quotes(spark, sf).withColumn("quote_date", written)
+
+
 def bare_quotes(spark: SparkSession, sf: str) -> DataFrame:
     """A quote without any line for each supplier, in a session of its own."""
     key = F.col("s_suppkey").cast("string")
