@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from bidmatrix.operators import cells as c
-from bidmatrix.operators import conformance, scope, totals, usage
+from bidmatrix.operators import conformance, salting, scope, totals, usage
 from bidmatrix.plans import comparison, sessions
 from bidmatrix.sources import files, quotetext, taxonomy
 from conftest import rows
@@ -126,6 +126,25 @@ def test_every_question_gets_an_answer(spark):
         (1, 1, None), (4, 2, None), (5, 0, comparison.NO_DATA)]
 
 
+def test_hot_session_is_spread(spark, frame):
+    """A session with most of the rows meets its aggregate in many tasks, none with more than a bounded share."""
+    rows_ = spark.range(8_000).select(F.when(F.col("id") < 6_000, "hot").otherwise(F.concat(F.lit("s"), F.col("id"))).alias("session_id"),
+                                      F.col("id").cast("string").alias("x"))
+    per = rows_.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        joined = salting.with_session(rows_, per, ["x"]).withColumn("task", F.spark_partition_id())
+        sizes = [r["count"] for r in joined.groupBy("task").count().collect()]
+        assert sum(sizes) == 8_000 and max(sizes) < 8_000 / 4
+        assert joined.where("session_id = 'hot'").agg(F.min("n"), F.max("n")).first() == (6_000, 6_000)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_price_trend(spark):
     quotes = quotes_of(spark, [("s", "1", "A", "f", "2024-01-02", 10), ("t", "2", "A", "f", "2024-01-02", 15),
                                ("s", "3", "A", "f", "2024-02-01", 11), ("s", "4", "A", "f", "soon", 9), ("s", "5", "A", "f", None, 9)])
