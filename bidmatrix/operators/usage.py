@@ -26,6 +26,15 @@ def service_lines(items: DataFrame, *detail: str) -> DataFrame:
     )
 
 
+def lines_of_sums(sums: DataFrame, *detail: str) -> DataFrame:
+    """``service_lines`` from lines that are summed already (n_items, rate_cents, n_rates) per quote and more."""
+    label = vendor_label(F.col("vendor_name"), F.col("source_filename"))
+    labelled = sums.where("session_id is not null and sub_service is not null").withColumn("vendor", label)
+    return labelled.groupBy(*_SERVICE, *detail).agg(
+        F.sum("n_items").alias("n_lines"), F.sum("rate_cents").alias("rate_sum"), F.sum("n_rates").alias("n_rates")
+    )
+
+
 def top_services(lines: DataFrame, k: int = TOP) -> DataFrame:
     """The k most frequent sub-services of each session, ties by name.
 

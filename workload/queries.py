@@ -36,6 +36,11 @@ def _stored_cells(spark, sf):
     return stored(_cells(spark, sf))
 
 
+def _stored_sums(spark, sf):
+    """For queries that take cells and totals from the same lines: the five tables are joined once."""
+    return stored(views.quote_sums(spark, sf))
+
+
 def _lines(spark, sf, *detail):
     return usage.service_lines(views.items(spark, sf), *detail)
 
@@ -447,8 +452,9 @@ def q_item_specs(spark, sf):
 
 @query
 def q_chat_context(spark, sf):
-    lines = stored(_lines(spark, sf, "vendor", "description"))
-    return comparison.chat_context(lines, totals.raw_totals(views.quotes(spark, sf), views.items(spark, sf)))
+    sums = stored(views.quote_sums(spark, sf, "description"))
+    lines = stored(usage.lines_of_sums(sums, "vendor", "description"))
+    return comparison.chat_context(lines, totals.raw_totals(views.quotes_of(sums), sums))
 
 
 @query
@@ -458,14 +464,17 @@ def q_chat_prompts(spark, sf):
 
 @query
 def q_rule_summary(spark, sf):
-    return comparison.rule_summary(_stored_cells(spark, sf), _totals(spark, sf))
+    sums = _stored_sums(spark, sf)
+    return comparison.rule_summary(stored(c.cells(sums)), totals.vendor_totals(views.quotes_of(sums), sums))
 
 
 @query
 def q_report_context(spark, sf):
-    return comparison.report_context(_stored_cells(spark, sf), _totals(spark, sf))
+    sums = _stored_sums(spark, sf)
+    return comparison.report_context(stored(c.cells(sums)), totals.vendor_totals(views.quotes_of(sums), sums))
 
 
 @query
 def q_bundle(spark, sf):
-    return comparison.compare(views.items(spark, sf), views.quotes(spark, sf))
+    sums = _stored_sums(spark, sf)
+    return comparison.compare(sums, views.quotes_of(sums))

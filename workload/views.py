@@ -69,12 +69,28 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_QUOTE = ["session_id", "quote_id", "vendor_name", "source_filename"]
+
+
 def quotes(spark: SparkSession, sf: str) -> DataFrame:
-    grouped = items(spark, sf).groupBy("session_id", "quote_id", "vendor_name", "source_filename").agg(
+    return quotes_of(items(spark, sf))
+
+
+def quotes_of(lines: DataFrame) -> DataFrame:
+    """The quotes of joined lines, or of their sums."""
+    return lines.groupBy(*_QUOTE).agg(
         F.sum("gross_cents").alias("grand_total_cents"),
         F.date_format(F.min("o_orderdate"), "yyyy-MM-dd").alias("quote_date"),
     )
-    return grouped
+
+
+def quote_sums(spark: SparkSession, sf: str, *detail: str) -> DataFrame:
+    """Lines summed per quote, service and ``detail``: what cells, totals and rates can all be taken from in one pass."""
+    return items(spark, sf).groupBy(*_QUOTE, "service_category", "sub_service", *detail).agg(
+        F.sum("amount_cents").alias("amount_cents"), F.sum("gross_cents").alias("gross_cents"),
+        F.sum("rate_cents").alias("rate_cents"), F.count("rate_cents").alias("n_rates"), F.count(F.lit(1)).alias("n_items"),
+        F.min("o_orderdate").alias("o_orderdate"),
+    )
 
 
 def dated_quotes(spark: SparkSession, sf: str) -> DataFrame:
