@@ -60,7 +60,7 @@ def test_session_filter_reaches_both_tables(spark, tmp_path):
 def test_no_query_uses(spark, name):
     from workload.queries import REGISTRY
 
-    eager = {"q_stream_ingest", "q_stream_cells"}
+    eager = {"q_stream_ingest", "q_stream_cells", "q_stored_bundle"}
     if not hasattr(test_no_query_uses, "plans"):
         test_no_query_uses.plans = {q: plan(fn(spark, SF)) for q, fn in REGISTRY.items() if q not in eager}
     assert [q for q, text in test_no_query_uses.plans.items() if name in text] == []

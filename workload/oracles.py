@@ -410,3 +410,16 @@ ORACLES: dict[str, str] = {
 ORACLES["q_red_flags"] = (
     "select * from (" + ORACLES["q_deviation"] + ") where n_providers >= 2 and abs(deviation_cents) * 100 >= baseline_cents * 50"
 )
+
+_BOTH_LANES = (
+    _ITEMS.replace("items as (", "items0 as (", 1),
+    _QUOTES.replace("quotes as (", "quotes0 as (", 1).replace("from items ", "from items0 "),
+    _SENT.replace("sent as (", "sent0 as (", 1).replace("from quotes", "from quotes0"),
+    """items as (select * from items0 union all
+ select sent_session, items0.* exclude (session_id) from items0 join (select quote_id, sent_session from sent0) using (quote_id))""",
+    """quotes as (select * from quotes0 union all select sent_session, sent0.* exclude (session_id, sent_session) from sent0)""",
+)
+ORACLES["q_stored_bundle"] = ORACLES["q_bundle"].replace(
+    _with(*_Q).removeprefix("with ").rstrip("\n"), _with(*_BOTH_LANES).removeprefix("with ").rstrip("\n")
+)
+

@@ -13,7 +13,7 @@ from bidmatrix.plans import comparison, sessions
 from bidmatrix.schemas import ROW
 from bidmatrix.session import stored, work_folder
 from bidmatrix.sources import extracted, files, landing, marketplace, quotetext
-from bidmatrix.sources.store import QuoteStore
+from bidmatrix.sources.store import QuoteStore, batch_name
 from bidmatrix.sources.taxonomy import official
 from bidmatrix.streaming import sync
 from workload import views
@@ -478,3 +478,14 @@ def q_report_context(spark, sf):
 def q_bundle(spark, sf):
     sums = _stored_sums(spark, sf)
     return comparison.compare(sums, views.quotes_of(sums))
+
+
+@query
+def q_stored_bundle(spark, sf):
+    """Both lanes into a store, and the comparison of everything stored: the whole way from documents to bundles."""
+    store = QuoteStore(spark, f"{work_folder(spark)}/store", buckets=8)
+    pushed = store.stage(marketplace.documents(views.payloads(spark, sf)), "push")
+    store.append(landing.land(pushed), batch_name("push", 0))
+    sent = store.stage(extracted.documents(views.extracted(spark, sf)), "documents")
+    store.append(landing.land(sent), batch_name("documents", 1))
+    return comparison.compare(store.line_items(), store.quotes())
