@@ -73,3 +73,13 @@ def field_problems(items: DataFrame) -> DataFrame:
     checks = [F.when(F.coalesce(F.trim(c), F.lit("")) == "", F.lit(c)) for c in text]
     checks += [F.when(F.col(c).isNull(), F.lit(c)) for c in ("quantity", "rate_cents", "amount_cents")]
     return items.withColumn("problems", F.array_compact(F.array(*checks)))
+
+
+def quote_problems(quotes: DataFrame, items: DataFrame) -> DataFrame:
+    """Quotes with the required fields they lack, as ``problems array<string>``; no line at all counts as no services."""
+    keys = ["session_id", "quote_id"]
+    served = items.select(*keys).distinct().withColumn("served", F.lit(True))
+    text = ["vendor_name", "client_name", "quote_date"]
+    checks = [F.when(F.coalesce(F.trim(c), F.lit("")) == "", F.lit(c)) for c in text]
+    checks += [F.when(F.col("grand_total_cents").isNull(), F.lit("grand_total")), F.when(F.col("served").isNull(), F.lit("services"))]
+    return quotes.join(served, keys, "left").withColumn("problems", F.array_compact(F.array(*checks))).drop("served")

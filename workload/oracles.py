@@ -305,6 +305,11 @@ ORACLES: dict[str, str] = {
         select session_id, quote_id, sub_service, quantity,
          case when quantity = 1 then 'pricing_method' else 'rate_cents' end as problems
         from items where quantity = 1 or quantity >= 50""",
+    "q_quote_problems": _with(*_Q) + """
+        select session_id, quote_id, case grand_total_cents % 10 when 0 then 'vendor_name' when 1 then 'quote_date' else 'grand_total' end
+         as problems from quotes where grand_total_cents % 10 < 3
+        union all select 'bare_' || cast(s_suppkey as varchar), 'bare_q' || cast(s_suppkey as varchar), 'client_name,quote_date,services'
+        from supplier""",
     "q_deviation": _with(*_B) + """
         select session_id, service_category, sub_service, vendor, n_providers, amount_cents, baseline_cents,
          amount_cents - baseline_cents as deviation_cents,

@@ -332,6 +332,12 @@ def q_field_problems(spark, sf):
     return found.select("session_id", "quote_id", "sub_service", "quantity", F.array_join("problems", ",").alias("problems"))
 
 
+@query
+def q_quote_problems(spark, sf):
+    found = conformance.quote_problems(views.faulty_quotes(spark, sf), views.items(spark, sf)).where(F.size("problems") > 0)
+    return found.select("session_id", "quote_id", F.array_join("problems", ",").alias("problems"))
+
+
 # comparison analytics
 
 @query

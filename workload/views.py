@@ -103,6 +103,17 @@ def dated_quotes(spark: SparkSession, sf: str) -> DataFrame:
     return quotes(spark, sf).withColumn("quote_date", written)
 
 
+def faulty_quotes(spark: SparkSession, sf: str) -> DataFrame:
+    """All quotes, some without vendor, date or total by their total's last digit, and those without lines."""
+    fault = F.col("grand_total_cents") % 10
+    whole = quotes(spark, sf).select(
+        "session_id", "quote_id", F.when(fault == 0, " ").otherwise(F.col("vendor_name")).alias("vendor_name"),
+        F.col("session_id").alias("client_name"), F.when(fault == 1, "").otherwise(F.col("quote_date")).alias("quote_date"),
+        F.when(fault != 2, F.col("grand_total_cents")).alias("grand_total_cents"),
+    )
+    return whole.unionByName(bare_quotes(spark, sf), allowMissingColumns=True)
+
+
 def bare_quotes(spark: SparkSession, sf: str) -> DataFrame:
     """A quote without any line for each supplier, in a session of its own."""
     key = F.col("s_suppkey").cast("string")
