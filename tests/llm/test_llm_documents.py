@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from bidmatrix.llm import langid, licenses, mixing, packing, pii, simhash, sketches, tokens
-from helpers import LONG, ODD, given, no_docs, odd_docs
+from llm_helpers import LONG, ODD, given, no_docs, odd_docs
 
 
 def classes(links, nodes):

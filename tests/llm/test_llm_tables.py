@@ -16,7 +16,7 @@ import corpus_pipeline
 from bidmatrix.llm import chat, langid, packing, queries, simhash, urls, vectors
 from bidmatrix.llm.common import global_rank
 from bidmatrix.llm.components import connected_components
-from helpers import given, no_docs, odd_docs
+from llm_helpers import given, no_docs, odd_docs
 
 
 def classes(links, nodes):
