@@ -84,14 +84,19 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
 
 
-def with_next(rows: DataFrame, carried: list[str]) -> DataFrame:
-    """rows and, as next_<column>, the carried columns of the row that follows by doc_id and text; the first follows the last.
+#: Ranges of doc_id per shuffle partition: more than one, so that partitions come out even.
+RANGES = 4
 
-    Rows are dealt out by ranges of doc_id, so that a range is one window; the row after a range is fetched by
-    the ranges' smallest doc_ids, of which there are no more than shuffle partitions.
+
+def with_next(rows: DataFrame, name: str, value) -> DataFrame:
+    """rows with `name`, value(text) of each, and next_text and next_<name>, those of the row that follows.
+
+    Rows follow each other by doc_id and text, the first follows the last. They are dealt out by ranges of
+    doc_id, so that a range is one window; the row after a range is fetched by the ranges' smallest doc_ids,
+    whose number is bounded by the shuffle partitions, and only for those few is the value worked out again.
     """
-    spark = rows.sparkSession
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spark, carried = rows.sparkSession, ["text", name]
+    parts = max(2, RANGES * int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = rows.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
     bounds = F.array(*[F.lit(c).cast("bigint") for c in sorted(set(cuts))]) if cuts else F.array().cast("array<bigint>")
     ranged = rows.withColumn("next_range", F.size(F.filter(bounds, lambda b: b <= F.col("doc_id"))))
@@ -100,9 +105,9 @@ def with_next(rows: DataFrame, carried: list[str]) -> DataFrame:
     starts = stored(starts.select("next_range", F.col("at.doc_id").alias("start_id")))
     heads = (
         rows.join(F.broadcast(starts), F.col("doc_id").eqNullSafe(F.col("start_id")))
-        .groupBy("next_range").agg(F.min(F.struct("text", *[c for c in carried if c != "text"])).alias("head"))
+        .groupBy("next_range").agg(F.min("text").alias("text"))
     )
-    heads = stored(heads)
+    heads = stored(heads).select("next_range", F.struct("text", value(F.col("text")).alias(name)).alias("head"))
     ordered = Window.orderBy("next_range")
     around = Window.orderBy("next_range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     heads = heads.select(
@@ -111,17 +116,17 @@ def with_next(rows: DataFrame, carried: list[str]) -> DataFrame:
     )
 
     order = Window.partitionBy("next_range").orderBy("doc_id", "text")
-    followed = ranged.withColumn("next_row", F.lead(F.struct(*carried)).over(order))
+    followed = ranged.withColumn(name, value(F.col("text"))).withColumn("next_row", F.lead(F.struct(*carried)).over(order))
     last = (F.col("next_range") == F.col("head_range")) & F.col("next_row").isNull()
     joined = followed.join(heads, last, "left")
     picked = [F.coalesce(F.col(f"next_row.{c}"), F.col(f"head.{c}")).alias(f"next_{c}") for c in carried]
-    return joined.select(*rows.columns, *picked)
+    return joined.select(*rows.columns, name, *picked)
 
 
 def compare_edited(docs: DataFrame, k: int = K) -> DataFrame:
     """Fingerprints of every text and of its edited text, whose second half is the next document's beginning."""
     given = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(given.withColumn("own", sketch(F.col("text"), k)), ["text", "own"])
+    rows = with_next(given, "own", lambda text: sketch(text, k))
     half = F.expr("length(text) div 2").cast("int")
     edited = F.concat(F.left("text", F.length("text") - half), F.left("next_text", half))
     rows = rows.withColumn("edited", edited).withColumn("edited_own", sketch(F.col("edited"), k))
