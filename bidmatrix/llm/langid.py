@@ -25,12 +25,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidmatrix.llm.common import ship, text_bytes
+from bidmatrix.session import stored
 
 UNDETERMINED = "und"
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 #: Windows that go through the network together.
 TOGETHER = 256
+#: Rows of a language that are drawn for each one that is wanted, before the drawn ones are ranked.
+SPARE = 4
 
 
 @dataclass(frozen=True)
@@ -177,8 +180,13 @@ def held_out(doc_id: Column) -> Column:
 def sample(docs: DataFrame, setting: Training = Training()) -> tuple[np.ndarray, list[str]]:
     """Training windows and labels: bounded by the settings and the number of languages."""
     known = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(setting.seed)), "doc_id")
-    chosen = known.select("doc_id", "lang").withColumn("place", F.row_number().over(order))
+    draw = F.xxhash64("doc_id", F.lit(setting.seed))
+    # the hash alone lets through about SPARE times the rows wanted of each language, so that ranking them is a small job
+    counted = stored(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    thinned = known.select("doc_id", "lang").join(counted, "lang")
+    thinned = thinned.where(F.pmod(draw, F.lit(2**30)) < F.lit(SPARE * setting.rows * 2.0**30) / F.col("n"))
+    order = Window.partitionBy("lang").orderBy(F.pmod(draw, F.lit(2**30)), draw, "doc_id")
+    chosen = thinned.select("doc_id", "lang").withColumn("place", F.row_number().over(order))
     chosen = chosen.where(F.col("place") <= setting.rows).select(F.col("doc_id").alias("id"), F.col("lang").alias("label"))
     room = F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1
     starts = [1 + F.pmod(F.xxhash64("doc_id", F.lit(setting.seed + i)), room).cast("int") for i in range(setting.windows)]
