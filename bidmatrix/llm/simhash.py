@@ -114,8 +114,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the smallest doc_id, with its columns."""
+    """docs without near-duplicates: of each component the row with the smallest doc_id, with its columns.
+
+    The rows meet the kept ids and lose repeated rows in one shuffle, by a key that stands for a null doc_id too.
+    """
+    key = lambda doc_id: F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-(2**63)))
     kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("doc_id").alias("simhash_kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("simhash_kept")), "left_semi")
-    return rows.withColumn("simhash_text", F.xxhash64("text")).dropDuplicates(["doc_id", "simhash_text"]).drop("simhash_text")
+    kept = kept.select(key("doc_id").alias("simhash_key")).distinct()
+    rows = docs.withColumn("simhash_key", key("doc_id")).withColumn("simhash_text", F.xxhash64("text"))
+    rows = rows.join(kept, "simhash_key", "left_semi").dropDuplicates(["simhash_key", "simhash_text"])
+    return rows.select(*docs.columns)
