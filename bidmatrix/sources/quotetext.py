@@ -20,22 +20,23 @@ ROW_PATTERN = rf"^(.+?) :: (.*) :: SAC ([0-9]+) \| {_NUMBER} \| {_NUMBER} \| ([^
 ROW_LIKE = r" :: .* :: |(?:\|.*){4}"
 
 
-def _part(line: Column, n: int) -> Column:
-    return F.regexp_extract(line, ROW_PATTERN, n)
+def _parts(line: Column) -> Column:
+    """The seven parts of a row, from one match; a line holds no line break, so that sets them apart."""
+    return F.split(F.regexp_replace(line, ROW_PATTERN, "$1\n$2\n$3\n$4\n$5\n$6\n$7"), "\n")
 
 
 def _plain(number: Column) -> Column:
     return F.replace(number, F.lit(","), F.lit(""))
 
 
-def _item(line: Column) -> Column:
-    cents = lambda n: F.coalesce(to_cents(_plain(_part(line, n))), F.lit(0).cast("bigint"))
+def _item(parts: Column) -> Column:
+    part = lambda n: F.get(parts, F.lit(n - 1))
+    cents = lambda n: F.coalesce(to_cents(_plain(part(n))), F.lit(0).cast("bigint"))
     return F.struct(
         F.lit(schemas.DOCUMENT_DEFAULTS["service_category"]).alias("service_category"),
-        _part(line, 1).alias("sub_service"), _part(line, 2).alias("work_title"),
-        F.concat(F.lit("SAC "), _part(line, 3)).alias("description"),
-        F.coalesce(_plain(_part(line, 4)).try_cast("double"), F.lit(0.0)).alias("quantity"),
-        _part(line, 6).alias("pricing_method"), cents(5).alias("rate_cents"), cents(7).alias("amount_cents"),
+        part(1).alias("sub_service"), part(2).alias("work_title"), F.concat(F.lit("SAC "), part(3)).alias("description"),
+        F.coalesce(_plain(part(4)).try_cast("double"), F.lit(0.0)).alias("quantity"),
+        part(6).alias("pricing_method"), cents(5).alias("rate_cents"), cents(7).alias("amount_cents"),
     )
 
 
@@ -46,7 +47,8 @@ def _lines(texts: DataFrame) -> DataFrame:
 def line_items(texts: DataFrame) -> DataFrame:
     """(quote_id, text) to one row per table line; a missing price is 0."""
     rows = _lines(texts.select("quote_id", "text")).where(F.rlike("line", F.lit(ROW_PATTERN)))
-    items = rows.select("quote_id", "line_no", _part(F.col("line"), 3).alias("sac_code"), _item(F.col("line")).alias("i"))
+    parts = computed_once(rows, "parts", _parts(F.col("line")))
+    items = parts.select("quote_id", "line_no", F.get("parts", F.lit(2)).alias("sac_code"), _item(F.col("parts")).alias("i"))
     return items.select(
         "quote_id", "line_no", "i.sub_service", "i.work_title", "sac_code", "i.quantity", "i.rate_cents", "i.pricing_method",
         "i.amount_cents",
@@ -66,7 +68,7 @@ def documents(texts: DataFrame) -> DataFrame:
     """
     lines = F.split("text", "\n")
     rows = F.filter(lines, lambda x: F.rlike(x, F.lit(ROW_PATTERN)))
-    typed = computed_once(texts, "items", F.coalesce(F.transform(rows, _item), F.array()))
+    typed = computed_once(texts, "items", F.coalesce(F.transform(F.transform(rows, _parts), _item), F.array()))
     odd = F.exists(lines, lambda x: F.rlike(x, F.lit(ROW_LIKE)) & ~F.rlike(x, F.lit(ROW_PATTERN)))
     shaped = typed.select(
         quote_key(F.col("session_id"), F.col("source_filename"), F.sha2("text", 256)).alias("quote_id"),
