@@ -9,7 +9,8 @@ value gives the same pseudonym everywhere, two values never share one (digests a
 the way back is closed.
 
 Cases: null and empty texts stay. Repeated rows are treated alike. Very long texts are treated whole, row by
-row. Overlapping candidates count from the left. An empty table gives an empty result. Columns of the input
+row. Overlapping candidates count from the left; an IBAN's length follows from its country, a phone number's
+from its calling code where that is listed, so neither takes in what follows it. An empty table gives an empty result. Columns of the input
 named n_found are replaced; all others pass through.
 """
 
@@ -26,18 +27,52 @@ class Key:
     secret: str = "replace-in-production"
 
 
+#: Lengths of IBANs by country, the registry's and those in use beside it.
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC",
+    32: "LC", 33: "RU",
+}
+#: Most digits of a number after a country's calling code.
+PHONE_DIGITS = {
+    7: "354", 8: "45 47 65 386 852", 9: "27 31 32 33 34 36 40 41 48 51 56 61 66 94 351 353 380 385 420 421 886 971 972",
+    10: "1 7 20 30 44 46 52 57 60 63 64 81 84 90 91 92 98", 11: "39 49 54 55 82 86 352", 12: "62 358", 13: "43",
+}
+
+
+def _iban(length: int, countries: str) -> str:
+    """An IBAN of one length, in groups of four or without."""
+    fours, rest = divmod(length - 4, 4)
+    return f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
 # candidates: fixed expressions, tried in this order at each place
 
 _MAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++"
-_IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![\p{L}\p{N}])"
+_IBAN_LISTED = "|".join(_iban(n, c) for n, c in IBAN_COUNTRIES.items())
+_IBAN_OTHER = f"(?!{'|'.join(IBAN_COUNTRIES.values()).replace(' ', '|')})" + "[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}"  # in one piece
+_IBAN = rf"(?<![\p{{L}}\p{{N}}])(?:{_IBAN_LISTED}|{_IBAN_OTHER})(?![\p{{L}}\p{{N}}])"
 _TOKEN = r"(?<![\p{L}\p{N}])(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![\p{L}\p{N}])"
 _IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 _YMD = r"(?<![0-9])[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}(?![0-9])"
 _DMY = r"(?<![0-9])[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4}(?![0-9])"
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+# a phone number ends where another kind begins after a blank, and with a group of digits
+_OTHER_KIND = (
+    r"(?:[0-9]{4}[ -]){3}[0-9]{4}(?![0-9])|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}(?![0-9])|[0-9]{13,19}(?![0-9])"
+    r"|[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}(?![0-9])|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4}(?![0-9])"
+    r"|[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])|[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
+    r"|[0-9A-Fa-f]{32}|[\p{L}\p{N}._%+-]++@"
+)
+_GAP = rf"(?: (?!{_OTHER_KIND})|[.-])?"
+_PHONE_LISTED = "|".join(
+    f"(?:{codes.replace(' ', '|')})(?:[ .-]?[0-9]){{7}}(?:{_GAP}[0-9]){{0,{most - 7}}}(?![0-9])" for most, codes in PHONE_DIGITS.items()
+)
 _PHONE = (
-    r"(?<![\p{L}\p{N}])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])"
-    r"|(?<![\p{L}\p{N}])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])"
+    rf"(?<![\p{{L}}\p{{N}}])(?:\+[0-9]{{1,3}}[ .-]?)?\([0-9]{{2,4}}\)[ .-]?[0-9]{{3,4}}{_GAP}[0-9]{{3,4}}(?![0-9])"
+    rf"|(?<![\p{{L}}\p{{N}}])\+(?:{_PHONE_LISTED}|[0-9]{{1,3}}(?:[ .-]?[0-9]){{4}}(?:{_GAP}[0-9]){{0,10}}(?![0-9]))"
     r"|(?<![\p{L}\p{N}.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])"
 )
 _CARD = (
