@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidmatrix.llm import chat, langid, licenses, mixing, packing, pii, simhash, sketches, urls, vectors
+from bidmatrix.llm import chat, langid, licenses, mixing, packing, pii, resampling, simhash, sketches, urls, vectors
 from bidmatrix.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,6 +160,49 @@ def op10_fingerprint(spark, sf):
     return sketches.compare_edited(table(spark, sf, "documents"))
 
 
+@query
+def op12_resample(spark, sf):
+    return resampling.resample(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark").select("text"))
+
+
+ORACLES["op12_resample"] = r"""
+with tab as (
+  select list(list_reduce(range(8), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end, i) order by i) as t
+  from range(256) as r(i)
+), texts as (
+  select row_number() over () as k, doc_id, text, true as ours from documents
+  union all select null, null, text, false from benchmark
+), found as (
+  select k, doc_id, ours, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as word from texts
+), bytes as (
+  select word, list_transform(range(strlen(word)), lambda i: ('0x' || substr(hex(word), 2 * i + 1, 2))::bigint) as b
+  from (select distinct word from found)
+), hashed as (
+  select word, xor(list_reduce(b, lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1]), 4294967295), 4294967295) % 10000 as bucket from bytes, tab
+), placed as (
+  select k, ours, bucket from found join hashed using (word)
+), counted as (
+  select bucket, count(*) filter (ours) as s, count(*) filter (not ours) as t from placed group by all
+), gains as (
+  select bucket, floor(1000 * ln((t::double + 1) * ((select sum(s) from counted)::double + 10000)
+    / ((s::double + 1) * ((select sum(t) from counted)::double + 10000))))::bigint as gain from counted
+), weights as (
+  select k, count(*) as n, sum(gain)::bigint as weight from placed join gains using (bucket) where ours group by all
+), scored as (
+  select doc_id, coalesce(n, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+         coalesce(weight, 0)::bigint + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5::double)
+           / 4294967296.0::double)))::bigint as score
+  from texts left join weights using (k) where ours
+), ranked as (
+  select *, row_number() over (partition by n_features >= 20 order by score desc, doc_id, n_features, weight) as place,
+         count(*) over (partition by n_features >= 20) * 10 // 100 as drawn
+  from scored
+)
+select doc_id, n_features, weight, score, case when n_features >= 20 and place <= drawn then place end::bigint as rank from ranked
+"""
+
+
 ORACLES["op6_mix_sources"] = """
 with recursive d as (
   select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size,
