@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidmatrix.llm import chat, langid, licenses, mixing, packing, pii, resampling, simhash, sketches, urls, vectors
+from bidmatrix.llm import chat, langid, licenses, mixing, negatives, packing, pii, resampling, simhash, sketches, urls, vectors
 from bidmatrix.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -203,6 +203,35 @@ select doc_id, n_features, weight, score, case when n_features >= 20 and place <
 """
 
 
+@query
+def op13_hard_negatives(spark, sf):
+    given = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(given.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op13_hard_negatives"] = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)) as q
+  from embeddings
+  where vec_id is not null and label is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)
+), p as (
+  select *, row_number() over (partition by anchor_id order by positive_score desc, positive_id) as place from (
+    select a.vec_id as anchor_id, a.label, a.q, b.vec_id as positive_id, list_inner_product(a.q, b.q)::bigint as positive_score
+    from v a join v b on a.label = b.label and a.vec_id <> b.vec_id where a.vec_id % 100 = 0)
+), n as (
+  select anchor_id, positive_id, positive_score, b.vec_id as negative_id, list_inner_product(p.q, b.q)::bigint as negative_score
+  from (from p where place <= 5) p join v b on p.label <> b.label
+), r as (
+  select *, row_number() over (partition by anchor_id, positive_id order by negative_score desc, negative_id) as rank
+  from n where 80 * positive_score <= 100 * negative_score and negative_score <= positive_score
+)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from r where rank <= 5
+"""
+
+
 ORACLES["op6_mix_sources"] = """
 with recursive d as (
   select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size,
