@@ -3,6 +3,7 @@
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,37 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (whole[starts[0] : starts[-1]], starts - starts[0]) if len(starts) else (whole[:0], np.zeros(1, np.int64))
 
 
+#: Bytes of text that are worked on together; a longer text is one piece.
+TOGETHER = 1 << 21
+
+
+def text_pieces(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The column's texts in runs of about TOGETHER bytes: the bytes, and where each text starts (one more at the end)."""
+    data, cuts = text_bytes(column)
+    at = 0
+    while at < len(cuts) - 1:
+        to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + TOGETHER, side="right")) - 1)
+        yield data[cuts[at] : cuts[to]], cuts[at : to + 1] - cuts[at]
+        at = to
+
+
+#: Bytes of a word of letters and digits, in any script.
+_IN_WORD = np.array([48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 for c in range(256)])
+
+
+def word_spans(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where words start and end in texts that lie end to end, and each one's text; cuts are the texts' starts and the end."""
+    inside = _IN_WORD[data]
+    before = np.concatenate([[False], inside[:-1]]) if len(data) else inside
+    after = np.concatenate([inside[1:], [False]]) if len(data) else inside
+    edges = cuts[1:-1]
+    edges = edges[edges < len(data)]
+    before[edges] = False  # no word goes on from one text into the next
+    after[edges[edges > 0] - 1] = False
+    starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    return starts, ends, np.searchsorted(cuts, starts, side="right") - 1
+
+
 def global_rank(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
     """df with its row number from 0 in the given order, without one task that sees all rows.
 

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidmatrix.llm import chat, langid, licenses, mixing, negatives, packing, pii, resampling, simhash, sketches, urls, vectors
+from bidmatrix.llm import chat, langid, licenses, mixing, negatives, packing, pii, resampling, simhash, sketches, toxicity, urls, vectors
 from bidmatrix.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,6 +160,14 @@ def op10_fingerprint(spark, sf):
     return sketches.compare_edited(table(spark, sf, "documents"))
 
 
+@query
+def op11_toxicity(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf, "labels").select("doc_id", "toxic"))
+    out = toxicity.judge(docs, model)
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "spans")
+
+
 @query
 def op12_resample(spark, sf):
     return resampling.resample(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark").select("text"))

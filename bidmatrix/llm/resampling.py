@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidmatrix.llm.common import global_rank, ship, text_bytes
+from bidmatrix.llm.common import global_rank, ship, text_pieces, word_spans
 from bidmatrix.session import stored
 
 
@@ -113,27 +113,11 @@ def crc32_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 # words and runs of them
 
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], dtype=np.uint8)
-_IN_WORD = np.array([48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 for c in range(256)])
-#: Bytes of text that are worked on together; a longer text is one piece.
-TOGETHER = 1 << 21
-
-
-def words_of(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where words start and end in texts that lie end to end, and each one's text; cuts are the texts' starts and the end."""
-    inside = _IN_WORD[data]
-    before = np.concatenate([[False], inside[:-1]]) if len(data) else inside
-    after = np.concatenate([inside[1:], [False]]) if len(data) else inside
-    edges = cuts[1:-1]
-    edges = edges[edges < len(data)]
-    before[edges] = False  # no word goes on from one text into the next
-    after[edges[edges > 0] - 1] = False
-    starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    return starts, ends, np.searchsorted(cuts, starts, side="right") - 1
 
 
 def features_of(data: np.ndarray, cuts: np.ndarray, setting: Setting) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of all features of some texts, the text of each, and the number of words of every text."""
-    starts, ends, text = words_of(data, cuts)
+    starts, ends, text = word_spans(data, cuts)
     n_words = np.bincount(text, minlength=len(cuts) - 1)
     data, buckets, texts = _LOWER[data], [], []
     if setting.most > 1:  # the words again, with one space between them
@@ -152,16 +136,6 @@ def features_of(data: np.ndarray, cuts: np.ndarray, setting: Setting) -> tuple[n
     return np.concatenate(buckets).astype(np.int64), np.concatenate(texts), n_words
 
 
-def _pieces(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The column's texts in runs of about TOGETHER bytes."""
-    data, cuts = text_bytes(column)
-    at = 0
-    while at < len(cuts) - 1:
-        to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + TOGETHER, side="right")) - 1)
-        yield data[cuts[at] : cuts[to]], cuts[at : to + 1] - cuts[at]
-        at = to
-
-
 # Spark
 
 def bucket_counts(texts: DataFrame, column: str, setting: Setting) -> np.ndarray:
@@ -171,7 +145,7 @@ def bucket_counts(texts: DataFrame, column: str, setting: Setting) -> np.ndarray
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(setting.buckets, np.int64)
         for batch in batches:
-            for data, cuts in _pieces(batch.column(0)):
+            for data, cuts in text_pieces(batch.column(0)):
                 counts += np.bincount(features_of(data, cuts, setting)[0], minlength=setting.buckets)
         met = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(counts[met])], names=["bucket", "n"])
@@ -199,7 +173,7 @@ def weighted(docs: DataFrame, gain: np.ndarray, setting: Setting) -> DataFrame:
         gain = sent.value
         for batch in batches:
             columns = [[], [], []]
-            for data, cuts in _pieces(batch.column(1)):
+            for data, cuts in text_pieces(batch.column(1)):
                 bucket, text, n_words = features_of(data, cuts, setting)
                 order = np.argsort(text, kind="stable")
                 sums = np.concatenate([[0], np.cumsum(gain[bucket[order]])])
