@@ -34,3 +34,29 @@ def no_docs(spark):
 
 def given(spark, name, sf="sf0.001"):
     return spark.read.parquet(f"/root/testdata/{sf}/{name}.parquet")
+
+
+def classes(links, nodes):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        lo, hi = sorted((find(a), find(b)))
+        root[hi] = lo
+    return {n: find(n) for n in nodes}
+
+
+def plain_set(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_groups(texts):
+    """Root of each text, all pairs compared."""
+    sets = [plain_set(t) for t in texts]
+    near = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    return classes([(i, j) for j in range(len(sets)) for i in range(j) if near(sets[i], sets[j])], range(len(sets)))

@@ -13,24 +13,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from bidmatrix.llm import chat, langid, packing, queries, simhash, urls, vectors
+from bidmatrix.llm import chat, langid, packing, queries, urls, vectors
 from bidmatrix.llm.common import global_rank
 from bidmatrix.llm.components import connected_components
-from llm_helpers import given, no_docs, odd_docs
-
-
-def classes(links, nodes):
-    root = {n: n for n in nodes}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, b in links:
-        lo, hi = sorted((find(a), find(b)))
-        root[hi] = lo
-    return {n: find(n) for n in nodes}
+from llm_helpers import classes, given, no_docs, odd_docs, plain_groups
 
 
 # shared parts
@@ -231,10 +217,9 @@ def test_stages_of_the_pipeline(spark):
 
     one = single(spark, docs, sf)
     assert one.columns == docs.columns
-    prints = {k: simhash.fingerprint(r["text"].encode()) for k, r in rows.items()}
-    pairs = [(a, b) for a in rows for b in rows if a < b and (prints[a] ^ prints[b]).bit_count() <= 2]
-    root = classes(pairs, rows)
-    assert sorted(r["doc_id"] for r in one.collect()) == sorted(set(root.values()))
+    ids = sorted(rows)
+    root = plain_groups([rows[k]["text"] for k in ids])
+    assert sorted(r["doc_id"] for r in one.collect()) == sorted({ids[k] for k in root.values()})
 
     clean = private(spark, docs, sf)
     assert clean.columns == docs.columns and clean.count() == len(rows)
