@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -126,23 +127,40 @@ def hits(norm: bytes) -> list[tuple[int, int, int, str]]:
 
 
 def resolve(found: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
-    """The hits that no stronger one contains: by priority, then length, then order of the rules."""
-    kept: list[tuple[int, int, int, str]] = []
-    ranked = sorted(enumerate(found), key=lambda x: (-x[1][2], x[1][0] - x[1][1], x[0]))
-    for _, hit in ranked:
-        if not any(k[0] <= hit[0] and hit[1] <= k[1] for k in kept):
-            kept.append(hit)
-    return kept
+    """The hits that no stronger one contains: by priority, then length, then order of the rules.
+
+    One sweep per priority: a hit is contained if one that starts no later ends no earlier, among those of
+    higher priority or before it in its own. That what contains it may itself be contained changes nothing.
+    """
+    if not found:
+        return []
+    start, end, priority = (np.array([h[k] for h in found]) for k in range(3))
+    kept = np.zeros(len(found), bool)
+    stronger_start, stronger_end = np.zeros(0, int), np.zeros(0, int)  # by start; the furthest end so far
+    for level in -np.unique(-priority):
+        own = np.flatnonzero(priority == level)
+        own = own[np.lexsort((own, -end[own], start[own]))]
+        before = np.concatenate([[-1], np.maximum.accumulate(end[own])[:-1]])
+        above = np.append(-1, stronger_end)[np.searchsorted(stronger_start, start[own], side="right")]
+        kept[own] = np.maximum(before, above) < end[own]
+        starts = np.concatenate([stronger_start, start[own]])
+        order = np.argsort(starts, kind="stable")
+        stronger_start = starts[order]
+        stronger_end = np.maximum.accumulate(np.concatenate([stronger_end, end[own]])[order])
+    ranked = np.lexsort((np.arange(len(found)), start - end, -priority))
+    return [found[k] for k in ranked[kept[ranked]]]
 
 
 def scan_text(text: bytes) -> tuple:
     """n_words ... n_suppressed of one text."""
     words = text.translate(_BYTES).split()
     norm = b" ".join(words)
-    places, labels = [], set()
+    places, labels, blanks = [], set(), None
     for phrase, label, pattern in _base():
         if phrase in norm:
-            starts = [norm.count(b" ", 0, m.start()) for m in pattern.finditer(norm)]
+            if blanks is None:
+                blanks = np.flatnonzero(np.frombuffer(norm, np.uint8) == 32)
+            starts = np.searchsorted(blanks, [m.start() for m in pattern.finditer(norm)]).tolist()
             places += starts
             labels |= {label} if starts else set()
     found = hits(norm)

@@ -3,6 +3,7 @@
 import itertools
 import math
 import re
+import time
 import zlib
 from hashlib import sha256
 
@@ -13,7 +14,7 @@ from hypothesis import settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from bidmatrix.llm import negatives, queries, resampling, toxicity
+from bidmatrix.llm import licenses, negatives, queries, resampling, toxicity
 from llm_helpers import LONG, given, no_docs, odd_docs
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -327,3 +328,27 @@ def test_bounds_hold_for_every_pair(seed):
     for a in range(40):
         fits = np.flatnonzero((scores[a][order] >= lows[a]) & (scores[a][order] <= highs[a]))
         assert ((fits >= start[a]) & (fits < stop[a])).all()
+
+
+# 2 licences: long texts of many hits
+
+@settings(max_examples=200, deadline=None)
+@examples(st.lists(st.tuples(st.integers(0, 12), st.integers(1, 6), st.integers(1, 3), st.sampled_from("abc")), max_size=25))
+def test_overlaps_are_resolved_as_pair_by_pair(drawn):
+    found = [(start, start + size, priority, name) for start, size, priority, name in drawn]
+    kept = []
+    for _, hit in sorted(enumerate(found), key=lambda x: (-x[1][2], x[1][0] - x[1][1], x[0])):
+        if not any(k[0] <= hit[0] and hit[1] <= k[1] for k in kept):
+            kept.append(hit)
+    assert licenses.resolve(found) == kept
+
+
+@pytest.mark.parametrize("text", ["mit license and text ", "cc by other words here "])
+def test_long_texts_of_many_hits(text):
+    words, n = len(text.split()), 5_000_000 // len(text)
+    began = time.process_time()
+    out = licenses.scan_text(text.encode() * n)
+    assert time.process_time() - began < 10
+    assert out[0] == words * n and out[7] == n
+    if text.startswith("cc by"):
+        assert out[1:5] == (n, 0, words * (n - 1), "cc-by")
