@@ -6,7 +6,7 @@ response, and ends in a softmax over the languages. A text's probabilities are t
 weighted by the letters they hold, so a text is judged as a whole whatever its length.
 
 It learns from a bounded sample of labelled rows (Training.rows per language, chosen by a hash of their
-doc_id, and Training.windows windows of each); the rows are found by their ids alone. Applied, a filter's
+doc_id, one row per id, and Training.windows windows of each; at most Training.languages languages). Applied, a filter's
 response is the sum of a few table look-ups by byte pair, and batches of windows go through at once.
 
 Cases: a null text and one without a letter are `und` with score 0, and so is everything if nothing is
@@ -40,6 +40,7 @@ SPARE = 4
 class Training:
     rows: int = 400  # labelled rows per language
     windows: int = 4  # windows per row
+    languages: int = 200  # the most frequent ones
     steps: int = 600
     batch: int = 64
     rate: float = 0.004
@@ -181,9 +182,10 @@ def sample(docs: DataFrame, setting: Training = Training()) -> tuple[np.ndarray,
     """Training windows and labels: bounded by the settings and the number of languages."""
     known = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     draw = F.xxhash64("doc_id", F.lit(setting.seed))
+    ids = stored(known.select("doc_id", "lang").distinct())
+    counted = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(setting.languages)
     # the hash alone lets through about SPARE times the rows wanted of each language, so that ranking them is a small job
-    counted = stored(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
-    thinned = known.select("doc_id", "lang").join(counted, "lang")
+    thinned = ids.join(stored(counted), "lang")
     thinned = thinned.where(F.pmod(draw, F.lit(2**30)) < F.lit(SPARE * setting.rows * 2.0**30) / F.col("n"))
     order = Window.partitionBy("lang").orderBy(F.pmod(draw, F.lit(2**30)), draw, "doc_id")
     chosen = thinned.select("doc_id", "lang").withColumn("place", F.row_number().over(order))
@@ -191,8 +193,9 @@ def sample(docs: DataFrame, setting: Training = Training()) -> tuple[np.ndarray,
     room = F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1
     starts = [1 + F.pmod(F.xxhash64("doc_id", F.lit(setting.seed + i)), room).cast("int") for i in range(setting.windows)]
     rows = known.join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("label")))  # bounded above
-    cut = F.array(*[F.col("text").substr(s, F.lit(WINDOW)) for s in starts])
-    picked = rows.where(F.col("text").isNotNull()).select("label", F.array_distinct(cut).alias("cut")).collect()
+    cut = F.array_distinct(F.array(*[F.col("text").substr(s, F.lit(WINDOW)) for s in starts]))
+    # of rows that share their id and label, one
+    picked = rows.where(F.col("text").isNotNull()).groupBy("id", "label").agg(F.min(cut).alias("cut")).collect()
     # in a fixed order, so that the same rows give the same network
     pairs = sorted((r["label"], c) for r in picked for c in r["cut"] if has_letter(c.encode()))
     windows = [windows_of(np.frombuffer(c.encode(), np.uint8))[0] for _, c in pairs]

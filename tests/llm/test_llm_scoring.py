@@ -14,7 +14,7 @@ from hypothesis import settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from bidmatrix.llm import licenses, negatives, queries, resampling, toxicity
+from bidmatrix.llm import langid, licenses, negatives, queries, resampling, toxicity
 from llm_helpers import LONG, given, no_docs, odd_docs
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -352,3 +352,25 @@ def test_long_texts_of_many_hits(text):
     assert out[0] == words * n and out[7] == n
     if text.startswith("cc by"):
         assert out[1:5] == (n, 0, words * (n - 1), "cc-by")
+
+
+# 1 language: what the sample may hold
+
+def test_language_sample_is_bounded(spark):
+    setting = langid.Training(rows=5, windows=2, languages=3)
+    many = [(i, f"text of number {i} " * 40, f"l{i % 4}") for i in range(200)] + [(7, f"again {k} " * 60, "l3") for k in range(500)]
+    docs = spark.createDataFrame(many, "doc_id long, text string, lang string")
+    windows, labels = langid.sample(docs, setting)
+    assert len(set(labels)) == 3 and max(map(labels.count, set(labels))) <= setting.rows * setting.windows
+    again = langid.sample(docs.repartition(7), setting)
+    assert (windows == again[0]).all() and labels == again[1]
+
+
+def test_a_text_is_judged_by_the_mean_of_its_windows(spark):
+    docs = given(spark, "documents", "sf0.01")
+    network = langid.fit(docs, langid.Training(rows=40, steps=60))
+    for (text,) in docs.select("text").where("length(text) > 2000").limit(20).collect():
+        data = np.frombuffer(text.encode(), np.uint8)
+        total = sum((w != 32).sum() * langid.Applied(network).shares(w[None])[0].astype(float) for w in langid.windows_of(data))
+        lang, score = langid.judge(data, langid.Applied(network))
+        assert lang == network.labels[int(total.argmax())] and math.isclose(score, total.max() / total.sum(), rel_tol=1e-5)
