@@ -25,25 +25,33 @@ def baseline(cells: DataFrame, keys: list[str] = ROW) -> DataFrame:
     )
 
 
-def filled_rows(cells: DataFrame, keys: list[str] = ROW) -> DataFrame:
+def in_blocks(labels: DataFrame) -> DataFrame:
+    """The vendors of each session as arrays, dealt over VENDOR_BLOCKS blocks by hash of the label."""
+    dealt = labels.select("session_id", "vendor").withColumn("block", _block(F.col("vendor")))
+    return dealt.groupBy("session_id", "block").agg(F.collect_list("vendor").alias("vendors"))
+
+
+def _block(vendor: Column) -> Column:
+    return F.pmod(F.hash(vendor), F.lit(VENDOR_BLOCKS))
+
+
+def filled_rows(cells: DataFrame, keys: list[str] = ROW, labels: DataFrame | None = None) -> DataFrame:
     """Every row of the matrix with every vendor of its session, as arrays.
 
     keys, n_providers, baseline_cents, ``quoted`` (vendor, amount_cents) entries and ``absent``
     vendors, for each block of vendors. A session's vendors always come in up to VENDOR_BLOCKS
     blocks, by hash of the label, whatever their number. Rows and vendors meet as arrays inside a
     row, so the filled-in matrix is never shuffled, and a row's entries arrive with its baseline
-    in one shuffle.
+    in one shuffle. ``labels`` (session_id, vendor, distinct) are the sessions' vendors where ``cells`` are
+    only some of their rows.
     """
-    block = lambda vendor: F.pmod(F.hash(vendor), F.lit(VENDOR_BLOCKS))
     priced = F.when(_provided(), F.col("amount_cents"))
     rows = cells.groupBy(*keys).agg(
         F.sum(priced).alias("total"), F.count(priced).alias("n_providers"),
         F.collect_list(F.struct("vendor", "amount_cents")).alias("entries"),
     )
-    labels = vendors(cells).withColumn("block", block(F.col("vendor")))
-    labels = labels.groupBy("session_id", "block").agg(F.collect_list("vendor").alias("vendors"))
-    filled = rows.join(labels, "session_id").withColumn(
-        "quoted", F.filter("entries", lambda e: block(e["vendor"]) == F.col("block"))
+    filled = rows.join(in_blocks(vendors(cells) if labels is None else labels), "session_id").withColumn(
+        "quoted", F.filter("entries", lambda e: _block(e["vendor"]) == F.col("block"))
     )
     absent = F.array_except("vendors", F.transform("quoted", lambda q: q["vendor"]))
     return filled.select(
@@ -64,12 +72,12 @@ def _entries() -> Column:
     return F.concat(quoted, absent)
 
 
-def comparison_matrix(cells: DataFrame, keys: list[str] = ROW) -> DataFrame:
+def comparison_matrix(cells: DataFrame, keys: list[str] = ROW, labels: DataFrame | None = None) -> DataFrame:
     """The full matrix in long form: one row per service and vendor of the session.
 
     ``quoted`` tells an amount of 0 from a service the vendor does not list.
     """
-    filled = filled_rows(cells, keys)
+    filled = filled_rows(cells, keys, labels)
     long = filled.select(*keys, "n_providers", "baseline_cents", F.explode(_entries()).alias("e"))
     return long.select(*keys, "n_providers", "baseline_cents", "e.vendor", "e.amount_cents", "e.quoted")
 

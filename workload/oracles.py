@@ -416,6 +416,8 @@ ORACLES["q_red_flags"] = (
     "select * from (" + ORACLES["q_deviation"] + ") where n_providers >= 2 and abs(deviation_cents) * 100 >= baseline_cents * 50"
 )
 
+ORACLES["q_kept_comparison"] = ORACLES["q_bundle"]
+
 _BOTH_LANES = (
     _ITEMS.replace("items as (", "items0 as (", 1),
     _QUOTES.replace("quotes as (", "quotes0 as (", 1).replace("from items ", "from items0 "),

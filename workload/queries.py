@@ -9,7 +9,7 @@ from bidmatrix.functions.display import lakhs, price_or_na, rupees
 from bidmatrix.functions.text import short_vendor
 from bidmatrix.operators import cells as c
 from bidmatrix.operators import conformance, deviation, matrix, scope, totals, usage
-from bidmatrix.plans import comparison, sessions
+from bidmatrix.plans import comparison, kept, sessions
 from bidmatrix.schemas import ROW
 from bidmatrix.session import stored, work_folder
 from bidmatrix.sources import extracted, files, landing, marketplace, quotetext
@@ -278,6 +278,17 @@ def q_stream_cells(spark, sf):
     return store.cells()
 
 
+@query
+def q_kept_comparison(spark, sf):
+    """The comparison kept up to date through several pushes, which bring sessions their quotes bit by bit."""
+    folder = work_folder(spark)
+    views.payloads(spark, sf).repartition(6, "payload").write.json(f"{folder}/in")
+    store = QuoteStore(spark, f"{folder}/store", buckets=8)
+    stream = sync.start(sync.read_payloads(spark, f"{folder}/in", 3), store, f"{folder}/checkpoint", compare=True)
+    stream.awaitTermination()
+    return kept.comparisons(store)
+
+
 @query
 def q_file_dedupe(spark, sf):
     return files.add_files(views.files(spark, sf, "F"), views.files(spark, sf, "O"))
