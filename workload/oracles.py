@@ -416,6 +416,7 @@ ORACLES["q_red_flags"] = (
     "select * from (" + ORACLES["q_deviation"] + ") where n_providers >= 2 and abs(deviation_cents) * 100 >= baseline_cents * 50"
 )
 
+ORACLES["q_session_documents"] = "select session_id, section, entry from (" + ORACLES["q_bundle"] + ")"
 ORACLES["q_kept_comparison"] = ORACLES["q_bundle"]
 
 _BOTH_LANES = (

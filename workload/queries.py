@@ -12,7 +12,7 @@ from bidmatrix.operators import conformance, deviation, matrix, scope, totals, u
 from bidmatrix.plans import comparison, kept, sessions
 from bidmatrix.schemas import ROW
 from bidmatrix.session import stored, work_folder
-from bidmatrix.sources import extracted, files, landing, marketplace, quotetext
+from bidmatrix.sources import extracted, files, landing, marketplace, quotetext, sessiondocs
 from bidmatrix.sources.store import QuoteStore, batch_name
 from bidmatrix.sources.taxonomy import official
 from bidmatrix.streaming import sync
@@ -497,6 +497,14 @@ def q_bundle(spark, sf):
     return comparison.compare(sums, views.quotes_of(sums))
 
 
+@query
+def q_session_documents(spark, sf):
+    """What the sessions' written documents hold, read back line by line."""
+    folder = work_folder(spark)
+    sessiondocs.write_documents(q_bundle(spark, sf), folder)
+    return sessiondocs.entries(sessiondocs.read_lines(spark, folder))
+
+
 @query
 def q_stored_bundle(spark, sf):
     """Both lanes into a store, and the comparison of everything stored: the whole way from documents to bundles."""
