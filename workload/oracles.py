@@ -431,3 +431,13 @@ ORACLES["q_stored_bundle"] = ORACLES["q_bundle"].replace(
     _with(*_Q).removeprefix("with ").rstrip("\n"), _with(*_BOTH_LANES).removeprefix("with ").rstrip("\n")
 )
 
+
+_EVENTS = """
+events2 as (select *, epoch_us(ts) as us, cast(round(value * 100) as bigint) as cents, strftime(ts, '%Y-%m-%d') as day from events)"""
+ORACLES["q_event_totals"] = _with(_EVENTS) + """
+    select day, event_type, count(*) as n_records, cast(sum(cents) as bigint) as cents from events2 group by all"""
+ORACLES["q_event_sittings"] = _with(_EVENTS, """
+runs as (select *, sum(apart) over (partition by user_id order by us) as sitting_no from (
+ select *, case when us - lag(us) over (partition by user_id order by us) <= 7200000000 then 0 else 1 end as apart from events2))""") + """
+    select user_id, cast(sitting_no as bigint) as sitting_no, min(us) as started, max(us) as ended, count(*) as n_events, cast(sum(cents) as bigint) as cents
+    from runs group by user_id, sitting_no"""

@@ -9,13 +9,14 @@ from bidmatrix.functions.display import lakhs, price_or_na, rupees
 from bidmatrix.functions.text import short_vendor
 from bidmatrix.operators import cells as c
 from bidmatrix.operators import conformance, deviation, matrix, scope, totals, usage
+from bidmatrix.operators.sittings import MICROS, sittings
 from bidmatrix.plans import comparison, kept, sessions
 from bidmatrix.schemas import ROW
 from bidmatrix.session import stored, work_folder
 from bidmatrix.sources import extracted, files, landing, marketplace, quotetext, sessiondocs
 from bidmatrix.sources.store import QuoteStore, batch_name
 from bidmatrix.sources.taxonomy import official
-from bidmatrix.streaming import sync
+from bidmatrix.streaming import eventtime, sync
 from workload import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -514,3 +515,35 @@ def q_stored_bundle(spark, sf):
     sent = store.stage(extracted.documents(views.extracted(spark, sf)), "documents")
     store.append(landing.land(sent), batch_name("documents", 1))
     return comparison.compare(store.line_items(), store.quotes())
+
+
+# events
+
+_GAP = 2 * 3600
+
+
+def _arriving(spark, sf, run):
+    """run(stream of the arrivals so far) once per period; its result of the last one."""
+    folder, out = work_folder(spark), None
+    arrived = stored(views.arrivals(spark, sf))
+    for (period,) in arrived.select("period").distinct().orderBy("period").collect():  # as many as the calendar has
+        arrived.where(F.col("period") == period).drop("period").write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(arrived.drop("period").schema).parquet(f"{folder}/in")
+        out = run(stream, folder)
+        out.awaitTermination()
+    return folder
+
+
+@query
+def q_event_totals(spark, sf):
+    """Daily totals from a stream whose records come late and repeatedly."""
+    by, sums = ["day", "event_type"], {"cents": F.col("cents")}
+    folder = _arriving(spark, sf, lambda stream, folder: eventtime.start_totals(
+        eventtime.once(stream, "ts", f"{views.LATE_DAYS + 1} days", "event_id"), by, sums, f"{folder}/totals", f"{folder}/checkpoint"))
+    return eventtime.totals(spark, f"{folder}/totals", by, list(sums))
+
+
+@query
+def q_event_sittings(spark, sf):
+    """Runs of each user's events without a pause of more than two hours."""
+    return sittings(views.events(spark, sf), "user_id", "at", _GAP * MICROS, 6 * 3600 * MICROS, cents=F.col("cents"))

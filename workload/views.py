@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidmatrix.functions.money import amount
+from bidmatrix.operators.sittings import micros
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -278,3 +279,22 @@ def files(spark: SparkSession, sf: str, status: str) -> DataFrame:
         F.col("l_quantity").cast("bigint").alias("size"),
         "pos",
     )
+
+
+def events(spark: SparkSession, sf: str) -> DataFrame:
+    """Events with their time in microseconds and their value in cents."""
+    cents = F.round(F.col("value") * 100).cast("bigint")
+    return table(spark, sf, "events").withColumns({"at": micros("ts"), "cents": cents, "day": F.date_format("ts", "yyyy-MM-dd")})
+
+
+#: Days of events that arrive together, and by how many at most an event comes after its period.
+PERIOD_DAYS, LATE_DAYS = 5, 1
+
+
+def arrivals(spark: SparkSession, sf: str) -> DataFrame:
+    """Events by the period they arrive in: up to a day late, by their id, every seventh again a period later."""
+    day = 86_400_000_000
+    late = F.pmod(F.xxhash64("event_id"), F.lit(LATE_DAYS * day))
+    first = events(spark, sf).withColumn("period", F.floor((F.col("at") + late) / (PERIOD_DAYS * day)))
+    again = first.where("event_id % 7 = 0").withColumn("period", F.col("period") + 1)
+    return first.unionByName(again).withColumn("ts", F.col("ts").cast("timestamp"))
