@@ -42,22 +42,32 @@ def snap(items: DataFrame, taxonomy: DataFrame) -> DataFrame:
     )
 
 
+#: Blocks that the word bank is dealt over, and tasks that each of them meets the sessions in.
+BLOCKS, SALTS = 64, 16
+
+
 def uncovered(cells: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """Word-bank entries no vendor of the session quotes.
 
-    Only conforming labels are collected, so an array never exceeds the word bank.
+    The bank is dealt over blocks by hash, and every session meets it block by block, so no array holds more
+    than a block of it and no session's labels come together in one row.
     """
     entry = F.struct(*SERVICE)
+    block = F.pmod(F.xxhash64(*SERVICE), F.lit(BLOCKS)).cast("int")
+    bank = taxonomy.select(*SERVICE).distinct()
     quoted = (
         cells.select("session_id", *SERVICE).distinct()
-        .join(taxonomy.select(*SERVICE), SERVICE, "left_semi")
-        .groupBy("session_id").agg(F.collect_set(entry).alias("quoted"))
+        .join(bank, SERVICE, "left_semi")
+        .groupBy("session_id", block.alias("block")).agg(F.collect_list(entry).alias("quoted"))
     )
-    sessions = cells.select("session_id").distinct().join(quoted, "session_id", "left")
-    everything = taxonomy.agg(F.collect_set(entry)).scalar()
+    blocks = bank.groupBy(block.alias("block")).agg(F.collect_list(entry).alias("entries"))
+    blocks = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    sessions = cells.select("session_id").distinct().withColumn("salt", F.pmod(F.xxhash64("session_id"), F.lit(SALTS)).cast("int"))
+    sessions = sessions.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
     none = F.array().cast("array<struct<service_category:string,sub_service:string>>")
-    missing = F.explode(F.array_except(everything, F.coalesce("quoted", none)))
-    return sessions.select("session_id", missing.alias("e")).select("session_id", "e.*")
+    missing = F.explode(F.array_except("entries", F.coalesce("quoted", none)))
+    met = sessions.join(blocks, ["block", "salt"]).join(quoted, ["session_id", "block"], "left")
+    return met.select("session_id", missing.alias("e")).select("session_id", "e.*")
 
 
 def coverage(cells: DataFrame, taxonomy: DataFrame) -> DataFrame:

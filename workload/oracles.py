@@ -441,3 +441,18 @@ runs as (select *, sum(apart) over (partition by user_id order by us) as sitting
  select *, case when us - lag(us) over (partition by user_id order by us) <= 7200000000 then 0 else 1 end as apart from events2))""") + """
     select user_id, cast(sitting_no as bigint) as sitting_no, min(us) as started, max(us) as ended, count(*) as n_events, cast(sum(cents) as bigint) as cents
     from runs group by user_id, sitting_no"""
+
+ORACLES["q_taxonomy_snap_whole"] = ORACLES["q_taxonomy_snap"].replace("(from taxonomy where service_category <> 'PROMO')", "taxonomy")
+ORACLES["q_taxonomy_closest"] = """
+with names as (
+ select p_partkey, p_type as service_category, p_name || ' ' || substr(md5(cast(p_partkey as varchar)), 1, 6) as sub_service from part),
+bank as (select distinct service_category, sub_service from names where p_partkey % 10 <> 0),
+labels as (
+ select distinct case when p_partkey % 5 = 0 then 'UNKNOWN' else service_category end as service_category,
+  case p_partkey % 4 when 1 then substr(sub_service, 1, 2) || substr(sub_service, 4) when 2 then substr(sub_service, 1, 1) || 'x' || substr(sub_service, 3) || 'y'
+   when 3 then upper(sub_service) else sub_service end as sub_service from names),
+met as (
+ select l.*, b.service_category as snapped_category, b.sub_service as snapped, cast(levenshtein(lower(l.sub_service), b.sub_service) as int) as distance
+ from labels l join bank b on b.service_category = l.service_category or l.service_category = 'UNKNOWN')
+select service_category, sub_service, snapped_category, snapped, distance from met
+qualify row_number() over (partition by service_category, sub_service order by distance, snapped, snapped_category) = 1"""

@@ -9,6 +9,7 @@ from bidmatrix.functions.display import lakhs, price_or_na, rupees
 from bidmatrix.functions.text import short_vendor
 from bidmatrix.operators import cells as c
 from bidmatrix.operators import conformance, deviation, matrix, scope, totals, usage
+from bidmatrix.operators.closest import closest
 from bidmatrix.operators.sittings import MICROS, sittings
 from bidmatrix.plans import comparison, kept, sessions
 from bidmatrix.schemas import ROW
@@ -324,6 +325,18 @@ def q_taxonomy_snap(spark, sf):
     return conformance.snap(views.items(spark, sf), bank)
 
 
+@query
+def q_taxonomy_closest(spark, sf):
+    """Misspelt names of all parts against a bank of all but every tenth, through the index."""
+    return closest(views.misspelt(spark, sf), views.part_names(spark, sf).where("p_partkey % 10 <> 0"))
+
+
+@query
+def q_taxonomy_snap_whole(spark, sf):
+    """The labels in use against the whole derived word bank."""
+    return conformance.snap(views.items(spark, sf), views.taxonomy(spark, sf))
+
+
 @query
 def q_taxonomy_uncovered(spark, sf):
     return conformance.uncovered(_stored_cells(spark, sf), views.taxonomy(spark, sf))

@@ -298,3 +298,21 @@ def arrivals(spark: SparkSession, sf: str) -> DataFrame:
     first = events(spark, sf).withColumn("period", F.floor((F.col("at") + late) / (PERIOD_DAYS * day)))
     again = first.where("event_id % 7 = 0").withColumn("period", F.col("period") + 1)
     return first.unionByName(again).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def part_names(spark: SparkSession, sf: str) -> DataFrame:
+    """A name of its own for every part, with its category and key."""
+    name = F.concat("p_name", F.lit(" "), F.substring(F.md5(F.col("p_partkey").cast("string").cast("binary")), 1, 6))
+    return table(spark, sf, "part").select("p_partkey", F.col("p_type").alias("service_category"), name.alias("sub_service"))
+
+
+def misspelt(spark: SparkSession, sf: str) -> DataFrame:
+    """The parts' names with a letter left out, others put in or in capitals; every fifth under a category that no bank knows."""
+    key, name = F.col("p_partkey"), F.col("sub_service")
+    written = (
+        F.when(key % 4 == 1, F.concat(F.substring(name, 1, 2), F.substring(name, 4, 100)))
+        .when(key % 4 == 2, F.concat(F.substring(name, 1, 1), F.lit("x"), F.substring(name, 3, 100), F.lit("y")))
+        .when(key % 4 == 3, F.upper(name)).otherwise(name)
+    )
+    category = F.when(key % 5 == 0, "UNKNOWN").otherwise(F.col("service_category"))
+    return part_names(spark, sf).select(category.alias("service_category"), written.alias("sub_service"))
