@@ -22,9 +22,9 @@ CELLS = (
 # Input documents. Leaves are VARIANT because an absent key takes a default while an explicit
 # JSON null stays null, and from_json with typed leaves cannot tell the two apart.
 MARKET_QUOTE = (
-    "quoteNumber variant, vendorDetail variant, "
-    "pricingSummary array<struct<label:variant,value:variant>>, "
-    "workSummary array<struct<services:array<struct<serviceId:variant,"
+    "quoteNumber:variant,vendorDetail:variant,"
+    "pricingSummary:array<struct<label:variant,value:variant>>,"
+    "workSummary:array<struct<services:array<struct<serviceId:variant,"
     "workItems:array<struct<workTitle:variant,description:variant,subService:variant,"
     "pricingMethod:variant,pricingInput:array<struct<quantity:variant,rate:variant,"
     "grandTotal:variant>>>>>>>>"
