@@ -18,7 +18,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 VOCABULARY = "byte_bpe_50k"
 #: Pieces whose ids a worker keeps (about 200 bytes each) before it starts afresh.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 120_000
 
 #: The splitting rule over UTF-8 bytes of plain texts: there, a byte above 0x7F is part of a letter.
 _PIECE = re.compile(
