@@ -197,7 +197,7 @@ def test_templates_learn_from_labels(spark):
 def test_queries_equal_their_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     with duckdb.connect() as db:
-        for t in ("documents", "conversations", "pages"):
+        for t in ("documents", "conversations", "pages", "benchmark", "embeddings"):
             db.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
         sql = db.execute(queries.ORACLES[name])
         columns = [c[0] for c in sql.description]
