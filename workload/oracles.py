@@ -456,3 +456,39 @@ met as (
  from labels l join bank b on b.service_category = l.service_category or l.service_category = 'UNKNOWN')
 select service_category, sub_service, snapped_category, snapped, distance from met
 qualify row_number() over (partition by service_category, sub_service order by distance, snapped, snapped_category) = 1"""
+
+_IN_TIME = """
+lines as (select l_orderkey * 10 + l_linenumber as pos, s_name as vendor_name,
+  cast(date_diff('day', date '1970-01-01', cast(o_orderdate as date)) as bigint) as order_day,
+  cast(date_diff('day', date '1970-01-01', cast(l_shipdate as date)) as bigint) as ship_day
+ from lineitem join orders on l_orderkey = o_orderkey join supplier on l_suppkey = s_suppkey),
+dated as (select vendor_name, quote_id, grand_total_cents, cast(date_diff('day', date '1970-01-01', cast(quote_date as date)) as bigint) as quote_day from quotes)"""
+ORACLES["q_quote_in_force"] = _with(_ITEMS, _QUOTES, _IN_TIME) + """
+    select pos, l.vendor_name, ship_day, quote_id, grand_total_cents, quote_day
+    from lines l asof left join (select * from dated qualify row_number() over (partition by vendor_name, quote_day order by quote_id desc) = 1) q
+     on l.vendor_name = q.vendor_name and l.ship_day >= q.quote_day"""
+ORACLES["q_quote_overlap"] = _with(_ITEMS, _QUOTES, _IN_TIME, """
+held as (select *, coalesce(lead(quote_day) over (partition by vendor_name order by quote_day), quote_day + 90) as held_to
+ from (select vendor_name, quote_day, count(*) as n_quotes from dated group by all))""") + """
+    select vendor_name, quote_day, n_quotes, count(*) as n_lines,
+     cast(sum(least(ship_day + 1, held_to) - greatest(order_day, quote_day)) as bigint) as open_days
+    from lines join held using (vendor_name)
+    where order_day < ship_day + 1 and order_day < held_to and quote_day < ship_day + 1 group by all"""
+ORACLES["q_price_quantiles"] = _with(_ITEMS, """
+placed as (select session_id, rate_cents, row_number() over (partition by session_id order by rate_cents) as place,
+  count(*) over (partition by session_id) as n from items where rate_cents is not null)""") + """
+    select session_id, share, n as n_prices, true as inside, case when n <= 400 then rate_cents end as price_cents
+    from placed, (values (0.25::double), (0.5::double), (0.75::double)) v(share) where place = greatest(ceil(share * n), 1)"""
+_SAMPLE = _with(_ITEMS, """
+numbered as (select session_id, pos, amount_cents, count(*) as n_alike,
+  ('0x' || substr(sha256('2024|=' || pos || '|=' || amount_cents), 1, 12))::bigint as number from items group by all),
+placed as (select *, row_number() over (partition by session_id order by number, pos, amount_cents) as place from numbered),
+sampled as (select session_id, pos, amount_cents, n_alike, number, cast(place as int) as place,
+  coalesce((select p.number from placed p where p.session_id = s.session_id and p.place = 51), 281474976710656) as threshold
+ from placed s where place <= 50)""")
+ORACLES["q_session_sample"] = _SAMPLE + "from sampled"
+ORACLES["q_sample_estimates"] = _SAMPLE + """
+    select session_id, count(*) as n_sampled, threshold,
+     cast(floor(sum(n_alike)::double * 281474976710656 / threshold) as bigint) as estimated_rows,
+     cast(floor(sum(amount_cents * n_alike)::double * 281474976710656 / threshold) as bigint) as estimated_sum
+    from sampled group by session_id, threshold"""

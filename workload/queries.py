@@ -2,13 +2,14 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bidmatrix.functions.display import lakhs, price_or_na, rupees
 from bidmatrix.functions.text import short_vendor
 from bidmatrix.operators import cells as c
-from bidmatrix.operators import conformance, deviation, matrix, scope, totals, usage
+from bidmatrix.operators import conformance, deviation, matrix, quantiles, sampling, scope, totals, usage
+from bidmatrix.operators.asof import as_of, overlaps
 from bidmatrix.operators.closest import closest
 from bidmatrix.operators.sittings import MICROS, sittings
 from bidmatrix.plans import comparison, kept, sessions
@@ -560,3 +561,77 @@ def q_event_totals(spark, sf):
 def q_event_sittings(spark, sf):
     """Runs of each user's events without a pause of more than two hours."""
     return sittings(views.events(spark, sf), "user_id", "at", _GAP * MICROS, 6 * 3600 * MICROS, cents=F.col("cents"))
+
+
+# along time
+
+@query
+def q_quote_in_force(spark, sf):
+    """Every line with its vendor's last quote up to the day it was shipped."""
+    lines = views.lines_in_time(spark, sf).select("pos", "vendor_name", "ship_day")
+    return as_of(lines, views.quotes_in_time(spark, sf), "vendor_name", "ship_day", "quote_day", 90, ["quote_id"])
+
+
+#: Days for which a vendor's last quote holds.
+_HOLDS = 90
+
+
+@query
+def q_quote_overlap(spark, sf):
+    """Per day on which a vendor quoted: lines open while those quotes held, and on how many days together."""
+    days = views.quotes_in_time(spark, sf).groupBy("vendor_name", "quote_day").agg(F.count(F.lit(1)).alias("n_quotes"))
+    following = F.lead("quote_day").over(Window.partitionBy("vendor_name").orderBy("quote_day"))
+    held = stored(days.withColumn("held_to", F.coalesce(following, F.col("quote_day") + _HOLDS)))
+    opened = views.lines_in_time(spark, sf).withColumn("open_to", F.col("ship_day") + 1)
+    met = overlaps(stored(opened), held, "vendor_name", ("order_day", "open_to"), ("quote_day", "held_to"))
+    return met.groupBy("vendor_name", "quote_day", "n_quotes").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum(F.col("shared_to") - F.col("shared_from")).alias("open_days")
+    )
+
+
+# estimates
+
+_SHARES = [0.25, 0.5, 0.75]
+
+
+@query
+def q_price_quantiles(spark, sf):
+    """Quartiles of each session's unit prices from sketches per quarter and session, with the exact ranks of the answers.
+
+    A session of at most K prices shows the answers themselves, which are exact; for all of them, ``inside`` says whether the
+    ranks are within three times the sketch's error.
+    """
+    prices = stored(views.items(spark, sf).select("session_id", F.date_trunc("quarter", "o_orderdate").alias("batch"), "rate_cents"))
+    per_batch = stored(quantiles.sketches(prices, ["batch", "session_id"], "rate_cents"))
+    answers = stored(quantiles.quantiles(quantiles.merged(per_batch, ["session_id"]), ["session_id"], _SHARES))
+    found = quantiles.ranked(prices, ["session_id"], "rate_cents", answers, len(_SHARES))
+    n, off = F.col("n_values"), 3 * quantiles.rank_error() * F.col("n_values")
+    each = found.select("session_id", "n_values", F.posexplode(F.arrays_zip("answers", "below", "up_to")).alias("place", "r"))
+    share = F.get(F.array(*[F.lit(s) for s in _SHARES]), F.col("place"))
+    inside = (F.col("r.below") - off <= share * n) & (share * n <= F.col("r.up_to") + off)
+    return each.select(
+        "session_id", share.alias("share"), n.alias("n_prices"), inside.alias("inside"),
+        F.when(n <= quantiles.K, F.col("r.answers")).alias("price_cents"),
+    )
+
+
+_SAMPLE, _SEED = 50, 2024
+
+
+def _sampled(spark, sf):
+    lines = views.priced_lines(spark, sf)
+    by, unit = ["session_id"], ["pos", "amount_cents"]
+    lowest = sampling.smallest(sampling.units(lines, by, unit, "amount_cents", _SEED), by, unit, _SAMPLE)
+    return sampling.sample(lowest, by, _SAMPLE)
+
+
+@query
+def q_session_sample(spark, sf):
+    """At most 50 lines of each session, by keyed hash."""
+    return _sampled(spark, sf).select("session_id", "pos", "amount_cents", "n_alike", "number", "place", "threshold")
+
+
+@query
+def q_sample_estimates(spark, sf):
+    """Each session's number and sum of lines as its sample tells them."""
+    return sampling.estimates(_sampled(spark, sf), ["session_id"])

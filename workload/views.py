@@ -115,6 +115,29 @@ def faulty_quotes(spark: SparkSession, sf: str) -> DataFrame:
     return whole.unionByName(bare_quotes(spark, sf), allowMissingColumns=True)
 
 
+def _day(column: str) -> Column:
+    """Whole days since 1970."""
+    return F.unix_date(F.col(column).cast("date")).cast("bigint")
+
+
+def lines_in_time(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of each vendor with the days on which they were ordered and shipped."""
+    t = lambda name: table(spark, sf, name)
+    joined = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    pos = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos")
+    return joined.select(pos, F.col("s_name").alias("vendor_name"), _day("o_orderdate").alias("order_day"), _day("l_shipdate").alias("ship_day"))
+
+
+def priced_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Session, position and amount of each line."""
+    return _base(spark, sf).select("session_id", "pos", F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("amount_cents"))
+
+
+def quotes_in_time(spark: SparkSession, sf: str) -> DataFrame:
+    """Quotes of each vendor with their day."""
+    return quotes(spark, sf).select("vendor_name", "quote_id", "grand_total_cents", _day("quote_date").alias("quote_day"))
+
+
 def bare_quotes(spark: SparkSession, sf: str) -> DataFrame:
     """A quote without any line for each supplier, in a session of its own."""
     key = F.col("s_suppkey").cast("string")
