@@ -10,7 +10,8 @@ the way back is closed.
 
 Cases: null and empty texts stay. Repeated rows are treated alike. Very long texts are treated whole, row by
 row. Overlapping candidates count from the left; an IBAN's length follows from its country, a phone number's
-from its calling code where that is listed, so neither takes in what follows it. An empty table gives an empty result. Columns of the input
+from its calling code where that is listed, so neither takes in what follows it. In a run of blocks of four
+digits, any four neighbours that check out are a card. An empty table gives an empty result. Columns of the input
 named n_found are replaced; all others pass through.
 """
 
@@ -75,9 +76,16 @@ _PHONE = (
     rf"|(?<![\p{{L}}\p{{N}}])\+(?:{_PHONE_LISTED}|[0-9]{{1,3}}(?:[ .-]?[0-9]){{4}}(?:{_GAP}[0-9]){{0,10}}(?![0-9]))"
     r"|(?<![\p{L}\p{N}.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])"
 )
+# blocks of four digits are taken as a whole run, in which any four neighbours may be a card
+_BLOCK = (
+    r"(?![0-9]{4}[ -][0-9]{6}[ -][0-9]{5}(?![0-9])|[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}(?![0-9])"
+    r"|[0-9A-Fa-f]{32}|[\p{L}\p{N}._%+-]++@)[0-9]{4}(?![0-9])"
+)
 _CARD = (
-    r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\3[0-9]{4}\3[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\4[0-9]{5})(?![0-9])"
+    rf"(?<![0-9])(?:[0-9]{{13,19}}(?![0-9])|{_BLOCK}([ -]){_BLOCK}(?:\3{_BLOCK}){{2,}}|[0-9]{{4}}([ -])[0-9]{{6}}\4[0-9]{{5}}(?![0-9]))"
 )
+#: Calling codes by their number of digits: all that are not listed here have three.
+CALLING_CODE = "^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 CANDIDATE = "|".join((_MAIL, _IBAN, _TOKEN, _IP, _YMD, _DMY, _SSN, _PHONE, _CARD))
 
 
@@ -246,14 +254,43 @@ def ssn(value: Column, key: Key) -> Column:
 
 
 def phone(value: Column, key: Key) -> Column:
-    """The digits after a country code."""
-    code = F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
+    """The digits after the calling code, whatever the layout; a code that none can have counts up to its separator."""
+
+    def behind(code: Column, number: Column) -> Column:
+        rest = F.substring(number, F.length(code) + 1, F.length(number))
+        return let(rest, lambda r: F.when(F.length(r).between(7, 14), refill(value, F.concat(code, permute_digits(r, key, "phone")))))
+
+    def of(number: Column) -> Column:
+        told = F.regexp_extract(value, r"^\+([0-9]{1,3})(?=[ .(-])", 1)
+        code = F.when(F.startswith(value, F.lit("+")), F.regexp_extract(number, CALLING_CODE, 0)).otherwise("")
+        return F.coalesce(let(code, lambda c: behind(c, number)), let(told, lambda c: behind(c, number)))
+
+    return let(digits(value), of)
+
 
-    def of(rest: Column) -> Column:
-        number = digits(rest)
-        return F.when(F.length(number).between(7, 14), F.concat(code, refill(rest, permute_digits(number, key, "phone"))))
+def card_run(value: Column, key: Key) -> Column:
+    """A run of blocks of four digits with its cards replaced, from the left: struct of out (null: none) and n."""
 
-    return let(F.substring(value, F.length(code) + 1, F.length(value)), of)
+    def of(blocks: Column) -> Column:
+        sign, n_blocks = F.substring(value, 5, 1), F.size(blocks)
+
+        def step(acc: Column, i: Column) -> Column:
+            own = F.when(acc["skip"] == 0, card(F.array_join(F.slice(blocks, i, 4), " "), key))
+            fresh = F.when(i + 3 <= n_blocks, own)
+            return let(fresh, lambda new: F.struct(
+                F.when(new.isNotNull(), F.concat(acc["parts"], F.array(F.translate(new, " ", "-"))))
+                .when(acc["skip"] > 0, acc["parts"]).otherwise(F.concat(acc["parts"], F.array(F.get(blocks, i - 1)))).alias("parts"),
+                F.when(new.isNotNull(), 3).otherwise(F.greatest(acc["skip"] - 1, F.lit(0))).alias("skip"),
+                (acc["n"] + new.isNotNull().cast("int")).alias("n"),
+            ))
+
+        start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("skip"), F.lit(0).alias("n"))
+        done = F.aggregate(F.sequence(F.lit(1), n_blocks), start, step)
+        return let(done, lambda d: F.struct(
+            F.when(d["n"] > 0, F.replace(F.array_join(d["parts"], "-"), F.lit("-"), sign)).alias("out"), d["n"].alias("n")
+        ))
+
+    return let(F.split(value, "[ -]"), of)
 
 
 def digest(value: Column, key: Key, kind: str) -> Column:
@@ -285,21 +322,27 @@ def pseudonym(value: Column, key: Key = Key()) -> Column:
     )
 
 
+def replacement(value: Column, key: Key) -> Column:
+    """Struct of out, a candidate's pseudonym (null if it is not valid), and n, how many values that replaces."""
+    single = let(pseudonym(value, key), lambda new: F.struct(new.alias("out"), new.isNotNull().cast("int").alias("n")))
+    return F.when(F.rlike(value, F.lit("^[0-9]{4}(?:[ -][0-9]{4}){4,}$")), card_run(value, key)).otherwise(single)
+
+
 def pseudonymise(docs: DataFrame, key: Key = Key()) -> DataFrame:
     """docs with pseudonyms in their texts, and n_found, how many."""
     docs = docs.drop("n_found")
     candidate = F.lit(CANDIDATE)
 
     def replaced(found: Column) -> Column:
-        fresh = F.transform(found, lambda m: pseudonym(m, key))
+        fresh = F.transform(found, lambda m: replacement(m, key))
         between = F.split("text", CANDIDATE, -1)
-        shown = lambda new: F.zip_with(new, found, lambda a, b: F.coalesce(a, b))
+        shown = lambda new: F.zip_with(new, found, lambda a, b: F.coalesce(a["out"], b))
         joined = lambda new: F.concat(
             F.array_join(F.zip_with(F.slice(between, 1, F.size(found)), shown(new), lambda a, b: F.concat(a, b)), ""),
             F.element_at(between, -1),
         )
         return let(fresh, lambda new: F.struct(
-            joined(new).alias("text"), F.size(F.filter(new, lambda x: x.isNotNull())).alias("n")
+            joined(new).alias("text"), F.aggregate(new, F.lit(0), lambda n, x: n + x["n"]).alias("n")
         ))
 
     # most texts hold neither a digit nor an at sign
