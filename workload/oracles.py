@@ -492,3 +492,4 @@ ORACLES["q_sample_estimates"] = _SAMPLE + """
      cast(floor(sum(n_alike)::double * 281474976710656 / threshold) as bigint) as estimated_rows,
      cast(floor(sum(amount_cents * n_alike)::double * 281474976710656 / threshold) as bigint) as estimated_sum
     from sampled group by session_id, threshold"""
+ORACLES["q_exported_cells"] = ORACLES["q_cells"]

@@ -16,7 +16,7 @@ from bidmatrix.plans import comparison, kept, sessions
 from bidmatrix.schemas import ROW
 from bidmatrix.session import stored, work_folder
 from bidmatrix.sources import extracted, files, landing, marketplace, quotetext, sessiondocs
-from bidmatrix.sources.store import QuoteStore, batch_name
+from bidmatrix.sources.store import QuoteStore, batch_name, export
 from bidmatrix.sources.taxonomy import official
 from bidmatrix.streaming import eventtime, sync
 from workload import views
@@ -63,6 +63,14 @@ def q_cells(spark, sf):
     return _cells(spark, sf)
 
 
+@query
+def q_exported_cells(spark, sf):
+    """The cells written as JSON lines and read back."""
+    folder, rows = work_folder(spark), _cells(spark, sf)
+    export(rows, folder, "json")
+    return spark.read.schema(rows.schema).json(folder)
+
+
 @query
 def q_cells_of_tables(spark, sf):
     return c.cells_of_tables(views.quote_items(spark, sf), views.quotes(spark, sf))
