@@ -86,11 +86,11 @@ from e group by conv_id
 
 
 @query
-def op9_filter_urls(spark, sf):
+def op9_judge_urls(spark, sf):
     return urls.judge(table(spark, sf, "pages"))
 
 
-ORACLES["op9_filter_urls"] = """
+ORACLES["op9_judge_urls"] = """
 with p0 as (
   select page_id, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '') as raw,
          coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path
@@ -119,39 +119,87 @@ with p0 as (
     select *, count(*) over (partition by host, place) as vals, sum(n) over (partition by host, place) as pages from v)
   where vals <= 20 or n >= pages * 0.05::double
 ), t as (
-  select parts.page_id, parts.host, parts.path, parts.rule, parts.label, len(parts.segs) as depth,
-         '/' || string_agg(coalesce(w.value, '*'), '/' order by parts.place) as template
-  from (select *, unnest(range(len(segs))) as place from (select *, row_number() over () as k from l)) parts
-  left join w on parts.host = w.host and parts.place = w.place and parts.segs[parts.place + 1] = w.value
-  group by parts.k, parts.page_id, parts.host, parts.path, parts.rule, parts.label, parts.segs
-), b as (
-  select host, depth, template, count(label) as labelled, coalesce(sum(label), 0) as blocked from t group by all
-), g as (
-  select (sum(blocked) + 1.0::double) / (sum(labelled) + 2.0::double) as overall from b
-), o as (
-  select *, (blocked + 0.5::double) / (labelled + 1.0::double) as share from b where labelled > 0
-), q as (
-  select *, lag(labelled) over z as n0, lag(blocked) over z as x0 from o
-  window z as (partition by host, depth order by share, template)
-), c as (
-  select *, coalesce((abs(blocked::double / labelled - x0::double / n0) > 1.96::double * sqrt(
-      ((blocked + x0 + 1.0::double) / (labelled + n0 + 2.0::double))
-      * (1.0::double - (blocked + x0 + 1.0::double) / (labelled + n0 + 2.0::double))
-      * (1.0::double / labelled + 1.0::double / n0)))::int, 0) as apart
-  from q
-), d as (
-  select *, sum(apart) over (partition by host, depth order by share, template rows unbounded preceding) as cluster from c
-), m as (
-  select host, template, sum(labelled) over (partition by host, depth, cluster) as n,
-         sum(blocked) over (partition by host, depth, cluster) as x from d
-  union all select host, template, 0, 0 from b where labelled = 0
-), f as (
-  select host, template, (x + 8.0::double * overall) / (n + 8.0::double) as purity from m, g
+  select k, page_id, host, path, rule, label, split_part(host, '.', -1) as suffix,
+         case when contains(host, '.') then split_part(host, '.', -2) || '.' || split_part(host, '.', -1) else host end as domain,
+         '/' || string_agg(part, '/' order by place) filter (where place < 1) as first,
+         '/' || string_agg(part, '/' order by place) filter (where place < 2) as second,
+         '/' || string_agg(part, '/' order by place) as template
+  from (select parts.*, coalesce(w.value, '*') as part
+        from (select *, unnest(range(len(segs))) as place from (select *, row_number() over () as k from l)) parts
+        left join w on parts.host = w.host and parts.place = w.place and parts.segs[parts.place + 1] = w.value)
+  group by k, page_id, host, path, rule, label
+), b0 as (
+  select suffix, domain, host, first, second, template, count(label) as n, coalesce(sum(label), 0) as x from t group by all
+), k0 as (
+  select sum(n) as own_n, (sum(x) + 1.0::double) / (sum(n) + 2.0::double) as purity from b0
+), k1 as (
+  select suffix, m as own_n, case when m = 0 or m = u.own_n then u.purity else (y + 8.0::double * u.purity) / (m + 8.0::double) end as purity
+  from (select suffix, sum(n) as m, sum(x) as y from b0 group by all) cross join k0 u
+), k2 as (
+  select suffix, domain, m as own_n, case when m = 0 or m = u.own_n then u.purity else (y + 8.0::double * u.purity) / (m + 8.0::double) end as purity
+  from (select suffix, domain, sum(n) as m, sum(x) as y from b0 group by all) join k1 u using (suffix)
+), k3 as (
+  select suffix, domain, host, m as own_n, case when m = 0 or m = u.own_n then u.purity else (y + 8.0::double * u.purity) / (m + 8.0::double) end as purity
+  from (select suffix, domain, host, sum(n) as m, sum(x) as y from b0 group by all) join k2 u using (suffix, domain)
+), b4 as (
+  select suffix, domain, host, first, sum(n) as n, sum(x) as x from b0 group by all
+), g4 as (
+  select suffix, domain, host, n, x, n * count(*) as an, x * count(*) as ax from b4 where n > 0 group by suffix, domain, host, n, x
+), q4 as (
+  select *, lag(an) over z as n0, lag(ax) over z as x0 from g4
+  window z as (partition by suffix, domain, host order by ax::double / an, n)
+), a4 as (
+  select *, coalesce((abs(ax::double / an - x0::double / n0) > 1.96::double * sqrt(
+      ((ax + x0 + 1.0::double) / (an + n0 + 2.0::double)) * (1.0::double - (ax + x0 + 1.0::double) / (an + n0 + 2.0::double))
+      * (1.0::double / an + 1.0::double / n0)))::int, 0) as apart from q4
+), c4 as (
+  select *, sum(apart) over (partition by suffix, domain, host order by ax::double / an, n rows unbounded preceding) as cluster from a4
+), m4 as (
+  select suffix, domain, host, n, x, sum(an) over (partition by suffix, domain, host, cluster) as m, sum(ax) over (partition by suffix, domain, host, cluster) as y from c4
+), k4 as (
+  select suffix, domain, host, first, n as own_n, case when m = 0 or m = u.own_n then u.purity else (y + 8.0::double * u.purity) / (m + 8.0::double) end as purity
+  from (select b.*, coalesce(m, 0) as m, coalesce(y, 0) as y from b4 b left join m4 using (suffix, domain, host, n, x)) join k3 u using (suffix, domain, host)
+), b5 as (
+  select suffix, domain, host, first, second, sum(n) as n, sum(x) as x from b0 group by all
+), g5 as (
+  select suffix, domain, host, first, n, x, n * count(*) as an, x * count(*) as ax from b5 where n > 0 group by suffix, domain, host, first, n, x
+), q5 as (
+  select *, lag(an) over z as n0, lag(ax) over z as x0 from g5
+  window z as (partition by suffix, domain, host, first order by ax::double / an, n)
+), a5 as (
+  select *, coalesce((abs(ax::double / an - x0::double / n0) > 1.96::double * sqrt(
+      ((ax + x0 + 1.0::double) / (an + n0 + 2.0::double)) * (1.0::double - (ax + x0 + 1.0::double) / (an + n0 + 2.0::double))
+      * (1.0::double / an + 1.0::double / n0)))::int, 0) as apart from q5
+), c5 as (
+  select *, sum(apart) over (partition by suffix, domain, host, first order by ax::double / an, n rows unbounded preceding) as cluster from a5
+), m5 as (
+  select suffix, domain, host, first, n, x, sum(an) over (partition by suffix, domain, host, first, cluster) as m, sum(ax) over (partition by suffix, domain, host, first, cluster) as y from c5
+), k5 as (
+  select suffix, domain, host, first, second, n as own_n, case when m = 0 or m = u.own_n then u.purity else (y + 8.0::double * u.purity) / (m + 8.0::double) end as purity
+  from (select b.*, coalesce(m, 0) as m, coalesce(y, 0) as y from b5 b left join m5 using (suffix, domain, host, first, n, x)) join k4 u using (suffix, domain, host, first)
+), b6 as (
+  select suffix, domain, host, first, second, template, sum(n) as n, sum(x) as x from b0 group by all
+), g6 as (
+  select suffix, domain, host, first, second, n, x, n * count(*) as an, x * count(*) as ax from b6 where n > 0 group by suffix, domain, host, first, second, n, x
+), q6 as (
+  select *, lag(an) over z as n0, lag(ax) over z as x0 from g6
+  window z as (partition by suffix, domain, host, first, second order by ax::double / an, n)
+), a6 as (
+  select *, coalesce((abs(ax::double / an - x0::double / n0) > 1.96::double * sqrt(
+      ((ax + x0 + 1.0::double) / (an + n0 + 2.0::double)) * (1.0::double - (ax + x0 + 1.0::double) / (an + n0 + 2.0::double))
+      * (1.0::double / an + 1.0::double / n0)))::int, 0) as apart from q6
+), c6 as (
+  select *, sum(apart) over (partition by suffix, domain, host, first, second order by ax::double / an, n rows unbounded preceding) as cluster from a6
+), m6 as (
+  select suffix, domain, host, first, second, n, x, sum(an) over (partition by suffix, domain, host, first, second, cluster) as m, sum(ax) over (partition by suffix, domain, host, first, second, cluster) as y from c6
+), k6 as (
+  select suffix, domain, host, first, second, template, n as own_n, case when m = 0 or m = u.own_n then u.purity else (y + 8.0::double * u.purity) / (m + 8.0::double) end as purity
+  from (select b.*, coalesce(m, 0) as m, coalesce(y, 0) as y from b6 b left join m6 using (suffix, domain, host, first, second, n, x)) join k5 u using (suffix, domain, host, first, second)
 )
 select page_id, t.host, path, rule,
        case when label = 0 then 'allow' when label = 1 then 'block' when purity >= 0.8 then 'block' else 'allow' end as verdict,
        t.template, purity
-from t join f on t.host = f.host and t.template = f.template
+from t join k6 on t.host = k6.host and t.template = k6.template
 """
 
 

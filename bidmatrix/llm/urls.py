@@ -3,12 +3,15 @@
 Rules name a verdict for a host with its subdomains and a beginning of the path; the longest that fits wins.
 Pages with a rule are the labelled ones. Per host, a path segment becomes a wildcard where it varies: it
 holds a digit, or many values stand at its place and it is a rare one. Paths that agree then are one
-template, a branch of the host's tree. Branches of equal depth whose shares of blocked labels do not differ
-beyond chance, neighbour to neighbour in the order of that share, are merged. A merged branch is blocked
-if its share of blocked pages, smoothed by the share among all labelled pages, reaches the threshold.
+template, a leaf of the tree: all pages, the last label of the host, its last two, the host, the template's
+first segment, its first two, the template. Branches of one host and one parent whose shares of blocked labels
+do not differ beyond chance, neighbour to neighbour in the order of that share, are merged. From the top down, a
+branch's share of blocked pages is smoothed by its parent's; one without labels, or with all of its parent's,
+has its parent's. A template is blocked if that reaches the threshold.
 
 Only column functions, groupings, windows over branches and joins: no Python in any row path. A host with
-very many pages meets its few literals and its branches' verdicts in plain joins, which Spark splits.
+very many pages meets its few literals and its branches' verdicts in plain joins, which Spark splits; a window
+has a row per distinct pair of counts among the branches of a parent, not one per branch.
 
 Cases: a null url, or one without "://", has an empty host and path and no rule. Hosts keep ports. Repeated
 rows are judged alike. Very long paths are templated whole. An empty table gives an empty result. Other
@@ -38,7 +41,7 @@ class Tree:
     few_values: int = 20  # up to so many values at a place, all stay
     rare_share: float = 0.05  # beyond that, those below this share of the place's pages become wildcards
     same_z: float = 1.96  # branches whose shares differ by fewer standard errors are merged
-    prior_pages: float = 8.0  # labelled pages that the overall share counts as
+    prior_pages: float = 8.0  # labelled pages that the parent's share counts as
     block_share: float = 0.8
 
 
@@ -74,31 +77,55 @@ def literals(pages: DataFrame, tree: Tree) -> DataFrame:
     return kept.groupBy("host").agg(F.collect_set(F.concat_ws(":", "place", "value")).alias("kept"))
 
 
+#: The tree from its first level to its leaves; those from the host's first segments on are merged with their like.
+LEVELS = ("suffix", "domain", "host", "first", "second", "template")
+MERGED_FROM = LEVELS.index("first")
+
+
+def merge_alike(nodes: DataFrame, parent: list[str], same_z: float) -> DataFrame:
+    """nodes with n and x, the labelled and blocked pages of all branches of their parent that they are merged with.
+
+    Branches with equal counts are alike and go first into one row.
+    """
+    alike = nodes.where("own_n > 0").groupBy(*parent, "own_n", "own_x").agg(
+        (F.col("own_n") * F.count(F.lit(1))).alias("all_n"), (F.col("own_x") * F.count(F.lit(1))).alias("all_x")
+    )
+    order = Window.partitionBy(*parent).orderBy(F.col("all_x") / F.col("all_n"), "own_n")
+    n, x, n0, x0 = F.col("all_n"), F.col("all_x"), F.lag("all_n").over(order), F.lag("all_x").over(order)
+    both = (x + x0 + 1.0) / (n + n0 + 2.0)
+    error = F.sqrt(both * (1.0 - both) * (1.0 / n + 1.0 / n0))
+    apart = F.coalesce(F.abs(x / n - x0 / n0) > F.lit(same_z) * error, F.lit(False))
+    alike = alike.withColumn("apart", apart.cast("int"))
+    alike = alike.withColumn("cluster", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    cluster = Window.partitionBy(*parent, "cluster")
+    sums = alike.select(*parent, "own_n", "own_x", F.sum("all_n").over(cluster).alias("n"), F.sum("all_x").over(cluster).alias("x"))
+    met = nodes.join(sums, [*parent, "own_n", "own_x"], "left")
+    return met.withColumns({"n": F.coalesce("n", "own_n"), "x": F.coalesce("x", "own_x")})
+
+
 def branches(pages: DataFrame, tree: Tree) -> DataFrame:
-    """host, template, purity: every branch with the smoothed share of blocked pages of what it is merged with."""
+    """host, template, purity: every template with its share of blocked pages, smoothed from the top of the tree down."""
     label = F.when(F.col("label") == "block", 1).when(F.col("label") == "allow", 0)
     own = stored(
-        pages.groupBy("host", "depth", "template").agg(
-            F.count(label).alias("labelled"), F.coalesce(F.sum(label), F.lit(0)).alias("blocked")
-        )
+        pages.groupBy(*LEVELS).agg(F.count(label).alias("own_n"), F.coalesce(F.sum(label), F.lit(0)).alias("own_x"))
     )
-    total = own.agg(F.sum("labelled").alias("n"), F.sum("blocked").alias("x")).first()
-    overall = ((total["x"] or 0) + 1.0) / ((total["n"] or 0) + 2.0)
-
-    share = (F.col("blocked") + 0.5) / (F.col("labelled") + 1.0)
-    some = own.where("labelled > 0").withColumn("share", share)
-    order = Window.partitionBy("host", "depth").orderBy("share", "template")
-    some = some.withColumn("n0", F.lag("labelled").over(order)).withColumn("x0", F.lag("blocked").over(order))
-    both = (F.col("blocked") + F.col("x0") + 1.0) / (F.col("labelled") + F.col("n0") + 2.0)
-    error = F.sqrt(both * (1.0 - both) * (1.0 / F.col("labelled") + 1.0 / F.col("n0")))
-    apart = F.abs(F.col("blocked") / F.col("labelled") - F.col("x0") / F.col("n0")) > F.lit(tree.same_z) * error
-    some = some.withColumn("apart", F.coalesce(apart, F.lit(False)).cast("int"))
-    some = some.withColumn("cluster", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = Window.partitionBy("host", "depth", "cluster")
-    some = some.select("host", "depth", "template", F.sum("labelled").over(merged).alias("n"), F.sum("blocked").over(merged).alias("x"))
-    none = own.where("labelled = 0").select("host", "depth", "template", F.lit(0).alias("n"), F.lit(0).alias("x"))
-    smoothed = (F.col("x") + F.lit(tree.prior_pages * overall)) / (F.col("n") + F.lit(tree.prior_pages))
-    return some.unionByName(none).select("host", "template", smoothed.alias("purity"))
+    total = own.agg(F.sum("own_n").alias("n"), F.sum("own_x").alias("x")).first()
+    above, pages_above = F.lit(((total["x"] or 0) + 1.0) / ((total["n"] or 0) + 2.0)), F.lit(total["n"] or 0)
+    known = None
+    for depth in range(1, len(LEVELS) + 1):
+        names, parent = list(LEVELS[:depth]), list(LEVELS[: depth - 1])
+        nodes = own.groupBy(*names).agg(F.sum("own_n").alias("own_n"), F.sum("own_x").alias("own_x"))
+        if depth > MERGED_FROM:
+            nodes = merge_alike(nodes, parent, tree.same_z)
+        else:
+            nodes = nodes.withColumns({"n": F.col("own_n"), "x": F.col("own_x")})
+        if known is not None:
+            nodes = nodes.join(known.withColumnsRenamed({"purity": "above", "own_n": "pages_above"}), parent)
+            above, pages_above = F.col("above"), F.col("pages_above")
+        smoothed = (F.col("x") + F.lit(tree.prior_pages) * above) / (F.col("n") + F.lit(tree.prior_pages))
+        same_evidence = (F.col("n") == 0) | (F.col("n") == pages_above)
+        known = nodes.select(*names, "own_n", F.when(same_evidence, above).otherwise(smoothed).alias("purity"))
+    return known.select("host", "template", "purity")
 
 
 def judge(pages: DataFrame, rules: Rules = RULES, tree: Tree = Tree()) -> DataFrame:
@@ -114,9 +141,14 @@ def judge(pages: DataFrame, rules: Rules = RULES, tree: Tree = Tree()) -> DataFr
     joined = named.join(kept, F.col("host") == F.col("kept_host"), "left")
     stays = lambda value, place: F.coalesce(F.array_contains("kept", F.concat_ws(":", place.cast("string"), value)), F.lit(False))
     parts = F.transform(segments(F.col("path")), lambda value, place: F.when(stays(value, place), value).otherwise("*"))
+    beginning = lambda n: F.concat(F.lit("/"), F.array_join(F.slice("parts", 1, n), "/"))
     templated = stored(
-        joined.withColumn("template", F.concat(F.lit("/"), F.array_join(parts, "/")))
-        .withColumn("depth", F.size(segments(F.col("path")))).drop("kept", "kept_host")
+        joined.withColumn("parts", parts)
+        .withColumns({
+            "suffix": F.substring_index("host", ".", -1), "domain": F.substring_index("host", ".", -2),
+            "first": beginning(1), "second": beginning(2), "template": F.concat(F.lit("/"), F.array_join("parts", "/")),
+        })
+        .drop("kept", "kept_host", "parts")
     )
     found = stored(branches(templated, tree))
     out = templated.join(found, ["host", "template"])
