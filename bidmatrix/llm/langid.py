@@ -49,6 +49,14 @@ class Training:
     seed: int = 7
 
 
+@dataclass(frozen=True)
+class Evidence:
+    """What a text must show to count as written in a language."""
+
+    letters: float = 0.2  # share of letters among what is not white space
+    above_even: float = 1.05  # score, as a multiple of what even probabilities give
+
+
 # bytes of a text
 
 _FOLD = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 0x80 else 32 for c in range(256)], dtype=np.uint8)
@@ -230,6 +238,23 @@ def identify(docs: DataFrame, network: Network | None) -> DataFrame:
     return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
+def written(docs: DataFrame, network: Network | None, evidence: Evidence = Evidence()) -> DataFrame:
+    """Those of docs, with lang_pred and score, that show a language.
+
+    Gone are null and letterless texts, texts with a smaller share of letters, and, with two languages or more to tell
+    apart, those between which the network cannot tell. Without a network the letters alone decide.
+    """
+    text = F.coalesce("text", F.lit(""))
+    letters = F.length(F.regexp_replace(text, r"[^\p{L}\p{M}]", ""))
+    shown = (letters > 0) & (letters >= F.lit(evidence.letters) * F.length(F.regexp_replace(text, r"\s", "")))
+    if network is None:
+        return identify(docs.where(shown), None)
+    told = F.col("lang_pred") != UNDETERMINED
+    if len(network.labels) > 1:
+        told &= F.col("score") >= evidence.above_even / len(network.labels)
+    return identify(docs.where(shown), network).where(told)
+
+
 def judge(data: np.ndarray, applied: Applied | None) -> tuple[str, float]:
     """Language and score of one text's bytes."""
     if applied is None or not has_letter(data.tobytes()):
