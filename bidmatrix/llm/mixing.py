@@ -5,8 +5,10 @@ A source's target is its share of the wanted words by weight. A source may be re
 sources that are not full. In the end every target is min(cap, level * weight) for one level.
 
 A target of e.g. 1.4 epochs means each document once, and 0.4 of the source's words once more: the
-documents in the order of a keyed hash until the words are reached. The document at the border is
-taken in part, so a source meets its target to the word.
+documents in the order of a keyed hash until the words are reached. The document at the border counts in
+part, so a source meets its target to the word; `repeat_documents` takes it whole or not at all, whichever is
+nearer. Only the documents of one bucket per source, the one with the border, are put in order; for all others
+their bucket tells what is taken, without moving their texts.
 
 Cases: a null or blank text has size 0 and is taken 0 times. A null source is a source of its own,
 last in order. Repeated rows count each. An empty table gives an empty result. Columns of the input
@@ -18,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bidmatrix.llm.common import SPACED_WORD, global_rank, spaced_words
+from bidmatrix.llm.common import global_rank, spaced_words
 from bidmatrix.session import stored
 
 
@@ -70,14 +72,14 @@ def plan_sources(sized: DataFrame, mix: Mix = Mix()) -> DataFrame:
 def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """Every row of docs with size, source_size, target and taken (words the mix takes, repeats counted)."""
     docs = docs.drop(*ADDED)
-    sized = docs.withColumn("size", spaced_words(F.col("text")))
+    sizes = stored(docs.select("doc_id", "source", spaced_words(F.col("text")).alias("size")))
     draw = F.md5(F.concat(F.lit(mix.seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     low = F.conv(F.substring("mix_draw", 1, 8), 16, 10).cast("long")
 
     # whole epochs and words beyond them, per source
     words = F.floor(F.col("target") + 0.5).cast("long")
     plan = (
-        plan_sources(sized.select("source", "size"), mix)
+        plan_sources(sizes.select("source", "size"), mix)
         .withColumn("mix_whole", F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(0))
         .withColumn("mix_rest", words - F.col("mix_whole") * F.col("source_size"))
         .withColumn("mix_buckets", F.ceil(F.col("n_docs") / mix.bucket_rows))
@@ -94,7 +96,7 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
             .withColumn("mix_bucket", bucket)
         )
 
-    sums = dealt(sized.select("doc_id", "source", "size")).groupBy("mix_rank", "mix_bucket", "mix_rest").agg(
+    sums = dealt(sizes).groupBy("mix_rank", "mix_bucket", "mix_rest").agg(
         F.sum("size").alias("mix_sum")
     )
     running = Window.partitionBy("mix_rank").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -105,29 +107,22 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     )
     plan = stored(plan.join(border, "mix_rank", "left"))
 
+    met = dealt(docs)
+    at_border = F.coalesce(F.col("mix_bucket") == F.col("mix_border"), F.lit(False))
+    apart = met.where(~at_border).withColumn("size", spaced_words(F.col("text")))
+    apart = apart.withColumn("mix_extra", F.when(F.col("mix_bucket") < F.col("mix_border"), F.col("size")).otherwise(F.lit(0)))
     order = Window.partitionBy("mix_rank", "mix_bucket").orderBy("mix_draw", "size")
     ahead = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     left = F.col("mix_rest") - F.col("mix_before") - ahead
-    extra = (
-        F.when(F.col("mix_border").isNull() | (F.col("mix_bucket") > F.col("mix_border")), F.lit(0))
-        .when(F.col("mix_bucket") < F.col("mix_border"), F.col("size"))
-        .otherwise(F.greatest(F.lit(0), F.least(left, F.col("size"))))
-    )
-    taken = dealt(sized).withColumn("taken", (F.col("mix_whole") * F.col("size") + extra).cast("long"))
+    ordered = met.where(at_border).withColumn("size", spaced_words(F.col("text")))
+    ordered = ordered.withColumn("mix_extra", F.greatest(F.lit(0), F.least(left, F.col("size"))))
+    both = apart.unionByName(ordered)
+    taken = both.withColumn("taken", (F.col("mix_whole") * F.col("size") + F.col("mix_extra")).cast("long"))
     return taken.select(*docs.columns, *ADDED)
 
 
 def repeat_documents(mixed: DataFrame) -> DataFrame:
-    """The mix itself: a row for each repetition; the last one of a border document keeps its first words only."""
-    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0).cast("int")
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({SPACED_WORD})")), 1, part), " ")
-    copies = F.concat(
-        F.array_repeat(F.lit(False), whole), F.when(part > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>"))
-    )
-    rows = mixed.withColumn("mix_cut", F.explode(copies))
-    text = F.when(F.col("mix_cut"), cut).otherwise(F.col("text"))
-    rows = rows.withColumn("text", text)
-    if "n_chars" in rows.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("mix_cut"), F.length("text")).otherwise(F.col("n_chars")))
-    return rows.drop("mix_cut", *ADDED)
+    """The mix itself: a row for each repetition. A border document is repeated whole, as often as is nearest to its taken words."""
+    times = F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).otherwise(0)
+    rows = mixed.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(True), times.cast("int"))))
+    return rows.drop("mix_copy", *ADDED)

@@ -1,6 +1,7 @@
 """Language, licences, SimHash, packing, mixing, pseudonyms and sketches against plain versions of themselves."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -263,11 +264,34 @@ def test_mixing_meets_targets(spark):
         words = sum(r["size"] for r in rows)
         assert abs(sum(targets.values()) - 1.5 * words) < 1e-6 * max(1, words)
         assert sorted(map(tuple, mixing.mix_documents(docs).collect()), key=repr) == sorted(map(tuple, rows), key=repr)
-        copies = mixing.repeat_documents(out)
-        assert copies.agg(F.sum(mixing.spaced_words(F.col("text")))).first()[0] == sum(per.values())
+        copies = Counter((r["doc_id"], r["source"], r["text"]) for r in mixing.repeat_documents(out).collect())
+        wanted = Counter()
+        for r in rows:
+            if r["size"]:
+                wanted[r["doc_id"], r["source"], r["text"]] += r["taken"] // r["size"] + (2 * (r["taken"] % r["size"]) >= r["size"])
+        assert copies == +wanted
     assert mixing.mix_documents(no_docs(spark)).count() == 0
 
 
+def test_border_like_a_plain_order(spark):
+    """Whole documents in the order of their hash, in several buckets a source, with repeated and null ids."""
+    docs = spark.createDataFrame(
+        [(None if i % 50 == 0 else i - i % 2 if i % 90 == 1 else i, "w " * (i % 9), None if i % 4 == 0 else f"s{i % 4}") for i in range(2_000)],
+        "doc_id long, text string, source string",
+    )
+    rows = mixing.mix_documents(docs, mixing.Mix(bucket_rows=60)).collect()
+    draw = lambda r: hashlib.md5(f"mix-1:{'' if r['doc_id'] is None else r['doc_id']}".encode()).hexdigest()
+    for source in {r["source"] for r in rows}:
+        own = sorted((r for r in rows if r["source"] == source), key=lambda r: (draw(r), r["size"]))
+        words, size = math.floor(own[0]["target"] + 0.5), own[0]["source_size"]
+        assert size == sum(r["size"] for r in own)
+        left, wanted = words % size, []
+        for r in own:
+            wanted.append((draw(r), r["size"], words // size * r["size"] + min(left, r["size"])))
+            left -= min(left, r["size"])
+        assert sorted(wanted) == sorted((draw(r), r["size"], r["taken"]) for r in own)
+
+
 def test_border_buckets(spark):
     """Many buckets per source, so that the border lies inside one of them."""
     docs = spark.createDataFrame([(i, "w " * (1 + i % 7), f"s{i % 3}") for i in range(3_000)], "doc_id long, text string, source string")
