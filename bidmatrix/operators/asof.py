@@ -73,6 +73,8 @@ def overlaps(left: DataFrame, right: DataFrame, key: str, left_span: tuple[str,
     deepest = max(longest(left, left_span), longest(right, right_span))
     a = placed(left, *left_span, "left", deepest)
     b = placed(right, *right_span, "right", deepest).withColumnsRenamed({key: "right_key", "level": "met_level", "bin": "met_bin"})
+    # Spark takes a side's size before its spans are repeated: without the hint it would send them all through the driver
+    b = b.hint("merge")
     met = a.join(b, (F.col(key) == F.col("right_key")) & (F.col("level") == F.col("met_level")) & (F.col("bin") == F.col("met_bin")))
     begins, ends = F.greatest(left_span[0], right_span[0]), F.least(left_span[1], right_span[1])
     size = F.pow(F.lit(GROWTH), F.col("level")).cast("bigint")

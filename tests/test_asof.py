@@ -67,3 +67,12 @@ def test_overlaps(spark, levels):
     got = overlaps(a, b, "k", ("a", "b"), ("c", "d"), levels)
     assert sorted(tuple(r) for r in got.collect()) == plain_overlaps(left, right)
     assert overlaps(a, b.limit(0), "k", ("a", "b"), ("c", "d"), levels).count() == 0
+
+
+def test_repeated_spans_do_not_pass_through_the_driver(spark, tmp_path):
+    """Small files hold spans that make many rows: neither side is broadcast."""
+    spark.range(2_000).selectExpr("'hot' k", "id a", "id + 1 b").write.parquet(str(tmp_path / "l"))
+    spark.range(50).selectExpr("'hot' k", "id * 10 c", "id * 10 + 300 d").write.parquet(str(tmp_path / "r"))
+    met = overlaps(spark.read.parquet(str(tmp_path / "l")), spark.read.parquet(str(tmp_path / "r")), "k", ("a", "b"), ("c", "d"))
+    assert "BroadcastExchange" not in met._jdf.queryExecution().executedPlan().toString()
+    assert met.count() == sum(1 for a in range(2_000) for c in range(0, 500, 10) if c <= a < c + 300)
