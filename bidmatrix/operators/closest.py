@@ -2,9 +2,10 @@
 
 A text at edit distance r or less from an entry that is cut into r + 1 segments holds one of them unchanged, not
 more than r places away. So labels look up the pieces they hold, by length, place and text, and only entries
-that share one are compared. The radius grows from ring to ring: a label that has an entry within a ring is done,
+that share one are compared. Entries of a piece that many of them hold are dealt over chunks, which the labels meet
+one by one, and a pair is compared where it meets, so pairs are neither shuffled nor met in one task. The radius grows from ring to ring: a label that has an entry within a ring is done,
 as nothing outside can be closer, and only the others go on. Labels that are far from everything meet all
-entries of their part of the bank, dealt over salts.
+entries of their part of the bank, chunk by chunk.
 
 Labels look in their own category; if the bank has no entry of it, or they have none, in all categories.
 """
@@ -18,8 +19,8 @@ from bidmatrix.session import stored
 
 #: Edit distances up to which the index is asked, one after the other.
 RINGS = (1, 2, 4)
-#: Tasks that the entries of one category are dealt over for labels far from all of them.
-SALTS = 32
+#: Entries of one piece, or of one part of the bank, that a label meets at once, about.
+CHUNK = 500
 
 
 def _in_bank(labels: DataFrame, taxonomy: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -37,18 +38,21 @@ def _in_bank(labels: DataFrame, taxonomy: DataFrame) -> tuple[DataFrame, DataFra
     return stored(asked), stored(entries)
 
 
+def _key(part: Column, n: Column, i: Column, piece: Column) -> Column:
+    """Pieces by length, place and text; those of equal hash only meet, the distance and the part decide."""
+    return F.xxhash64(part, n.cast("int"), i.cast("int"), piece)
+
+
 def _segments(entries: DataFrame, radius: int) -> DataFrame:
-    """Each entry once per segment: part, n (its length), place, piece."""
+    """Each entry once per segment, with the segment's key."""
     length, count = F.length("entry"), radius + 1
     cut = lambda i: F.floor(length * i / count).cast("int")
-    pieces = [F.struct(F.lit(i).alias("i"), F.col("entry").substr(cut(i) + 1, cut(i + 1) - cut(i)).alias("piece")) for i in range(count)]
-    return entries.select("*", length.alias("n"), F.explode(F.array(*pieces)).alias("s")).select(
-        "part", "snapped_category", "snapped", "entry", "n", "s.*"
-    )
+    keys = [_key(F.col("part"), length, F.lit(i), F.col("entry").substr(cut(i) + 1, cut(i + 1) - cut(i))) for i in range(count)]
+    return entries.select("part", "snapped_category", "snapped", "entry", F.explode(F.array(*keys)).alias("key"))
 
 
 def _probes(labels: DataFrame, radius: int) -> DataFrame:
-    """What each label may hold of an entry's segments: part, n, i, piece."""
+    """Each label once per place at which it may hold an entry's segment, with the key of what it holds there."""
     count = radius + 1
     wide = labels.withColumn("n", F.explode(F.sequence(F.greatest(F.length("text") - radius, F.lit(0)), F.length("text") + radius)))
     wide = wide.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(radius))))
@@ -56,15 +60,24 @@ def _probes(labels: DataFrame, radius: int) -> DataFrame:
     size = F.floor(F.col("n") * (F.col("i") + 1) / count).cast("int") - start
     first, last = F.greatest(start - radius, F.lit(0)), F.least(start + radius, F.length("text") - size)
     wide = wide.withColumns({"size": size, "at": F.explode(F.when(first <= last, F.sequence(first, last)))})
-    return wide.select(*SERVICE, "part", "text", "n", "i", F.col("text").substr(F.col("at") + 1, F.col("size")).alias("piece")).distinct()
+    key = _key(F.col("part"), F.col("n"), F.col("i"), F.col("text").substr(F.col("at") + 1, F.col("size")))
+    return wide.select(*SERVICE, "part", "text", key.alias("key"))
 
 
 def candidates(labels: DataFrame, entries: DataFrame, radius: int) -> DataFrame:
-    """Pairs that the index brings together, each once."""
-    probes, index = _probes(labels, radius), _segments(entries, radius)
-    on = [F.col("p.part").eqNullSafe(F.col("e.part"))] + [F.col(f"p.{c}") == F.col(f"e.{c}") for c in ("n", "i", "piece")]
-    met = probes.alias("p").join(index.alias("e"), on)
-    return met.select(*[f"p.{c}" for c in SERVICE], "p.text", "e.snapped_category", "e.snapped", "e.entry").distinct()
+    """Pairs that the index brings together, once for each piece they share.
+
+    Nothing is broadcast: Spark sizes both sides by the files before their rows are repeated.
+    """
+    index = _segments(entries, radius)
+    sizes = index.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("n_chunks")).hint("merge")
+    dealt = index.join(sizes, "key").withColumn("chunk", F.pmod(F.xxhash64("snapped_category", "snapped"), F.col("n_chunks")))
+    held = _probes(labels, radius).join(sizes, "key").distinct()
+    asked = held.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_chunks") - 1)))
+    met = asked.alias("p").join(dealt.alias("e").hint("merge"), ["key", "chunk"])
+    return met.where(F.col("p.part").eqNullSafe(F.col("e.part"))).select(
+        *[f"p.{c}" for c in SERVICE], "p.text", "e.snapped_category", "e.snapped", "e.entry"
+    )
 
 
 def _best(pairs: DataFrame, distance: Column) -> DataFrame:
@@ -74,6 +87,19 @@ def _best(pairs: DataFrame, distance: Column) -> DataFrame:
     return scored.groupBy(*SERVICE).agg(best.alias("b")).select(*SERVICE, "b.snapped_category", "b.snapped", "b.distance")
 
 
+def _closest_of_all(labels: DataFrame, entries: DataFrame) -> DataFrame:
+    """The closest entry of each label, which meets all entries of its part chunk by chunk: a row per label and chunk, none per pair."""
+    sizes = entries.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("n_chunks")).withColumnRenamed("part", "sized")
+    of_size = lambda rows: rows.join(sizes, F.col("part").eqNullSafe(F.col("sized"))).drop("sized")
+    dealt = of_size(entries).withColumn("chunk", F.pmod(F.xxhash64("snapped_category", "snapped"), F.col("n_chunks")))
+    held = dealt.groupBy("part", "chunk").agg(F.collect_list(F.struct("entry", "snapped", "snapped_category")).alias("held"))
+    asked = of_size(labels).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_chunks") - 1)))
+    met = asked.alias("a").join(held.hint("merge").alias("e"), [F.col("a.part").eqNullSafe(F.col("e.part")), F.col("a.chunk") == F.col("e.chunk")])
+    scored = F.transform("held", lambda e: F.struct(F.levenshtein("text", e["entry"]).alias("distance"), e["snapped"], e["snapped_category"]))
+    best = met.select(*SERVICE, F.array_min(scored).alias("best"))
+    return best.groupBy(*SERVICE).agg(F.min("best").alias("b")).select(*SERVICE, "b.snapped_category", "b.snapped", "b.distance")
+
+
 def closest(labels: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """service_category, sub_service, snapped_category, snapped, distance of every distinct label.
 
@@ -88,10 +114,7 @@ def closest(labels: DataFrame, taxonomy: DataFrame) -> DataFrame:
     for radius in RINGS:
         found = stored(_best(candidates(left, entries, radius), F.levenshtein("text", "entry", radius)))
         out, left = out.unionByName(found), done(left, found)
-    salted = entries.withColumn("salt", F.pmod(F.xxhash64("snapped_category", "snapped"), F.lit(SALTS)).cast("int"))
-    asked = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    pairs = asked.alias("a").join(salted.alias("e"), [F.col("a.part").eqNullSafe(F.col("e.part")), F.col("a.salt") == F.col("e.salt")])
-    found = stored(_best(pairs.select(*[f"a.{c}" for c in SERVICE], "text", "snapped_category", "snapped", "entry"), F.levenshtein("text", "entry")))
+    found = stored(_closest_of_all(left, entries))
     return out.unionByName(found).unionByName(done(left, found).select(*SERVICE), allowMissingColumns=True)
 
 

@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+import bidmatrix.operators.closest as closest_module
 from bidmatrix.operators import conformance
 from bidmatrix.operators.closest import RINGS, _in_bank, candidates, closest
 from conftest import rows
@@ -69,3 +70,17 @@ def test_uncovered_entries_in_blocks(spark, frame):
     quoted = {s: {(c, n) for x, _, c, n, _ in cells if x == s} for s in "st"}
     assert rows(got, "session_id", "service_category", "sub_service") == sorted(
         ((s, c, n) for s in "st" for c, n in set(bank) - quoted[s]), key=repr)
+
+
+def test_a_common_piece_is_met_in_chunks(spark, monkeypatch):
+    """Entries that share a long piece come in chunks; the index is not broadcast, and no pair is shuffled."""
+    monkeypatch.setattr(closest_module, "CHUNK", 7)
+    rng = random.Random(5)
+    tail = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(5))
+    bank = [("P", f"common part {tail()}") for _ in range(60)]
+    labels = [("P", f"common part {tail()}") for _ in range(15)] + [("X", f"comon part {tail()}") for _ in range(10)]
+    given, entries = spark.createDataFrame(labels, SERVICE), spark.createDataFrame(bank, SERVICE)
+    got = closest(given, entries)
+    assert rows(got, "service_category", "sub_service", "snapped_category", "snapped", "distance") == plain(labels, bank)
+    text = candidates(*_in_bank(given, entries), 1)._jdf.queryExecution().executedPlan().toString()
+    assert "chunk" in text and "Broadcast" not in text and text.index("SortMergeJoin") < text.index("Aggregate")
