@@ -1,6 +1,6 @@
 """Near copies: texts that share at least four fifths of their five-word shingles, for the pipeline.
 
-Candidates come from min-hashes: BANDS tables, each keyed by the smallest values of ROWS hash functions over a
+Candidates come from op3's fingerprints, those within two bits (``simhash``), and from min-hashes: BANDS tables, each keyed by the smallest values of ROWS hash functions over a
 text's shingles. A pair just at the threshold meets in no table with a chance of (1 - 0.8^4)^32, 5e-8; closer
 pairs are missed more rarely still. A candidate is a link only if the exact similarity of the shingle sets,
 worked out again from the texts, is 0.8 or more; that alone decides.
@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bidmatrix.llm import simhash
 from bidmatrix.llm.common import ship, text_bytes
 from bidmatrix.llm.components import connected_components
 from bidmatrix.session import stored
@@ -82,23 +83,26 @@ def alike(common: int, one: int, other: int) -> bool:
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """doc_id, mark (hash of the text), node (hash of its words), keys of every row."""
+    """doc_id, mark (hash of the text), node (hash of its words), keys, fp (op3's fingerprint) of every row."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, starts = text_bytes(batch.column("text"))
-            view, nodes, keys = memoryview(data), [], []
+            view, nodes, keys, prints = memoryview(data), [], [], []
             for a, b in zip(starts[:-1], starts[1:]):
-                words = words_of(bytes(view[a:b]))
+                text = bytes(view[a:b])
+                words = words_of(text)
                 digest = xxhash.xxh64_intdigest(b" ".join(words), SEED)
                 nodes.append(digest - (1 << 64) if digest >> 63 else digest)
                 keys.append(band_keys(shingles(words)))
-            columns = [batch.column("doc_id"), batch.column("mark"), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "node", "keys"])
+                digest = simhash.fingerprint(text)
+                prints.append(digest - (1 << 64) if digest >> 63 else digest)
+            columns = [batch.column("doc_id"), batch.column("mark"), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(prints, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "node", "keys", "fp"])
 
     chosen = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("mark"), F.col("text").cast("string"))
-    return chosen.mapInArrow(run, "doc_id bigint, mark bigint, node bigint, keys array<bigint>")
+    return chosen.mapInArrow(run, "doc_id bigint, mark bigint, node bigint, keys array<bigint>, fp bigint")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -194,6 +198,15 @@ def linked_chunks(members: DataFrame, sets: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "one bigint, other bigint")
 
 
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """one, other: nodes with the first node of their fingerprint, and first nodes of fingerprints that op3 links."""
+    first = stored(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    equal = nodes.join(first, "fp").where("node <> first").select(F.col("node").alias("one"), F.col("first").alias("other"))
+    near = simhash.links(first.select("fp")).join(first.withColumnRenamed("first", "one"), "fp")
+    near = near.join(first.select(F.col("fp").alias("near"), F.col("first").alias("other")), "near")
+    return equal.unionByName(near.select("one", "other"))
+
+
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """one, other: pairs of nodes that reach the threshold, enough of them to connect all that do."""
     tables = nodes.select("node", F.explode("keys").alias("key"))
@@ -207,10 +220,12 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     # tables often bring the same nodes together again
     hubs = stored(hubs.groupBy("n", "same", "hub.node").agg(F.min("key").alias("key"))).select("key", F.col("node").alias("hub"))
     members = stored(met.select("key", "node").join(hubs, "key"))
-    wanted = stored(nodes.select("node", "mark").join(company.select("node"), "node", "left_semi"))
+    close = stored(fingerprint_pairs(nodes))
+    met_nodes = company.select("node").union(close.select("one")).union(close.select("other")).distinct()
+    wanted = stored(nodes.select("node", "mark").join(met_nodes, "node", "left_semi"))
     sets = stored(shingle_sets(docs, wanted))
 
-    pairs = members.where("node <> hub").select(F.col("node").alias("one"), F.col("hub").alias("other")).distinct()
+    pairs = members.where("node <> hub").select(F.col("node").alias("one"), F.col("hub").alias("other")).unionByName(close).distinct()
     first = stored(linked_pairs(pairs, sets))
     parts = stored(connected_components(first, "one", "other"))
     part = lambda of: parts.select(F.col("node").alias(of), F.col("component").alias(f"{of}_part"))
@@ -230,7 +245,7 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows as doc_id, mark, node; and nodes as node, component, least (no_id, doc_id, mark of the node's first row)."""
     found = stored(prints(docs))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("least")
-    nodes = stored(found.groupBy("node").agg(first, F.min("mark").alias("mark"), F.min("keys").alias("keys")))
+    nodes = stored(found.groupBy("node").agg(first, F.min("mark").alias("mark"), F.min("keys").alias("keys"), F.min("fp").alias("fp")))
     linked = connected_components(links(docs, nodes), "one", "other")
     placed = nodes.select("node", "least").join(linked, "node", "left")
     return found.select("doc_id", "mark", "node"), placed.withColumn("component", F.coalesce("component", "node"))
