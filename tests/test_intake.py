@@ -257,3 +257,28 @@ def test_labels_of_unknown_categories_keep_their_row(spark, frame):
     items = frame([("s", "A", "C", "paint ", 1), ("s", "A", "Other", "x", 1), ("s", "A", None, "y", 1)])
     assert rows(conformance.snap(items, bank), "service_category", "sub_service", "snapped") == [
         ("C", "paint ", "Paint"), ("Other", "x", None), (None, "y", None)]
+
+
+ODD = [None, True, 17, 17.25, 1e-30, 1e5, 1e40, "2", " 3.50 ", "1e-30", "1,000", "n/a", "", {"b": 1, "a": [2]}, [1]]
+
+
+def test_lines_read_at_once_are_those_read_leaf_by_leaf(spark):
+    """Every leaf of a line absent or in every kind, beside a quote that holds none of these."""
+    whole = quote()["workSummary"][0]["services"][0]["workItems"][0]
+    whole["pricingInput"][0]["rate"] = "7.005"
+    works = [whole, {**whole, "pricingInput": []}, {**whole, "pricingInput": [{"quantity": 1, "rate": 2}]}]
+    for name in ("workTitle", "description"):
+        works += [{**whole, name: odd} for odd in ODD] + [{k: x for k, x in whole.items() if k != name}]
+    for name in ("subService", "pricingMethod"):
+        works += [{**whole, name: odd} for odd in [*ODD, *({"name": x} for x in ODD), {}]]
+    price = whole["pricingInput"][0]
+    works += [{**whole, "pricingInput": [{**price, name: odd}]} for name in price for odd in ODD if odd != 1e40]
+    docs = marketplace.documents(spark.createDataFrame(
+        [(str(i), json.dumps({**quote(items=[w]), "workSummary": [{"services": [{"serviceId": {"name": "Cat"}, "workItems": [w]}]}]})) for i, w in enumerate(works)], PAYLOAD))
+    kind = f"struct<{schemas.MARKET_WORK}>"
+    slow = spark.createDataFrame([(str(i), json.dumps({"workSummary": [{"services": [{"serviceId": {"name": "Cat"}, "workItems": [w]}]}]})) for i, w in enumerate(works)], PAYLOAD)
+    slow = slow.select("session_id", marketplace._items(F.try_variant_get(F.parse_json("payload"), "$", kind)["workSummary"]).alias("items"))
+    assert rows(docs, "session_id", "items") == rows(slow, "session_id", "items")
+    plain = F.try_variant_get(F.parse_json("payload"), "$", f"struct<{schemas.PLAIN_MARKET_QUOTE}>")["workSummary"]
+    one = spark.createDataFrame([("s", json.dumps(quote(items=[whole])))], PAYLOAD).select(marketplace._items(plain, marketplace._plain_item)[0].alias("i"))
+    assert one.first()["i"]["rate_cents"] == 701
