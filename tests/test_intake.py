@@ -282,3 +282,21 @@ def test_lines_read_at_once_are_those_read_leaf_by_leaf(spark):
     plain = F.try_variant_get(F.parse_json("payload"), "$", f"struct<{schemas.PLAIN_MARKET_QUOTE}>")["workSummary"]
     one = spark.createDataFrame([("s", json.dumps(quote(items=[whole])))], PAYLOAD).select(marketplace._items(plain, marketplace._plain_item)[0].alias("i"))
     assert one.first()["i"]["rate_cents"] == 701
+
+
+def test_documents_read_at_once_are_those_read_leaf_by_leaf(spark):
+    whole = {"sub_service": "S", "work_title": "t", "description": "d", "quantity": "2", "pricing_method": "Sq", "rate": 5.5, "amount": "11"}
+    works = [whole, {}] + [{**whole, name: odd} for name in whole for odd in ODD if odd != 1e40]
+    services = [[{"service_category": "C", "items": [w]}] for w in works]
+    services += [odd for odd in ODD] + [[odd] for odd in ODD] + [[{"service_category": odd, "items": [whole]}] for odd in ODD] + [[{"items": odd}] for odd in ODD]
+    texts = [json.dumps({"vendor_name": "V", "grand_total": 3, "services": s}) for s in services] + ["[]", "[{}]", "{}", "5", "{", "null", '{"a":1,"a":2}']
+    given = spark.createDataFrame([(str(i), str(i), f"/x/{i}.json", t) for i, t in enumerate(texts)], "request_id string, session_id string, path string, json string")
+    found = extracted.documents(given).select("session_id", "vendor_name", "grand_total_cents", "items", F.array_contains("defects", "unreadable").alias("u"))
+    q = F.from_json("json", schemas.EXTRACTED_QUOTE)
+    kind = F.coalesce(~F.schema_of_variant(F.try_parse_json("json")).startswith("OBJECT"), F.lit(True))
+    v = extracted.v
+    slow = given.select("session_id", "json", q.alias("q"), kind.alias("u")).select(
+        "session_id", v.text(F.col("q.vendor_name"), "Unknown").alias("vendor_name"), v.cents(F.col("q.grand_total")).alias("grand_total_cents"),
+        extracted._items(F.col("q.services")).alias("items"), "u")
+    assert rows(found.where("not u"), *found.columns) == rows(slow.where("not u"), *found.columns)
+    assert rows(found.where("u"), "session_id") == rows(slow.where("u"), "session_id")
