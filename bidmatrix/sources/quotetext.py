@@ -66,10 +66,11 @@ def documents(texts: DataFrame) -> DataFrame:
 
     A text names no category and no total; its total is the sum of its lines.
     """
-    lines = F.split("text", "\n")
-    rows = F.filter(lines, lambda x: F.rlike(x, F.lit(ROW_PATTERN)))
-    typed = computed_once(texts, "items", F.coalesce(F.transform(F.transform(rows, _parts), _item), F.array()))
-    odd = F.exists(lines, lambda x: F.rlike(x, F.lit(ROW_LIKE)) & ~F.rlike(x, F.lit(ROW_PATTERN)))
+    # each line is matched once: a row comes in seven parts, any other line whole
+    typed = computed_once(texts, "lines", F.transform(F.split("text", "\n"), _parts))
+    is_row = lambda parts: F.size(parts) > 1
+    typed = computed_once(typed, "items", F.coalesce(F.transform(F.filter("lines", is_row), _item), F.array()))
+    odd = F.exists("lines", lambda parts: ~is_row(parts) & F.rlike(parts[0], F.lit(ROW_LIKE)))
     shaped = typed.select(
         quote_key(F.col("session_id"), F.col("source_filename"), F.sha2("text", 256)).alias("quote_id"),
         "session_id", "vendor_name",

@@ -300,3 +300,12 @@ def test_documents_read_at_once_are_those_read_leaf_by_leaf(spark):
         extracted._items(F.col("q.services")).alias("items"), "u")
     assert rows(found.where("not u"), *found.columns) == rows(slow.where("not u"), *found.columns)
     assert rows(found.where("u"), "session_id") == rows(slow.where("u"), "session_id")
+
+
+def test_each_text_line_is_matched_once(spark):
+    text = "a :: b :: SAC 1 | 1 | 2 | Sq | 2\r\na :: b :: c\n\nx | y\na :: b :: SAC 1 | 1 | 2 | Sq | 2 "
+    docs = quotetext.documents(spark.createDataFrame([("s", "f", "v", text), ("s", "g", "v", None)], "session_id string, source_filename string, vendor_name string, text string"))
+    by = {r["source_filename"]: r for r in docs.collect()}
+    assert [len(by[f]["items"]) for f in "fg"] == [2, 0] and by["f"]["defects"] == ["unparsed_line"] and by["g"]["defects"] == ["no_lines"]
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("SAC ([0-9]+)") == 1
