@@ -41,7 +41,8 @@ def ranked(rows: DataFrame, by: list[str], value: str, answers: DataFrame, n_ans
     """
     salt = F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int")
     spread = answers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    met = rows.where(F.col(value).isNotNull()).select(*by, value).withColumn("salt", salt).join(spread, [*by, "salt"])
+    # Spark sizes the answers before they are repeated: without the hint all salts' copies may go to every task
+    met = rows.where(F.col(value).isNotNull()).select(*by, value).withColumn("salt", salt).join(spread.hint("merge"), [*by, "salt"])
     number = lambda test: F.array(*[F.count_if(test(F.get("answers", F.lit(i)))) for i in range(n_answers)])
     return met.groupBy(*by, "n_values", "answers").agg(
         number(lambda a: F.col(value) < a).alias("below"), number(lambda a: F.col(value) <= a).alias("up_to")

@@ -58,3 +58,11 @@ def test_estimates(spark):
         by_seed.append(rows["a"]["estimated_sum"] / total)
     assert max(abs(e - 1) for e in by_seed) < 0.25 and abs(mean(by_seed) - 1) < 0.07
     assert sampling.estimates(samples(df.limit(0), 3), ["s"]).count() == 0
+
+
+def test_answers_repeated_over_salts_are_not_broadcast(spark):
+    df = spark.range(1_000).selectExpr("id % 3 g", "id v")
+    answers = quantiles.quantiles(quantiles.sketches(df, ["g"], "v"), ["g"], SHARES)
+    found = quantiles.ranked(df, ["g"], "v", answers, len(SHARES))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
