@@ -4,8 +4,9 @@ Neither compares a key's rows pair by pair or sorts a whole key in one task. Tim
 microseconds); a key may hold any share of all rows.
 
 As-of: time is cut into bins. What a bin passes on is its last row, so a key's window over bins has one row
-per bin; inside (key, bin), a window over distinct times carries the last row along, starting from what earlier
-bins passed on. The rows that ask meet the result by equality of key and time, so Spark can split a hot one.
+per bin that holds or asks for something; inside (key, bin), a row holds until the next one's time, and what earlier
+bins passed on until the first one's. The rows that ask are moved once: they meet the spans of their own bin by equality of
+key and bin, so a row is compared with as many as its bin holds distinct times, and Spark can split a hot one.
 
 Overlaps: each span gets a level by its length, the smallest whose bins are at least as long, so it touches at
 most two bins of its own level or of a coarser one. Two spans are compared only in the bins of the coarser of
@@ -28,21 +29,22 @@ def as_of(asking: DataFrame, given: DataFrame, key: str, at: str, since: str, bi
     """
     brought = [c for c in given.columns if c != key]
     lead = [since, *order]
-    packed = F.struct(*lead, *[c for c in brought if c not in lead])
-    bin_of = lambda moment: F.floor(moment / bin_size).cast("bigint").alias("bin")
-    timed = given.where(F.col(key).isNotNull() & F.col(since).isNotNull())
-    moments = timed.groupBy(F.col(key).alias("k"), F.col(since).alias("moment")).agg(F.max(packed).alias("row"))
-    asked = asking.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(F.col(key).alias("k"), F.col(at).alias("moment")).distinct()
-    known = moments.unionByName(asked, allowMissingColumns=True).groupBy("k", "moment").agg(F.max("row").alias("row"))
-    known = known.withColumn("bin", bin_of(F.col("moment")))
+    packed = F.struct(*lead, *[c for c in brought if c not in lead]).alias("in_force")
+    bin_of = lambda moment: F.floor(moment / bin_size).cast("bigint")
+    timed = given.where(F.col(key).isNotNull() & F.col(since).isNotNull()).select(F.col(key).alias("k"), bin_of(F.col(since)).alias("bin"), F.col(since).alias("from"), packed)
+    moments = timed.groupBy("k", "bin", "from").agg(F.max("in_force").alias("in_force"))
+    asked = asking.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(F.col(key).alias("k"), bin_of(F.col(at)).alias("bin")).distinct()
+    ends = moments.groupBy("k", "bin").agg(F.min("from").alias("to"), F.max("in_force").alias("in_force"))
+    bins = ends.unionByName(asked, allowMissingColumns=True).groupBy("k", "bin").agg(F.min("to").alias("to"), F.max("in_force").alias("in_force"))
     over_bins = Window.partitionBy("k").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    passed_on = known.groupBy("k", "bin").agg(F.max("row").alias("row")).select("k", "bin", F.last("row", True).over(over_bins).alias("earlier"))
-    inside = Window.partitionBy("k", "bin").orderBy("moment").rowsBetween(Window.unboundedPreceding, 0)
-    carried = known.select("k", "bin", "moment", F.last("row", True).over(inside).alias("row")).join(passed_on, ["k", "bin"])
-    found = carried.select(
-        F.col("k").alias("in_force_key"), F.col("moment").alias("in_force_at"), F.coalesce("row", "earlier").alias("in_force")
-    ).where("in_force is not null")
-    met = asking.join(found, (F.col(key) == F.col("in_force_key")) & (F.col(at) == F.col("in_force_at")), "left")
+    earlier = bins.withColumn("in_force", F.last("in_force", True).over(over_bins)).where("in_force is not null")
+    inside = Window.partitionBy("k", "bin").orderBy("from")
+    held = moments.withColumn("to", F.lead("from").over(inside))
+    spans = held.unionByName(earlier.withColumn("from", F.col("in_force")[since])).select(
+        F.col("k").alias("in_force_key"), F.col("bin").alias("in_force_bin"), F.col("from").alias("in_force_from"), F.col("to").alias("in_force_to"), "in_force"
+    )
+    open_at = (F.col(at) >= F.col("in_force_from")) & (F.col("in_force_to").isNull() | (F.col(at) < F.col("in_force_to")))
+    met = asking.join(spans, (F.col(key) == F.col("in_force_key")) & (bin_of(F.col(at)) == F.col("in_force_bin")) & open_at, "left")
     return met.select(*asking.columns, *[F.col("in_force")[c].alias(c) for c in brought])
 
 

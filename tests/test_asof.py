@@ -1,6 +1,7 @@
 """Joins along time against plain loops, with hot keys, ties, nulls and empty sides."""
 
 import random
+import re
 
 import pytest
 
@@ -76,3 +77,13 @@ def test_repeated_spans_do_not_pass_through_the_driver(spark, tmp_path):
     met = overlaps(spark.read.parquet(str(tmp_path / "l")), spark.read.parquet(str(tmp_path / "r")), "k", ("a", "b"), ("c", "d"))
     assert "BroadcastExchange" not in met._jdf.queryExecution().executedPlan().toString()
     assert met.count() == sum(1 for a in range(2_000) for c in range(0, 500, 10) if c <= a < c + 300)
+
+
+def test_rows_that_ask_are_moved_once(spark):
+    """The moments asked for do not go through shuffles of their own: the only one by the rows' time is by its bin."""
+    asking = spark.range(1_000).selectExpr("cast(id as int) ask_id", "'hot' k", "id at")
+    given = spark.range(50).selectExpr("'hot' k", "id * 20 since", "concat('q', id) quote_id", "id cents")
+    got = as_of(asking, given, "k", "at", "since", 100, ["quote_id"])
+    assert got.where("cents = at div 20").count() == 1_000
+    shuffles = [x.split(", ENSURE")[0] for x in got._jdf.queryExecution().executedPlan().toString().split("hashpartitioning(")[1:]]
+    assert not [x for x in shuffles if re.search(r"\b(at|moment)#", x) and "FLOOR" not in x]

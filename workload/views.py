@@ -15,59 +15,80 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _base(spark: SparkSession, sf: str) -> DataFrame:
-    """Line items with their order, customer, part and supplier.
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items with their order, customer and part.
 
-    Texts that depend on one part or supplier are put together once per part or supplier.
+    Texts that depend on one part are put together once per part; money is whole cents before the joins, which so move less.
     """
     t = lambda name: table(spark, sf, name)
-    text = lambda name: F.col(name).cast("string")
     part = t("part").select(
         "p_partkey",
         F.col("p_type").alias("service_category"),
         F.concat("p_type", F.lit(" S"), (F.col("p_size") % 4).cast("string")).alias("sub_service"),
         F.col("p_name").alias("work_title"),
-        F.concat("p_name", F.lit("&nbsp;size "), text("p_size")).alias("description"),
+        F.concat("p_name", F.lit("&nbsp;size "), F.col("p_size").cast("string")).alias("description"),
         F.when(F.col("p_size") % 2 == 0, "Square Feet").otherwise("Unit").alias("pricing_method"),
     )
+    price = F.col("l_extendedprice") * 100
+    cents = lambda c: F.round(c).cast("bigint")
+    gross = price * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
+    line = t("lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_linestatus",
+        cents(price / F.col("l_quantity")).alias("rate_cents"), cents(price).alias("amount_cents"), cents(gross).alias("gross_cents"),
+    )
+    # orders meet their customers before the lines, which outnumber them
+    sold = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return line.join(sold, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
+
+
+def _suppliers(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers with the texts that depend on them alone."""
+    text = F.col("s_suppkey").cast("string")
     block = F.col("s_suppkey") - F.col("s_suppkey") % 5
-    supplier = t("supplier").select(
+    return table(spark, sf, "supplier").select(
         "s_suppkey",
         F.col("s_name").alias("vendor_name"),
-        F.concat(F.lit("S"), text("s_suppkey"), F.lit(".pdf")).alias("source_filename"),
+        F.concat(F.lit("S"), text, F.lit(".pdf")).alias("source_filename"),
         F.concat(F.lit("_"), block.cast("string")).alias("block"),
-        F.concat(F.lit("_"), text("s_suppkey")).alias("supplier"),
+        F.concat(F.lit("_"), text).alias("supplier"),
     )
-    # orders meet their customers before the lines, which outnumber them
-    sold = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
-    joined = (
-        t("lineitem")
-        .join(sold, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-    )
-    return joined.select(
+
+
+def _quoted(lines: DataFrame, suppliers: DataFrame) -> DataFrame:
+    """Lines, or their sums by nation and supplier, with session, quote and vendor."""
+    return lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).select(
         "*",
-        F.concat(F.lit("session_"), text("c_nationkey"), "block").alias("session_id"),
-        F.concat(F.lit("q"), text("c_nationkey"), "supplier").alias("quote_id"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"),
+        F.concat(F.lit("session_"), F.col("c_nationkey").cast("string"), "block").alias("session_id"),
+        F.concat(F.lit("q"), F.col("c_nationkey").cast("string"), "supplier").alias("quote_id"),
     )
 
 
+def _base(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items with their order, customer, part and supplier."""
+    return _quoted(_lines(spark, sf), _suppliers(spark, sf)).withColumn("pos", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+
+
+def _sums(spark: SparkSession, sf: str, by: list[str], sums: list[str], *others: Column) -> DataFrame:
+    """Lines summed per quote and the columns ``by`` of their parts: ``sums`` of lines, and the ``others``, which repeats do not change.
+
+    A nation and a supplier's key stand for the quote's texts until the lines are summed. A supplier's row that comes n times
+    counts a line n times.
+    """
+    summed = _lines(spark, sf).groupBy("c_nationkey", "l_suppkey", *by).agg(*[F.sum(c).alias(c) for c in sums], *others)
+    suppliers = _suppliers(spark, sf)
+    met = _quoted(summed, suppliers.groupBy(*suppliers.columns).agg(F.count(F.lit(1)).alias("n_alike")))
+    kept = [c for c in summed.columns if c not in ("c_nationkey", "l_suppkey", *sums)]
+    return met.select(*QUOTE, *kept, *[(F.col(c) * F.col("n_alike")).alias(c) for c in sums])
+
+
 def items(spark: SparkSession, sf: str) -> DataFrame:
     """The joined line-item frame (without the quote's total)."""
-    price = F.col("l_extendedprice") * 100
-    cents = lambda c: F.round(c).cast("bigint")
-    gross = price * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
     return _base(spark, sf).select(
         "session_id", "quote_id", "vendor_name", "source_filename", "service_category", "sub_service",
         "work_title", "description",
         F.col("l_quantity").alias("quantity"),
         "pricing_method",
-        cents(price / F.col("l_quantity")).alias("rate_cents"),
-        cents(price).alias("amount_cents"),
-        cents(gross).alias("gross_cents"),
-        "o_orderdate",
+        "rate_cents", "amount_cents", "gross_cents", "o_orderdate",
     )
 
 
@@ -75,7 +96,10 @@ QUOTE = ["session_id", "quote_id", "vendor_name", "source_filename"]
 
 
 def quotes(spark: SparkSession, sf: str) -> DataFrame:
-    return quotes_of(items(spark, sf))
+    first_day = F.min("o_orderdate").alias("first_day")
+    return _sums(spark, sf, [], ["gross_cents"], first_day).select(
+        *QUOTE, F.col("gross_cents").alias("grand_total_cents"), F.date_format("first_day", "yyyy-MM-dd").alias("quote_date"),
+    )
 
 
 def quotes_of(lines: DataFrame) -> DataFrame:
@@ -95,6 +119,12 @@ def quote_sums(spark: SparkSession, sf: str, *detail: str) -> DataFrame:
     )
 
 
+def price_sums(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines summed per quote and service, without rates: what cells and totals can be taken from in one pass."""
+    first_day = F.min("o_orderdate").alias("o_orderdate")
+    return _sums(spark, sf, ["service_category", "sub_service"], ["amount_cents", "gross_cents"], first_day)
+
+
 def dated_quotes(spark: SparkSession, sf: str) -> DataFrame:
     """Quotes whose dates are written in one of four ways, one of them no date."""
     day, way = F.col("quote_date").cast("date"), F.col("grand_total_cents") % 4
@@ -131,7 +161,7 @@ def lines_in_time(spark: SparkSession, sf: str) -> DataFrame:
 
 def priced_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Session, position and amount of each line."""
-    return _base(spark, sf).select("session_id", "pos", F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("amount_cents"))
+    return _base(spark, sf).select("session_id", "pos", "amount_cents")
 
 
 def quotes_in_time(spark: SparkSession, sf: str) -> DataFrame:
