@@ -1,14 +1,17 @@
 """Totals, ranks, scope and session state."""
 
 import random
+from datetime import datetime
+from itertools import product
 
 from pyspark.sql import functions as F
 
 from bidmatrix.operators import cells as c
-from bidmatrix.operators import conformance, salting, scope, totals, usage
+from bidmatrix.operators import conformance, matrix, salting, scope, totals, usage
 from bidmatrix.plans import comparison, sessions
 from bidmatrix.sources import files, quotetext, taxonomy
 from conftest import rows
+from workload import views
 
 QUOTE = "session_id string, quote_id string, vendor_name string, source_filename string, quote_date string, grand_total_cents bigint"
 
@@ -195,3 +198,48 @@ def test_files(spark, tmp_path):
     chosen = spark.createDataFrame([("s", "a", 1, 0), ("s", "b", 1, 1)], schema)
     added = spark.createDataFrame([("s", "a", 1, 0), ("s", "a", 2, 1), ("s", "a", 2, 2)], schema)
     assert rows(files.add_files(chosen, added), "name", "size", "batch", "pos") == [("a", 1, 0, 0), ("a", 2, 1, 1), ("b", 1, 0, 1)]
+
+
+def test_summary_sums_come_with_the_rows(spark, frame):
+    """The sums behind the summary equal those of vendor_scope, and no cell is joined with its row's baseline."""
+    cells = c.cells(frame([
+        ("s", "A", "C", "x", 100), ("s", "B", "C", "x", 301), ("s", "A", "C", "y", 50), ("s", "C", "C", "x", 0), ("s", "C", "C", "z", -5),
+        ("s", "B", "D", "x", None), ("t", "A", "C", "x", 7), (None, "A", "C", "x", 7), ("t", None, "C", "x", 7), ("u", "A", "C", "x", 0),
+    ]))
+    columns = ["session_id", "vendor", "shared_cents", "shared_baseline_cents", "n_provided", "n_missing"]
+    assert rows(scope.shared_scope(matrix.service_rows(cells)), *columns) == rows(scope.vendor_scope(cells), *columns)
+    bars = spark.createDataFrame([("s", "A", 5)], "session_id string, vendor string, total_cents bigint")
+    text = comparison.rule_summary(cells, bars)._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in text.splitlines() if "Join" in line and "sub_service" in line]
+
+
+def test_sums_meet_suppliers_after_they_are_summed(spark, tmp_path):
+    """Repeated, unnamed and unknown suppliers, parts and nations: the same as summing the joined lines, from fewer rows."""
+    tables = {
+        "customer": ("c_custkey bigint, c_nationkey int", [(1, 3), (2, None), (2, None)]),
+        "orders": ("o_orderkey bigint, o_custkey bigint, o_orderdate timestamp", [
+            (1, 1, datetime(2020, 1, 2)), (2, 2, datetime(2020, 1, 1)), (3, 1, None), (3, 1, None), (None, 1, datetime(2020, 1, 3))]),
+        "part": ("p_partkey bigint, p_name string, p_type string, p_size int", [(1, "n", "T", 5), (1, "n", "T", 5), (2, "n", None, 6), (3, None, "T", None)]),
+        "supplier": ("s_suppkey bigint, s_name string", [(1, "A"), (1, "A"), (1, "B"), (7, None), (None, "C")]),
+        "lineitem": (
+            "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
+            "l_discount double, l_tax double, l_linestatus string",
+            [(o, p, s, n, 2.0, price, 0.1, 0.05, "O") for n, (o, p, s) in enumerate(product((1, 2, 3, None), (1, 2, 3, 9), (1, 7, 8, None)))
+             for price in (10.01, 0.33, None)]),
+    }
+    for name, (schema, data) in tables.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    items = views.items(spark, str(tmp_path))
+    by = [*views.QUOTE, "service_category", "sub_service"]
+    wanted = items.groupBy(*by).agg(
+        F.sum("amount_cents").alias("amount_cents"), F.sum("gross_cents").alias("gross_cents"), F.min("o_orderdate").alias("o_orderdate"))
+    columns = [*by, "amount_cents", "gross_cents", "o_orderdate"]
+    sums = views.price_sums(spark, str(tmp_path))
+    assert rows(sums, *columns) == rows(wanted, *columns) and wanted.count() > 8
+    quotes = views.quotes(spark, str(tmp_path))
+    assert rows(quotes, *quotes.columns) == rows(views.quotes_of(items), *quotes.columns)
+    bars = ["session_id", "vendor", "total_cents"]
+    assert rows(totals.totals_of_sums(quotes), *bars) == rows(totals.vendor_totals(quotes, items), *bars)
+    # the lines are summed below the join with suppliers
+    text = quotes._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("Join Inner, (l_suppkey") < text.index("sum(gross_cents")
