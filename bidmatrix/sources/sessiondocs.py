@@ -17,7 +17,7 @@ import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import sha256
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 from uuid import uuid4
 
 import pyarrow as pa
@@ -26,7 +26,9 @@ from pyarrow import fs
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+
+from bidmatrix.session import release, stored, work_folder
 
 # tasks get the code of this module with the job, whether the package is installed there or not
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -34,6 +36,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Sections with many entries, in the order of the document.
 SECTIONS = ("chartData", "tableData", "vendors")
 LIST = "_documents.json"
+#: Bytes that are read at once.
+BLOCK = 1 << 20
 
 
 def json_text(value: Column) -> Column:
@@ -68,11 +72,16 @@ def framed(bundle: DataFrame) -> DataFrame:
 
 
 def write_documents(bundle: DataFrame, path: str) -> None:
-    """Write the documents of all sessions of a bundle; they replace those that the path held."""
+    """Write the documents of all sessions of a bundle; they replace those that the path held.
+
+    The bundle is read for the entries, for what opens their sections and for the bounds of the ranges, so it is stored.
+    """
     key = ["session_id", "section_no", "sort_number", "sort_text"]
-    bundle.sparkSession.dataSource.register(SessionDocuments)
-    placed = framed(bundle).repartitionByRange(*key).sortWithinPartitions(*key, "kind", "text")
+    spark, folder = bundle.sparkSession, work_folder(bundle.sparkSession)
+    spark.dataSource.register(SessionDocuments)
+    placed = framed(stored(bundle, folder)).repartitionByRange(*key).sortWithinPartitions(*key, "kind", "text")
     placed.select("session_id", "kind", "text").write.format("session_documents").mode("overwrite").save(path)
+    release(spark, folder)
 
 
 # the writer
@@ -99,12 +108,18 @@ class Piece(WriterCommitMessage):
 
 
 class SessionDocuments(DataSource):
-    """Sink ``session_documents`` for sorted lines (session_id, kind, text)."""
+    """``session_documents``: a sink for sorted lines (session_id, kind, text), a source of all documents' lines (session_id, line)."""
 
     @classmethod
     def name(cls) -> str:
         return "session_documents"
 
+    def schema(self) -> str:
+        return "session_id string, line string"
+
+    def reader(self, schema) -> "LineReader":
+        return LineReader(self.options["path"])
+
     def writer(self, schema, overwrite: bool) -> "DocumentWriter":
         if not overwrite:
             raise ValueError("documents are replaced as a whole: use mode overwrite")
@@ -184,18 +199,58 @@ def read_document(path: str, session_id: str) -> Iterator[bytes]:
         name = f"{root}/{piece['folder']}/{file_name(session_id)}"
         if piece["first"] <= session_id <= piece["last"] and system.get_file_info(name).type == fs.FileType.File:
             with system.open_input_stream(name) as given:
-                while block := given.read(1 << 20):
+                while block := given.read(BLOCK):
                     yield block
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The lines of all documents: session_id (by the file's name) and line."""
-    folders = [f"{path.rstrip('/')}/{p['folder']}" for p in pieces_of(path)]
-    if not folders:
+    """The lines of all documents: session_id (by the file's name) and line.
+
+    A task reads the files of one piece, which are as many as a task wrote, one after another and block by block.
+    """
+    if not pieces_of(path):
         return spark.createDataFrame([], "session_id string, line string")
-    name = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.json$", "")
-    # the path is an address, so what was escaped in the name is escaped once more
-    return spark.read.text(folders).select(F.url_decode(F.url_decode(name)).alias("session_id"), F.col("value").alias("line"))
+    spark.dataSource.register(SessionDocuments)
+    return spark.read.format("session_documents").load(path)
+
+
+@dataclass
+class PieceFolder(InputPartition):
+    folder: str
+
+
+class LineReader(DataSourceReader):
+    def __init__(self, path: str):
+        self.path = path
+
+    def partitions(self) -> list[PieceFolder]:
+        return [PieceFolder(p["folder"]) for p in pieces_of(self.path)]
+
+    def read(self, partition: PieceFolder) -> Iterator[pa.RecordBatch]:
+        system, root = located(self.path)
+        ids, lines, size = [], [], 0
+        for info in system.get_file_info(fs.FileSelector(f"{root}/{partition.folder}")):
+            if not info.base_name.endswith(".json"):
+                continue
+            session_id, rest = unquote(info.base_name.removesuffix(".json")), b""
+            with system.open_input_stream(info.path) as given:
+                while block := given.read(BLOCK):
+                    *whole, rest = (rest + block).split(b"\n")
+                    ids += [session_id] * len(whole)
+                    lines += whole
+                    size += len(block)
+                    if size >= BLOCK:
+                        yield line_batch(ids, lines)
+                        ids, lines, size = [], [], 0
+            if rest:
+                ids.append(session_id)
+                lines.append(rest)
+        if lines:
+            yield line_batch(ids, lines)
+
+
+def line_batch(ids: list[str], lines: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(lines, pa.binary()).cast(pa.string())], ["session_id", "line"])
 
 
 def entries(lines: DataFrame) -> DataFrame:

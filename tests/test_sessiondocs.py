@@ -83,3 +83,22 @@ def test_what_a_failed_attempt_left_is_not_read(spark, tmp_path):
     assert document(tmp_path, "s")["vendors"] == ["v"]
     sessiondocs.write_documents(bundle, str(tmp_path))
     assert not left.exists()
+
+
+def test_many_documents_are_read_by_few_tasks_and_the_bundle_once(spark, tmp_path):
+    """A task reads the documents of a piece however many there are; what writes them does not repeat the work behind the bundle."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    n = 600
+    session = F.concat(F.lit("s %+é/"), F.col("id").cast("string"))
+    made = spark.range(n).select(session.alias("session_id"), F.lit("vendors").alias("section"), F.lit(None).cast("bigint").alias("sort_number"), F.lit("v").alias("sort_text"), F.lit('v "é"').alias("entry"))
+    sessiondocs.write_documents(made.mapInArrow(counted, BUNDLE), str(tmp_path))
+    assert seen.value == n
+    lines = sessiondocs.read_lines(spark, str(tmp_path))
+    assert lines.rdd.getNumPartitions() == len(sessiondocs.pieces_of(str(tmp_path)))
+    assert rows(sessiondocs.entries(lines), "session_id", "section", "entry") == rows(made, "session_id", "section", "entry")
