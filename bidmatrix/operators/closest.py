@@ -1,11 +1,9 @@
-"""The closest entry of a word bank for every label, through an index of segments instead of all pairs.
+"""The closest entry of a word bank for every label, through trees of the entries' beginnings instead of all pairs.
 
-A text at edit distance r or less from an entry that is cut into r + 1 segments holds one of them unchanged, not
-more than r places away. So labels look up the pieces they hold, by length, place and text, and only entries
-that share one are compared. Entries of a piece that many of them hold are dealt over chunks, which the labels meet
-one by one, and a pair is compared where it meets, so pairs are neither shuffled nor met in one task. The radius grows from ring to ring: a label that has an entry within a ring is done,
-as nothing outside can be closer, and only the others go on. Labels that are far from everything meet all
-entries of their part of the bank, chunk by chunk.
+The entries of each part of the bank are dealt over trees, and labels walk each tree of their part no further than a
+radius allows (``trees``), so entries that begin alike are compared once as far as they do, however many they are. The radius
+grows from ring to ring: a label that has an entry within a ring is done, as nothing outside can be closer, and only the
+others go on. Labels that are far from everything meet all entries of their part of the bank, chunk by chunk.
 
 Labels look in their own category; if the bank has no entry of it, or they have none, in all categories.
 """
@@ -14,12 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidmatrix.functions.text import normalised
+from bidmatrix.operators.trees import meet
 from bidmatrix.schemas import SERVICE
 from bidmatrix.session import stored
 
-#: Edit distances up to which the index is asked, one after the other.
-RINGS = (1, 2, 4)
-#: Entries of one piece, or of one part of the bank, that a label meets at once, about.
+#: Edit distances up to which the trees are walked, one after the other, and those for labels that are left then.
+RINGS, FURTHER = (1, 2, 4), (5, 6, 8)
+#: Entries of one part of the bank that a label far from everything meets at once, about.
 CHUNK = 500
 
 
@@ -38,45 +37,36 @@ def _in_bank(labels: DataFrame, taxonomy: DataFrame) -> tuple[DataFrame, DataFra
     return stored(asked), stored(entries)
 
 
-def _key(part: Column, n: Column, i: Column, piece: Column) -> Column:
-    """Pieces by length, place and text; those of equal hash only meet, the distance and the part decide."""
-    return F.xxhash64(part, n.cast("int"), i.cast("int"), piece)
+#: Chunks whose entries make up one tree; labels that meet a tree at once with a radius of 1, fewer with a greater one; tasks
+#: that these meetings are dealt over, which are few bytes and much work, so Spark may not put them together.
+TREE, MET, TASKS = 500, 20_000, 128
 
 
-def _segments(entries: DataFrame, radius: int) -> DataFrame:
-    """Each entry once per segment, with the segment's key."""
-    length, count = F.length("entry"), radius + 1
-    cut = lambda i: F.floor(length * i / count).cast("int")
-    keys = [_key(F.col("part"), length, F.lit(i), F.col("entry").substr(cut(i) + 1, cut(i + 1) - cut(i))) for i in range(count)]
-    return entries.select("part", "snapped_category", "snapped", "entry", F.explode(F.array(*keys)).alias("key"))
-
-
-def _probes(labels: DataFrame, radius: int) -> DataFrame:
-    """Each label once per place at which it may hold an entry's segment, with the key of what it holds there."""
-    count = radius + 1
-    wide = labels.withColumn("n", F.explode(F.sequence(F.greatest(F.length("text") - radius, F.lit(0)), F.length("text") + radius)))
-    wide = wide.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(radius))))
-    start = F.floor(F.col("n") * F.col("i") / count).cast("int")
-    size = F.floor(F.col("n") * (F.col("i") + 1) / count).cast("int") - start
-    first, last = F.greatest(start - radius, F.lit(0)), F.least(start + radius, F.length("text") - size)
-    wide = wide.withColumns({"size": size, "at": F.explode(F.when(first <= last, F.sequence(first, last)))})
-    key = _key(F.col("part"), F.col("n"), F.col("i"), F.col("text").substr(F.col("at") + 1, F.col("size")))
-    return wide.select(*SERVICE, "part", "text", key.alias("key"))
+def _dealt(texts: DataFrame, text: str, size: int, number: str) -> DataFrame:
+    """Distinct texts of each part of the bank with a ``number`` by hash, so that about ``size`` have the same, and their count."""
+    sizes = texts.groupBy("of").agg(F.ceil(F.count(F.lit(1)) / size).alias(f"n_{number}"))
+    return texts.join(sizes.hint("merge"), "of").withColumn(number, F.pmod(F.xxhash64(text), F.col(f"n_{number}")))
 
 
 def candidates(labels: DataFrame, entries: DataFrame, radius: int) -> DataFrame:
-    """Pairs that the index brings together, once for each piece they share.
+    """Each label with its closest entries by tree, for labels that have entries within ``radius`` in it.
 
+    The distinct texts of a part of the bank are dealt over trees, its labels over as many tasks per tree as they need.
     Nothing is broadcast: Spark sizes both sides by the files before their rows are repeated.
     """
-    index = _segments(entries, radius)
-    sizes = index.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("n_chunks")).hint("merge")
-    dealt = index.join(sizes, "key").withColumn("chunk", F.pmod(F.xxhash64("snapped_category", "snapped"), F.col("n_chunks")))
-    held = _probes(labels, radius).join(sizes, "key").distinct()
-    asked = held.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_chunks") - 1)))
-    met = asked.alias("p").join(dealt.alias("e").hint("merge"), ["key", "chunk"])
-    return met.where(F.col("p.part").eqNullSafe(F.col("e.part"))).select(
-        *[f"p.{c}" for c in SERVICE], "p.text", "e.snapped_category", "e.snapped", "e.entry"
+    part = F.coalesce(F.concat(F.lit("="), F.col("part")), F.lit("")).alias("of")  # null is all of the bank
+    asked = _dealt(labels.select(part, "text").distinct(), "text", max(1, MET // radius), "share")
+    held = _dealt(entries.select(part, "entry").distinct(), "entry", CHUNK * TREE, "chunk")
+    chunks, shares = held.groupBy("of").agg(F.first("n_chunk").alias("n")), asked.groupBy("of").agg(F.first("n_share").alias("n"))
+    every = lambda rows, counts, number: rows.join(counts.hint("merge"), "of").withColumn(
+        number, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    asked, held = every(asked, chunks, "chunk").select("of", "chunk", "share", "text"), every(held, shares, "share").select("of", "chunk", "share", "entry")
+    place = ["of", "chunk", "share"]
+    asked, held = asked.repartition(TASKS, *place), held.repartition(TASKS, *place)
+    found = asked.groupBy(*place).cogroup(held.groupBy(*place)).applyInArrow(meet(radius), "of string, text string, entry string")
+    of_labels = found.join(labels.select(*SERVICE, part, "text").hint("merge"), ["of", "text"])
+    return of_labels.join(entries.select(part, "entry", "snapped_category", "snapped").hint("merge"), ["of", "entry"]).select(
+        *SERVICE, "text", "snapped_category", "snapped", "entry"
     )
 
 
@@ -111,7 +101,9 @@ def closest(labels: DataFrame, taxonomy: DataFrame) -> DataFrame:
     out = out.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("snapped_category", "string"), ("snapped", "string"), ("distance", "int"))])
     left = left.where(F.col("sub_service").isNotNull())
     done = lambda rest, found: stored(rest.join(found.select(*[F.col(c).alias(f"_{c}") for c in SERVICE]), _same(), "left_anti"))
-    for radius in RINGS:
+    for radius in (*RINGS, *FURTHER):
+        if radius in FURTHER and left.isEmpty():
+            break
         found = stored(_best(candidates(left, entries, radius), F.levenshtein("text", "entry", radius)))
         out, left = out.unionByName(found), done(left, found)
     found = stored(_closest_of_all(left, entries))
